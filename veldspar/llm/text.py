@@ -20,10 +20,24 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(lower_az(F.coalesce(text, F.lit(""))), BLANKS), "")
 
 
+def let(value: Column, body) -> Column:
+    """`body(value)` with `value` computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def shingles(text: Column, k: int) -> Column:
     """Distinct hashes of the k-word shingles of `text`; empty for fewer than k words."""
-    hashes = F.transform(words(text), lambda w: F.xxhash64(w))
-    return F.when(
-        F.size(hashes) >= k,
-        F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(hashes) - (k - 1)), lambda i: F.xxhash64(*[F.element_at(hashes, i + j) for j in range(k)]))),
-    ).otherwise(F.array().cast("array<bigint>"))
+
+    def of(hashes: Column) -> Column:
+        at = F.sequence(F.lit(1), F.size(hashes) - (k - 1))
+        return F.when(F.size(hashes) >= k, F.array_distinct(F.transform(at, lambda i: F.xxhash64(*[F.element_at(hashes, i + j) for j in range(k)])))).otherwise(
+            F.array().cast("array<bigint>")
+        )
+
+    return let(F.transform(words(text), lambda w: F.xxhash64(w)), of)
+
+
+def normal_tail(z: Column) -> Column:
+    """P(Z > z) of the standard normal, by the logistic approximation (error below 0.0002)."""
+    z = F.greatest(F.lit(-20.0), F.least(F.lit(20.0), z))
+    return 1 / (1 + F.exp(1.5976 * z + 0.07056 * z * z * z))
