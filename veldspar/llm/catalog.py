@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from veldspar.llm import chat_format, decontaminate, exact_dedup, license_scan, ngram_join, secret_scan, source_mix, toxicity, url_filter
+from veldspar.llm import chat_format, decontaminate, exact_dedup, license_scan, ngram_join, pii, secret_scan, source_mix, toxicity, url_filter
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_pii": pii.op4_pii,
     "op5_secret_scan": secret_scan.op5_secret_scan,
     "op6_ngram_jaccard_join": ngram_join.op6_ngram_jaccard_join,
     "op7_url_filter": url_filter.op7_url_filter,

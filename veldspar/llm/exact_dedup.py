@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 from veldspar.llm.store import cut, hinted, small
 from veldspar.llm.text import lower_az
 
-SCHEMA = ("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+SCHEMA = ("doc_id", "keep_id", "group_size", "kept", "text_sha256", "n_rows")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = 64, hash_single: bool = False) -> DataFrame:
-    """One row per document: doc_id, keep_id (largest id of its group), group_size, kept, text_sha256.
+    """One row per document: doc_id, keep_id (largest id of its group), group_size, kept, text_sha256,
+    n_rows (rows that repeat this id and text).
 
     Pass 1 reads lengths and the first `prefix` characters; groups of one are settled there. Pass 2 hashes whole texts
     of the surviving (length, prefix hash) groups only; `hash_single` asks for the digest of the others too. Where the
@@ -37,20 +38,28 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         survivors = keyed.join(F.broadcast(heads), ["len", "head"], "left_semi")
         rest = keyed if hash_single else sketch
         settled = rest.join(F.broadcast(heads), ["len", "head"], "left_anti").select(
-            "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), digest if hash_single else F.lit(None).cast("string").alias("text_sha256")
+            "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), digest if hash_single else F.lit(None).cast("string").alias("text_sha256"),
+            F.lit(1).cast("long").alias("n_rows"),
         )
 
     # A hot group is spread over (digest, id) first; its members meet only as one partial row per task.
     members = cut(survivors.select("doc_id", digest).groupBy("text_sha256", "doc_id").agg(F.count("*").alias("n")), "dedup-members")
     groups = cut(members.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size")), "dedup-groups")
-    hashed = members.join(groups, "text_sha256").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    hashed = members.join(groups, "text_sha256").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", F.col("n").alias("n_rows"))
     return (settled.unionByName(hashed) if settled is not None else hashed).select(*SCHEMA)
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` without the copies: of equal texts the row with the largest id stays, with all its columns."""
-    out = exact_dedup(docs, id_col, text_col).filter("NOT kept").select(F.col("doc_id").alias("__gone"))
-    return docs.join(hinted(cut(out, "dedup-gone")), F.col(id_col) == F.col("__gone"), "left_anti")
+    """`docs` without the copies: of equal texts the row with the largest id stays, with all its columns. Of rows that
+    repeat both id and text one stays; rows that share an id but not the text are told apart."""
+    found = cut(exact_dedup(docs, id_col, text_col).filter("NOT kept OR n_rows > 1").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), F.col("kept").alias("__kept")), "dedup-found")
+    sha = F.sha2(lower_az(F.coalesce(F.col(text_col), F.lit(""))), 256)
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (sha == F.col("__sha"))
+    single = docs.join(hinted(found), same, "left_anti")
+    repeated = found.filter("__kept")
+    if not repeated.head(1):
+        return single
+    return single.unionByName(docs.join(hinted(repeated), same, "inner").dropDuplicates(["__id", "__sha"]).drop("__id", "__sha", "__kept"))
 
 
 def op3_exact_dedup(spark, sf_dir: str) -> DataFrame:
@@ -62,7 +71,7 @@ WITH d AS (
   SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
   FROM documents
 ), g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)
-SELECT DISTINCT d.doc_id, g.keep_id, CAST(g.group_size AS BIGINT) AS group_size,
-       d.doc_id IS NOT DISTINCT FROM g.keep_id AS kept, d.text_sha256
-FROM d JOIN g USING (text_sha256)
+SELECT d.doc_id, g.keep_id, CAST(g.group_size AS BIGINT) AS group_size,
+       d.doc_id IS NOT DISTINCT FROM g.keep_id AS kept, d.text_sha256, count(*) AS n_rows
+FROM d JOIN g USING (text_sha256) GROUP BY ALL
 """
