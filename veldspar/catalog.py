@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from veldspar.queries import panel
+
+QUERIES: dict = {**panel.QUERIES}
+ORACLES: dict[str, str] = {**panel.ORACLES}
 
 
 def flagship(spark, sf_dir: str):
