@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from veldspar.queries import panel
+from veldspar.queries import panel, relational
 
-QUERIES: dict = {**panel.QUERIES}
-ORACLES: dict[str, str] = {**panel.ORACLES}
+QUERIES: dict = {**panel.QUERIES, **relational.QUERIES}
+ORACLES: dict[str, str] = {**panel.ORACLES, **relational.ORACLES}
 
 
 def flagship(spark, sf_dir: str):

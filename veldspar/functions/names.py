@@ -7,15 +7,18 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+_SCORES = T.StructType([T.StructField(n, T.DoubleType()) for n in ("character", "token", "combined")])
 
-@F.pandas_udf("string")
+
+@F.pandas_udf(T.StringType())
 def fold_name(names: pd.Series) -> pd.Series:
     """NFKC, stripped, case-folded, white space collapsed."""
     return names.map(lambda x: None if x is None else " ".join(unicodedata.normalize("NFKC", x).casefold().split()))
 
 
-@F.pandas_udf("struct<character double, token double, combined double>")
+@F.pandas_udf(_SCORES)
 def name_similarity(left: pd.Series, right: pd.Series) -> pd.DataFrame:
     """Ratcliff-Obershelp ratio of two comparison keys, as they are and with sorted words, and 0.65 : 0.35 of both."""
 
