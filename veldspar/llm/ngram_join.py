@@ -33,8 +33,8 @@ from veldspar.llm.store import cut, hinted, table
 #: A shingle in more than FREQUENT regions goes last in the order, as far as the list of the most frequent ones, of
 #: at most LISTED, holds it (8 bytes each, broadcast).
 FREQUENT, LISTED = 16, 500_000
-#: 64-bit words of the parity bitmap.
-WORDS = 4
+#: 64-bit words of the parity bitmap that pairs are held against, and of its fold that postings carry.
+WORDS, FOLD = 16, 4
 
 
 def _prefix_length(n: int, percent: int) -> int:
@@ -95,6 +95,11 @@ def _prefixes(docs: DataFrame, frequent, k: int, percent: int) -> DataFrame:
     return _run(docs, ["c", "n", "g", "prefix", *names], "c long, n int, g long, prefix array<long>, " + ", ".join(f"{b} long" for b in names), prefix, k)
 
 
+def _folded(i: int) -> Column:
+    """Word i of the folded bitmap: also a parity bitmap, of fewer bits."""
+    return reduce(lambda x, y: x.bitwiseXOR(y), [F.col(f"b{j}") for j in range(i, WORDS, FOLD)]).alias(f"b{i}")
+
+
 def _sizes_fit(na: Column, nb: Column, percent: int) -> Column:
     return (na * 100 >= nb * percent) & (nb * 100 >= na * percent)
 
@@ -104,16 +109,19 @@ def _positions_fit(a, b, percent: int) -> Column:
     return F.least(a("n") - a("pos"), b("n") - b("pos")) * (100 + percent) >= (a("n") + b("n")) * percent
 
 
-def _bits_fit(a, b, percent: int) -> Column:
+def _bits_fit(a, b, percent: int, words: int) -> Column:
     """Bits in which parity bitmaps differ never exceed the symmetric difference; a linked pair's is bounded."""
-    differ = reduce(lambda x, y: x + y, [F.bit_count(a(f"b{i}").bitwiseXOR(b(f"b{i}"))) for i in range(WORDS)])
+    differ = reduce(lambda x, y: x + y, [F.bit_count(a(f"b{i}").bitwiseXOR(b(f"b{i}"))) for i in range(words)])
     total = a("n") + b("n")
     return differ <= total - 2 * F.ceil(total * percent / (100 + percent) - 1e-9)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (u, v) of classes that link, by exact intersection of their whole sets."""
-    pairs = cut(pairs, "ngram-pairs")
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, bits: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (u, v) of classes that link: by their bitmaps they may, by exact intersection of their whole sets they do."""
+    x, y = bits.alias("x"), bits.alias("y")
+    a, b = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
+    may = pairs.join(x, F.col("u") == a("c")).join(y, F.col("v") == b("c")).filter(_sizes_fit(a("n"), b("n"), percent) & _bits_fit(a, b, percent, WORDS))
+    pairs = cut(may.select("u", "v"), "ngram-pairs")
     wanted = cut(pairs.select(F.col("u").alias("c")).unionByName(pairs.select(F.col("v").alias("c"))).distinct().join(classes, "c").select("c", "rep"), "ngram-wanted")
     texts = docs.join(hinted(wanted.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi")
     sets = _run(texts, ["c", "s"], "c long, s array<long>", lambda _, s: (_class_id(s), s.view(np.int64)), k)
@@ -133,40 +141,45 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
 
     frequent = spark.sparkContext.broadcast(_order(named, k, percent))
     each = cut(_prefixes(named, frequent, k, percent).filter("n > 0").dropDuplicates(["c"]), "ngram-prefixes")
-    bits = [f"b{i}" for i in range(WORDS)]
-
-    grouped = cut(each.groupBy("g").agg(F.min("c").alias("first"), F.count("*").alias("members")), "ngram-groups")
-    heads = each.join(grouped.select(F.col("first").alias("c"), "members"), "c")
-    postings = cut(heads.select("g", "c", "n", "members", *bits, F.posexplode("prefix").alias("pos", "h")).select("g", "c", "n", "members", "pos", "h", *bits), "ngram-postings")
-    shared = cut(postings.groupBy("h").agg(F.count("*").alias("m"), F.min(F.struct("c", "n", "pos", *bits)).alias("p")).filter("m > 1"), "ngram-lists")
-    lists = cut(postings.join(shared.select("h"), "h"), "ngram-shared")
-
-    # First round: one group of each list against the others; each group's first class against its others.
-    pivoted = lists.join(shared.select("h", "p"), "h").filter(F.col("c") != F.col("p.c"))
+    bits = each.select("c", "n", *[f"b{i}" for i in range(WORDS)])
+
+    # Groups of more than one class; a group goes by its least class, its head. Only heads are posted.
+    multi = cut(each.groupBy("g").agg(F.min("c").alias("head"), F.count("*").alias("members")).filter("members > 1"), "ngram-groups")
+    grouped = cut(each.select("g", "c").join(hinted(multi), "g").select("head", "members", "c"), "ngram-members")
+    others = grouped.filter("c <> head")
+    postings = each.join(hinted(others.select("c")), "c", "left_anti").select("c", "n", F.posexplode("prefix").alias("pos", "h"))
+    repeated = cut(postings.groupBy("h").count().filter("count > 1").select("h"), "ngram-repeated")
+    lists = cut(postings.join(hinted(repeated), "h").select("h", "c", "n", "pos"), "ngram-lists")
+
+    # First round: one group of each list against the others; each group's head against its other classes.
+    pivots = lists.groupBy("h").agg(F.min(F.struct("c", "n", "pos")).alias("p"))
     a, b = F.col, lambda x: F.col(f"p.{x}")
-    near = pivoted.filter(_sizes_fit(a("n"), b("n"), percent) & _positions_fit(a, b, percent) & _bits_fit(a, b, percent))
+    near = lists.join(pivots, "h").filter((a("c") != b("c")) & _sizes_fit(a("n"), b("n"), percent) & _positions_fit(a, b, percent))
     star = near.select(F.greatest(a("c"), b("c")).alias("u"), F.least(a("c"), b("c")).alias("v"))
-    inner = each.select("g", "c").join(grouped.filter("members > 1").select("g", "first"), "g").filter("c <> first").select(F.greatest("c", "first").alias("u"), F.least("c", "first").alias("v"))
-    links = _verified(star.unionByName(inner).distinct(), named, classes, k, percent)
+    inner = others.select(F.greatest("c", "head").alias("u"), F.least("c", "head").alias("v"))
+    links = _verified(star.unionByName(inner).distinct(), named, classes, bits, k, percent)
     roots = cut(components(links), "ngram-roots")
 
-    # Second round: what is left between components, at group level first.
-    labelled = cut(each.select("g", "c", "n", *bits).join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c")), "ngram-labelled")
-    label = labelled.groupBy("g").agg(F.when(F.min("root") == F.max("root"), F.min("root")).alias("root"))  # null: a mixed group
-    open_lists = lists.join(label, "g")
-    several = open_lists.groupBy("h").agg(F.count_if(F.col("root").isNull()).alias("mixed"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("mixed > 0 OR lo <> hi").select("h")
-    left = cut(open_lists.join(several, "h"), "ngram-open")
+    # Second round: what is left between components, at group level first. A group of several components has root null.
+    own = grouped.join(hinted(roots.withColumnRenamed("node", "c")), "c", "left").withColumn("root", F.coalesce("root", "c"))
+    mixed = cut(own.groupBy("head").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("head"), "ngram-mixed")
+    labelled = lists.join(hinted(roots.withColumnRenamed("node", "c")), "c", "left").join(hinted(mixed.withColumnRenamed("head", "m").withColumn("is_mixed", F.lit(True))), F.col("c") == F.col("m"), "left")
+    labelled = labelled.select("h", "c", "n", "pos", F.when(F.col("is_mixed").isNull(), F.coalesce("root", "c")).alias("root"))
+    several = labelled.groupBy("h").agg(F.count_if(F.col("root").isNull()).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("m > 0 OR lo <> hi").select("h")
+    heads = multi.select(F.col("head").alias("c"), "members")
+    left = labelled.join(hinted(cut(several, "ngram-several")), "h").join(each.select("c", *[_folded(i) for i in range(FOLD)]), "c").join(hinted(heads), "c", "left")
+    left = cut(left.withColumn("alone", F.col("members").isNull()).drop("members"), "ngram-open")
     x, y = left.alias("x"), left.alias("y")
     a, b = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
-    alone = (a("members") == 1) & (b("members") == 1)
     apart = ~F.coalesce(a("root") == b("root"), F.lit(False))
-    fits = apart & _sizes_fit(a("n"), b("n"), percent) & _positions_fit(a, b, percent) & (~alone | _bits_fit(a, b, percent))
-    group_pairs = cut(x.join(y, (a("h") == b("h")) & (a("c") < b("c")) & fits).select(a("g").alias("ga"), b("g").alias("gb")).distinct(), "ngram-grouppairs")
-    inside = grouped.filter("members > 1").join(label.filter("root IS NULL"), "g").select(F.col("g").alias("ga"), F.col("g").alias("gb"))
-    members = group_pairs.unionByName(inside)
-    expanded = members.join(labelled.alias("x"), F.col("ga") == a("g")).join(labelled.alias("y"), F.col("gb") == b("g"))
-    expanded = expanded.filter((a("c") != b("c")) & (a("root") != b("root")) & _bits_fit(a, b, percent))
-    more = _verified(expanded.select(F.greatest(a("c"), b("c")).alias("u"), F.least(a("c"), b("c")).alias("v")).distinct(), named, classes, k, percent)
+    fits = apart & _sizes_fit(a("n"), b("n"), percent) & _positions_fit(a, b, percent) & (~(a("alone") & b("alone")) | _bits_fit(a, b, percent, FOLD))
+    group_pairs = x.join(y, (a("h") == b("h")) & (a("c") < b("c")) & fits).select(a("c").alias("ga"), b("c").alias("gb")).distinct()
+    inside = mixed.select(F.col("head").alias("ga"), F.col("head").alias("gb"))
+    members = cut(group_pairs.unionByName(inside), "ngram-grouppairs")
+    spread = grouped.select("head", "c")
+    expanded = members.join(hinted(spread.toDF("ga", "ca")), "ga", "left").join(hinted(spread.toDF("gb", "cb")), "gb", "left").select(F.coalesce("ca", "ga").alias("ca"), F.coalesce("cb", "gb").alias("cb"))
+    rooted = expanded.join(hinted(roots.toDF("ca", "ra")), "ca", "left").join(hinted(roots.toDF("cb", "rb")), "cb", "left").filter((F.col("ca") != F.col("cb")) & (F.coalesce("ra", "ca") != F.coalesce("rb", "cb")))
+    more = _verified(rooted.select(F.greatest("ca", "cb").alias("u"), F.least("ca", "cb").alias("v")).distinct(), named, classes, bits, k, percent)
     final = cut(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)), "ngram-final")
 
     # Class roots are hashes; a component's name is the least id in it.
@@ -174,8 +187,8 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
     least = home.groupBy("root").agg(F.min("rep").alias("component_id"))
     place = cut(home.join(least, "root").select("c", "component_id"), "ngram-place")
     out = sketch.join(place, "c", "left")
-    own = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"))
+    named_as = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), named_as.alias("component_id"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
