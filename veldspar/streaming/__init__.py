@@ -1,0 +1 @@
+"""The engine is batch by definition: every stage reads complete tables, so there is nothing to stream here."""
