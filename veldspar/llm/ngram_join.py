@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from veldspar.llm import numtext
 from veldspar.llm.components import components
-from veldspar.llm.store import cut, hinted, table
+from veldspar.llm.store import cut, hinted, short_batches, table
 
 #: A shingle in more than FREQUENT regions goes last in the order, as far as the list of the most frequent ones, of
 #: at most LISTED, holds it (8 bytes each, broadcast).
@@ -60,6 +60,7 @@ def _run(docs: DataFrame, columns: list[str], schema: str, each, k: int) -> Data
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], columns)
 
+    short_batches(docs.sparkSession)
     kinds = {"long": pa.int64(), "int": pa.int32(), "array<long>": pa.list_(pa.int64())}
     types = [kinds[f.strip().split(" ")[1]] for f in schema.split(",")]
     return docs.mapInArrow(batches, schema)

@@ -14,8 +14,8 @@ _BASE = 0x9E3779B97F4A7C15
 _STEP = U(0xD6E8FEB86659FD93)
 #: Bytes of text hashed at a time, and the longest word that is hashed by the vectorised path.
 _SPAN, _LONG = 1 << 19, 1 << 12
-#: Bytes of text taken from a batch at a time; a longer single text is taken alone.
-_BLOCK = 8 << 20
+#: Bytes and rows taken from a batch at a time; a longer single text is taken alone.
+_BLOCK, _ROWS = 2 << 20, 4096
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
@@ -44,12 +44,15 @@ def _tables() -> list[np.ndarray]:
 
 def blocks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) of consecutive rows, about _BLOCK bytes each; null counts as empty."""
-    a = pa.compute.fill_null(column.cast(pa.large_string()), "")
-    off = np.frombuffer(a.buffers()[1], np.int64)[a.offset : a.offset + len(a) + 1] if len(a) else np.zeros(1, np.int64)
-    data = np.frombuffer(a.buffers()[2], np.uint8) if len(a) and a.buffers()[2] is not None else np.zeros(0, np.uint8)
+    a = pa.compute.fill_null(column, "") if column.null_count else column
+    if not len(a):
+        return
+    wide = pa.types.is_large_string(a.type) or pa.types.is_large_binary(a.type)
+    off = np.frombuffer(a.buffers()[1], np.int64 if wide else np.int32)[a.offset : a.offset + len(a) + 1].astype(np.int64)
+    data = np.frombuffer(a.buffers()[2], np.uint8) if a.buffers()[2] is not None else np.zeros(0, np.uint8)
     row = 0
     while row < len(a):
-        end = max(row + 1, int(np.searchsorted(off, off[row] + _BLOCK, "right")) - 1)
+        end = min(max(row + 1, int(np.searchsorted(off, off[row] + _BLOCK, "right")) - 1), row + _ROWS)
         yield row, data[off[row] : off[end]], off[row : end + 1] - off[row]
         row = end
 

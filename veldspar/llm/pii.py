@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldspar.llm.store import table
+from veldspar.llm.store import short_batches, table
 
 KINDS = ["email", "ip", "card", "phone", "ssn", "iban", "name"]
 BASE = KINDS[:4]
@@ -187,9 +187,9 @@ def _features(code: tuple[int, ...]) -> np.ndarray:
 def train(counts: dict[tuple[int, ...], int]) -> np.ndarray:
     """Weights of the final span classifier: ridge logistic regression on the probabilities that EM gave."""
     soft = estimate(counts)
-    x = np.array([_features(c) for c in soft]).reshape(len(soft), -1)
-    if not len(soft):
+    if not soft:
         return np.zeros(len(KINDS) + len(VOTERS) + 3)
+    x = np.array([_features(c) for c in soft])
     y, n = np.array(list(soft.values())), np.sqrt(np.array([counts[c] for c in soft], float))
     w = np.zeros(x.shape[1])
     for _ in range(30):
@@ -208,6 +208,7 @@ def count_codes(docs: DataFrame, text_col: str = "text") -> dict[tuple[int, ...]
                 seen.update(c[3] for c in candidates(t or "")[1])
             yield pa.RecordBatch.from_arrays([pa.array([",".join(map(str, c)) for c in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], ["code", "n"])
 
+    short_batches(docs.sparkSession)
     rows = docs.select(text_col).mapInArrow(batches, "code string, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
     return {tuple(map(int, r["code"].split(","))): r["n"] for r in sorted(rows)}
 

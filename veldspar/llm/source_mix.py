@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veldspar.llm import numtext
-from veldspar.llm.store import cut, table
+from veldspar.llm.store import cut, short_batches, table
 
 #: Target shares of all tokens, and the tokens asked for as a multiple of those there are.
 TARGETS = {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}
@@ -136,6 +136,7 @@ def fit_rates(scored: DataFrame, domains: list[str], targets: dict[str, float],
 
 def score_domains(docs: DataFrame, model: DomainModel, history: np.ndarray | None = None, text_col: str = "text", keep: bool = True) -> DataFrame:
     """n_tokens, p (posteriors in the order of model.domains) and, given a history, rate; with the columns of `docs`."""
+    short_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model, history))
     at = docs.columns.index(text_col)
     fields = docs.schema.fields if keep else [f for f in docs.schema.fields if f.name != text_col]

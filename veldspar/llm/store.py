@@ -40,3 +40,10 @@ def hinted(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def short_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most `rows` rows from here on: texts are long, and a Python worker holds a batch several times over."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) > rows:
+        spark.conf.set(key, str(rows))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veldspar.llm import numtext
-from veldspar.llm.store import table
+from veldspar.llm.store import short_batches, table
 
 #: (category, SQL over the columns of the label table), in chain order.
 CATEGORIES = [("low_quality", "quality = 0"), ("toxic", "toxic = 1"), ("toxic_low_quality", "toxic = 1 AND quality = 0")]
@@ -193,6 +193,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, stratif
 
 def score_toxicity(docs: DataFrame, chain: Chain, threshold: float | None = None, text_col: str = "text") -> DataFrame:
     """`docs` with a probability for each category (p_<name>) and `toxic`, by `threshold` or the limit fitted out of fold."""
+    short_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(chain)
     added = [T.StructField(f"p_{n}", T.DoubleType()) for n in chain.names] + [T.StructField("toxic", T.BooleanType())]
     at = docs.columns.index(text_col)
