@@ -6,8 +6,9 @@ Documents become sets of distinct k-word shingle hashes and link when 100 * |x n
 2. A global order puts frequent shingles last (counted over the regions where prefixes lie), hashes break ties. The
    order decides speed alone: the prefix filter is exact under any order, so the list of frequent shingles may be bounded.
 3. Classes with equal prefix and equal size form a group. Groups meet in the posting lists of their prefix shingles.
-4. First round: in each list only the group with the least id is paired with the others, and in each group its first
-   class with the others. Verified links are contracted to components.
+4. First round: in each list only PIVOTS groups, the first by a hash, are paired with the others, and in each group its
+   head with the others. Verified links are contracted to components. In a large family in which one pair in four
+   links, all but a hundredth then is one component.
 5. Second round: all remaining group pairs of each list, of different components, that pass the size filter, the
    position filter and a parity-bitmap bound on the symmetric difference, are expanded to members and verified. Pairs
    within a component need no check, so components are exact although not every link of a large family is visited.
@@ -24,6 +25,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veldspar.llm import numtext
@@ -35,6 +37,8 @@ from veldspar.llm.store import cut, hinted, short_batches, table
 FREQUENT, LISTED = 16, 500_000
 #: 64-bit words of the parity bitmap that pairs are held against, and of its fold that postings carry.
 WORDS, FOLD = 16, 4
+#: Groups of each posting list that the first round pairs with all others of the list.
+PIVOTS = 16
 
 
 def _prefix_length(n: int, percent: int) -> int:
@@ -152,10 +156,12 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
     repeated = cut(postings.groupBy("h").count().filter("count > 1").select("h"), "ngram-repeated")
     lists = cut(postings.join(hinted(repeated), "h").select("h", "c", "n", "pos"), "ngram-lists")
 
-    # First round: one group of each list against the others; each group's head against its other classes.
-    pivots = lists.groupBy("h").agg(F.min(F.struct("c", "n", "pos")).alias("p"))
-    a, b = F.col, lambda x: F.col(f"p.{x}")
-    near = lists.join(pivots, "h").filter((a("c") != b("c")) & _sizes_fit(a("n"), b("n"), percent) & _positions_fit(a, b, percent))
+    # First round: a few groups of each list against the others; each group's head against its other classes.
+    rank = F.row_number().over(W.partitionBy("h").orderBy(F.xxhash64("c"), "c"))
+    pivots = lists.withColumn("r", rank).filter(F.col("r") <= PIVOTS).drop("r")
+    x, y = lists.alias("x"), cut(pivots, "ngram-pivots").alias("p")
+    a, b = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"p.{c}"))
+    near = x.join(y, (a("h") == b("h")) & (a("c") != b("c")) & _sizes_fit(a("n"), b("n"), percent) & _positions_fit(a, b, percent))
     star = near.select(F.greatest(a("c"), b("c")).alias("u"), F.least(a("c"), b("c")).alias("v"))
     inner = others.select(F.greatest("c", "head").alias("u"), F.least("c", "head").alias("v"))
     links = _verified(star.unionByName(inner).distinct(), named, classes, bits, k, percent)
