@@ -10,7 +10,8 @@ Documents become sets of distinct k-word shingle hashes and link when 100 * |x n
    head with the others. Verified links are contracted to components. In a large family in which one pair in four
    links, all but a hundredth then is one component.
 5. Second round: all remaining group pairs of each list, of different components, that pass the size filter, the
-   position filter and a parity-bitmap bound on the symmetric difference, are expanded to members and verified. Pairs
+   position filter and a parity-bitmap bound on the symmetric difference (of groups: on the bits in which all members of
+   one differ from all of the other), are expanded to members and verified. Pairs
    within a component need no check, so components are exact although not every link of a large family is visited.
 
 Edge cases: null, empty and blank text has an empty set, linked with nothing; with fewer than k words the whole
@@ -121,6 +122,23 @@ def _bits_fit(a, b, percent: int, words: int) -> Column:
     return differ <= total - 2 * F.ceil(total * percent / (100 + percent) - 1e-9)
 
 
+def _group_bits(bits: DataFrame, grouped: DataFrame) -> DataFrame:
+    """Per group (by its head): the size, the bits that all members set (l0..) and those that any member sets (h0..)."""
+    several = grouped.groupBy("head").agg(F.min("n").alias("n"), *[F.bit_and(f"b{i}").alias(f"l{i}") for i in range(WORDS)], *[F.bit_or(f"b{i}").alias(f"h{i}") for i in range(WORDS)])
+    alone = bits.join(hinted(grouped.select("c")), "c", "left_anti")
+    return several.unionByName(alone.select(F.col("c").alias("head"), "n", *[F.col(f"b{i}").alias(x) for x, i in ((f"{y}{i}", i) for y in "lh" for i in range(WORDS))]))
+
+
+def _groups_fit(pairs: DataFrame, spans: DataFrame, percent: int) -> DataFrame:
+    """The group pairs (ga, gb) of which some members may link: bits that all of one side set and none of the other count."""
+    x, y = spans.alias("x"), spans.alias("y")
+    sides = pairs.join(x, F.col("ga") == F.col("x.head")).join(y, F.col("gb") == F.col("y.head"))
+    only = lambda s, t, i: F.col(f"{s}.l{i}").bitwiseAND(F.bitwise_not(F.col(f"{t}.h{i}")))
+    differ = reduce(lambda p, q: p + q, [F.bit_count(only("x", "y", i).bitwiseOR(only("y", "x", i))) for i in range(WORDS)])
+    total = F.col("x.n") + F.col("y.n")
+    return sides.filter(differ <= total - 2 * F.ceil(total * percent / (100 + percent) - 1e-9)).select("ga", "gb")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, bits: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (u, v) of classes that link: by their bitmaps they may, by exact intersection of their whole sets they do."""
     x, y = bits.alias("x"), bits.alias("y")
@@ -150,7 +168,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
 
     # Groups of more than one class; a group goes by its least class, its head. Only heads are posted.
     multi = cut(each.groupBy("g").agg(F.min("c").alias("head"), F.count("*").alias("members")).filter("members > 1"), "ngram-groups")
-    grouped = cut(each.select("g", "c").join(hinted(multi), "g").select("head", "members", "c"), "ngram-members")
+    grouped = cut(each.join(hinted(multi), "g").select("head", "members", *bits.columns), "ngram-members")
     others = grouped.filter("c <> head")
     postings = each.join(hinted(others.select("c")), "c", "left_anti").select("c", "n", F.posexplode("prefix").alias("pos", "h"))
     repeated = cut(postings.groupBy("h").count().filter("count > 1").select("h"), "ngram-repeated")
@@ -182,7 +200,8 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
     fits = apart & _sizes_fit(a("n"), b("n"), percent) & _positions_fit(a, b, percent) & (~(a("alone") & b("alone")) | _bits_fit(a, b, percent, FOLD))
     group_pairs = x.join(y, (a("h") == b("h")) & (a("c") < b("c")) & fits).select(a("c").alias("ga"), b("c").alias("gb")).distinct()
     inside = mixed.select(F.col("head").alias("ga"), F.col("head").alias("gb"))
-    members = cut(group_pairs.unionByName(inside), "ngram-grouppairs")
+    candidates = cut(group_pairs.unionByName(inside), "ngram-grouppairs")
+    members = cut(_groups_fit(candidates, _group_bits(bits, grouped), percent), "ngram-groupsfit")
     spread = grouped.select("head", "c")
     expanded = members.join(hinted(spread.toDF("ga", "ca")), "ga", "left").join(hinted(spread.toDF("gb", "cb")), "gb", "left").select(F.coalesce("ca", "ga").alias("ca"), F.coalesce("cb", "gb").alias("cb"))
     rooted = expanded.join(hinted(roots.toDF("ca", "ra")), "ca", "left").join(hinted(roots.toDF("cb", "rb")), "cb", "left").filter((F.col("ca") != F.col("cb")) & (F.coalesce("ra", "ca") != F.coalesce("rb", "cb")))
