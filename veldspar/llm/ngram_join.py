@@ -129,14 +129,39 @@ def _group_bits(bits: DataFrame, grouped: DataFrame) -> DataFrame:
     return several.unionByName(alone.select(F.col("c").alias("head"), "n", *[F.col(f"b{i}").alias(x) for x, i in ((f"{y}{i}", i) for y in "lh" for i in range(WORDS))]))
 
 
+def _may_link(low, high, total: Column, percent: int) -> Column:
+    """Bits that one side sets (low) and the other doesn't (high) never exceed the symmetric difference; see _bits_fit.
+
+    low(side, i) and high(side, i) give word i of the bits that side 0 or 1 sets for sure and of those that it may set.
+    """
+    only = lambda s, i: low(s, i).bitwiseAND(F.bitwise_not(high(1 - s, i)))
+    differ = reduce(lambda p, q: p + q, [F.bit_count(only(0, i).bitwiseOR(only(1, i))) for i in range(WORDS)])
+    return differ <= total - 2 * F.ceil(total * percent / (100 + percent) - 1e-9)
+
+
 def _groups_fit(pairs: DataFrame, spans: DataFrame, percent: int) -> DataFrame:
-    """The group pairs (ga, gb) of which some members may link: bits that all of one side set and none of the other count."""
-    x, y = spans.alias("x"), spans.alias("y")
-    sides = pairs.join(x, F.col("ga") == F.col("x.head")).join(y, F.col("gb") == F.col("y.head"))
-    only = lambda s, t, i: F.col(f"{s}.l{i}").bitwiseAND(F.bitwise_not(F.col(f"{t}.h{i}")))
-    differ = reduce(lambda p, q: p + q, [F.bit_count(only("x", "y", i).bitwiseOR(only("y", "x", i))) for i in range(WORDS)])
+    """The group pairs (ga, gb) of which some members may link."""
+    low, high = (lambda s, i: F.col(f"{'xy'[s]}.l{i}")), (lambda s, i: F.col(f"{'xy'[s]}.h{i}"))
+    sides = pairs.join(spans.alias("x"), F.col("ga") == F.col("x.head")).join(spans.alias("y"), F.col("gb") == F.col("y.head"))
+    return sides.filter(_may_link(low, high, F.col("x.n") + F.col("y.n"), percent)).select("ga", "gb")
+
+
+def _expanded(pairs: DataFrame, bits: DataFrame, grouped: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Group pairs as pairs (u, v) of members of different components that may link.
+
+    Each join that expands a side holds its members against the other side's bits, so that it makes only such rows.
+    """
+    each = grouped.select("head", *bits.columns).unionByName(bits.join(hinted(grouped.select("c")), "c", "left_anti").withColumn("head", F.col("c")))
+    each = each.join(hinted(roots.withColumnRenamed("node", "c")), "c", "left").withColumn("root", F.coalesce("root", "c"))
+    spans = _group_bits(bits, grouped)
+    word = lambda s, i: F.col(f"{'xy'[s]}.b{i}")
+    low, high = (lambda s, i: F.col(f"y.l{i}") if s else word(0, i)), (lambda s, i: F.col(f"y.h{i}") if s else word(0, i))
     total = F.col("x.n") + F.col("y.n")
-    return sides.filter(differ <= total - 2 * F.ceil(total * percent / (100 + percent) - 1e-9)).select("ga", "gb")
+    fits = _may_link(low, high, total, percent)
+    half = pairs.join(spans.alias("y"), F.col("gb") == F.col("y.head")).join(each.alias("x"), (F.col("ga") == F.col("x.head")) & fits).select("gb", "x.c", "x.n", "x.root", *[word(0, i) for i in range(WORDS)])
+    apart = (F.col("x.c") != F.col("y.c")) & (F.col("x.root") != F.col("y.root"))
+    whole = half.alias("x").join(each.alias("y"), (F.col("x.gb") == F.col("y.head")) & apart & _may_link(word, word, total, percent))
+    return whole.select(F.greatest("x.c", "y.c").alias("u"), F.least("x.c", "y.c").alias("v")).distinct()
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, bits: DataFrame, k: int, percent: int) -> DataFrame:
@@ -202,10 +227,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
     inside = mixed.select(F.col("head").alias("ga"), F.col("head").alias("gb"))
     candidates = cut(group_pairs.unionByName(inside), "ngram-grouppairs")
     members = cut(_groups_fit(candidates, _group_bits(bits, grouped), percent), "ngram-groupsfit")
-    spread = grouped.select("head", "c")
-    expanded = members.join(hinted(spread.toDF("ga", "ca")), "ga", "left").join(hinted(spread.toDF("gb", "cb")), "gb", "left").select(F.coalesce("ca", "ga").alias("ca"), F.coalesce("cb", "gb").alias("cb"))
-    rooted = expanded.join(hinted(roots.toDF("ca", "ra")), "ca", "left").join(hinted(roots.toDF("cb", "rb")), "cb", "left").filter((F.col("ca") != F.col("cb")) & (F.coalesce("ra", "ca") != F.coalesce("rb", "cb")))
-    more = _verified(rooted.select(F.greatest("ca", "cb").alias("u"), F.least("ca", "cb").alias("v")).distinct(), named, classes, bits, k, percent)
+    more = _verified(_expanded(members, bits, grouped, roots, percent), named, classes, bits, k, percent)
     final = cut(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)), "ngram-final")
 
     # Class roots are hashes; a component's name is the least id in it.
