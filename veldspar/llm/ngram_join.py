@@ -38,6 +38,8 @@ from veldspar.llm.store import cut, hinted, short_batches, table
 FREQUENT, LISTED = 16, 500_000
 #: 64-bit words of the parity bitmap that pairs are held against, and of its fold that postings carry.
 WORDS, FOLD = 16, 4
+#: Shingles of the documents of one batch that goes back to the JVM, but for its last document.
+HELD = 250_000
 #: Groups of each posting list that the first round pairs with all others of the list.
 PIVOTS = 16
 
@@ -56,12 +58,13 @@ def _run(docs: DataFrame, columns: list[str], schema: str, each, k: int) -> Data
 
     def batches(it):
         for b in it:
-            ids, out = b.column(0).to_pylist(), []
+            ids, out, held = b.column(0).to_pylist(), [], 0
             for r, s in numtext.shingle_sets(b.column(1), k):
                 out.append(each(ids[r], s))
-                if len(out) == 2000:
+                held += len(s)
+                if len(out) == 2000 or held >= HELD:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], columns)
-                    out = []
+                    out, held = [], 0
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], columns)
 
