@@ -113,6 +113,50 @@ def test_license_scan(spark, none):
     assert license_scan.scan_licenses(none).count() == 0
 
 
+def test_published_licence_texts(spark):
+    mit = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software."""
+    apache = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software"""
+    gpl = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>."""
+    gpl2 = gpl.replace("software:", "software;").replace("Foundation, either version 3", "Foundation; either version 2").replace("program.  If not, see <https://www.gnu.org/licenses/>.", "program; if not, write to the Free Software\nFoundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.")
+    bsd = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+    bsd3 = bsd + "\n3. Neither the name of Big Co. nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission."
+    texts = [mit, " ".join(mit.split()), "# " + mit.replace("\n", "\n# "), apache, " * " + apache.replace("\n", "\n * "), gpl, gpl2, gpl.replace("This program is free", "Frob is free"), bsd, bsd3, "A wrapped\nAll rights\nreserved.", mit.replace("copies of", "copies not of")]
+    got = {r.doc_id: (r.license, r.n_matches) for r in license_scan.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: ("MIT", 1), 1: ("MIT", 1), 2: ("MIT", 1), 3: ("Apache-2.0", 1), 4: ("Apache-2.0", 1), 5: ("GPL-3.0", 1), 6: ("GPL-2.0", 1), 7: ("GPL-3.0", 1), 8: ("BSD-2-Clause", 1), 9: ("BSD-3-Clause", 1), 10: ("proprietary", 1)}
+
+
 def test_url_filter(spark, monkeypatch):
     urls = ["http://a.example.org/es/1", "x://EXAMPLE.org/en/12?x#y", "x://example.org/en/2", "x://org", "x://notorg/", "x://b.com/fr/", "x://b.com/de", "x://b.com/de/x", "no scheme", None, "x://u@org/?q", "x://c.org?/es/"]
     pages = spark.createDataFrame([(i, u, "r") for i, u in enumerate(urls)], "page_id long, url string, rule string")

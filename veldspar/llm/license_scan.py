@@ -5,6 +5,10 @@ identifiers of known licence sentences; the document's identifier sequence is th
 which are ordered identifier sequences. Longer rules are matched first and use up their identifiers, so a sentence is
 not counted again by a rule it is only a part of. Unknown sentences between known ones are skipped.
 
+A known sentence starts where a line or sentence starts and ends where one ends; within it the text may be wrapped, or
+commented out, line by line. The sentences and rules of the statement `SQL` are SENTENCES and RULES; PUBLISHED and
+FURTHER_RULES add the notices as licences print them, with their variants.
+
 Edge cases: null or empty text has no finding; a null id is reported as null; rows that share an id are scanned as
 one document; an empty table gives an empty result. Result: one row per document and licence found.
 """
@@ -14,10 +18,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldspar.llm.store import hinted
 from veldspar.llm.text import UPPER
 
-#: The notices that licences ask to be used, one sentence each, as published.
+#: Short notices, one sentence each.
 SENTENCES = {
     1: "Licensed under the Apache License, Version 2.0.",
     2: "Released under the MIT License.",
@@ -52,6 +55,46 @@ RULES = [
     ("proprietary", (5,)),
 ]
 
+_MIT_GRANT = "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"
+_APACHE = "the apache license version 2 0 the license you may not use this file except in compliance with the license"
+_AS_IS = "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"
+_GPL = "^is free software you can redistribute it and or modify it under the terms of the gnu general public license"
+_FSF = "as published by the free software foundation"
+_BSD_GRANT = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
+#: (identifier, normalised sentence as published, a regular expression). "_" is a name of up to 12 words, "^" one of up
+#: to 6 words on one line, "~" whatever is left of the line.
+PUBLISHED = [
+    (1, f"licensed under {_APACHE}"),
+    (1, f"the asf licenses this file to you under {_APACHE}"),
+    (6, "you may obtain a copy of the license at https? (?:www )?apache org licenses license 2 0(?: txt)?"),
+    (6, f"you may obtain a copy of the license at https? (?:www )?apache org licenses license 2 0(?: txt)? {_AS_IS}"),
+    (7, _MIT_GRANT),
+    (8, "the above copyright notice and this permission notice(?: including the next paragraph)? shall be included in all copies or substantial portions of the software"),
+    (16, "this source code form is subject to the terms of the mozilla public license v(?: 2 0)?"),
+    (17, f"{_MIT_GRANT} the above copyright notice and this permission notice(?: including the next paragraph)? shall be included in all copies or substantial portions of the software"),
+    (21, f"{_GPL} {_FSF}(?: either)? version 3(?: of the license)?(?: or at your option any later version)?"),
+    (21, f"{_GPL} version 3(?: only)? {_FSF}"),
+    (10, "you should have received a copy of the gnu general public license along with _(?: if not(?: see| write to) ~)?"),
+    (11, "this work is licensed under (?:a|the) creative commons attribution noncommercial 4 0 international license"),
+    (12, "this work is licensed under (?:a|the) creative commons attribution 4 0 international license"),
+    (13, f"{_BSD_GRANT}(?: 1)?"),
+    (18, "(?:neither )?the names? of _ (?:nor the names of (?:its|any|the|their)(?: other)? contributors )?may(?: not)? be used to endorse or promote products derived from this software without(?: specific)? prior written permission"),
+    (19, "all advertising materials mentioning features or use of this software must display the following acknowledge?ment this product includes software developed by _"),
+    (20, f"{_GPL} {_FSF}(?: either)? version 2(?: of the license)?(?: or at your option any later version)?"),
+    (20, f"{_GPL} version 2(?: only)? {_FSF}"),
+]
+FURTHER_RULES = [
+    ("MIT", (17,)),
+    ("BSD-4-Clause", (13, 14, 15, 19, 18)),
+    ("BSD-3-Clause", (13, 14, 15, 18)),
+    ("GPL-2.0", (20, 10)),
+    ("GPL-2.0", (20,)),
+    ("GPL-3.0", (21, 10)),
+    ("GPL-3.0", (21,)),
+]
+#: Around a sentence that was found; normalised text has no such characters.
+OPENED, CLOSED = "\x02", "\x03"
+
 
 def normalise(text: Column) -> Column:
     """Normalised text with one line feed between sentences."""
@@ -60,17 +103,28 @@ def normalise(text: Column) -> Column:
     return F.regexp_replace(broken, r"[^a-z0-9\n]+", " ")
 
 
-def scan_licenses(docs: DataFrame, sentences: dict[int, str] = SENTENCES, rules=RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _pattern(sentence: str) -> str:
+    """Regular expression of a normalised sentence whose words may stand on several lines."""
+    names = {"_": r"(?:[a-z0-9]++[ \n]++){0,11}?[a-z0-9]++", "^": r"(?:[a-z0-9]++ ++){1,6}?", "~": r"[a-z0-9 ]*+"}
+    return "".join({" ": r"[ \n]++", **names}.get(c, c) for c in sentence)
+
+
+def _known(sentences: dict[int, str], published) -> list[tuple[int, str]]:
+    """(identifier, regular expression), longer sentences first."""
+    plain = [(i, " ".join("".join(c if c in "abcdefghijklmnopqrstuvwxyz0123456789" else " " for c in s.lower()).split())) for i, s in sentences.items()]
+    return [(i, _pattern(s)) for i, s in sorted([*published, *plain], key=lambda x: -len(x[1]))]
+
+
+def scan_licenses(docs: DataFrame, sentences: dict[int, str] = SENTENCES, rules=(*RULES, *FURTHER_RULES), id_col: str = "doc_id", text_col: str = "text", published=PUBLISHED) -> DataFrame:
     """One row per document and licence: doc_id, license, n_matches, n_sentences (known ones), sentence_ids."""
-    spark = docs.sparkSession
-    known = spark.createDataFrame([(i, s) for i, s in sentences.items()], "sid int, raw string")
-    # A sentence that holds "v. 2.0" falls into two; its last part then stands for it.
-    known = known.select("sid", F.explode(F.split(normalise(F.col("raw")), "\n")).alias("s")).select("sid", F.trim("s").alias("s"))
-    known = known.filter(F.length("s") > 8).groupBy("s").agg(F.min("sid").alias("sid"))
-
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(normalise(text), "\n")).alias("pos", "s"))
-    found = lines.select("doc_id", "pos", F.trim("s").alias("s")).join(hinted(known), "s")
+    known = _known(sentences, published)
+    whole = rf"(?<![^\n]) ?+(?:{'|'.join(p for _, p in known)})(?= ?(?:\n|\z))"
+    marked = docs.select(F.col(id_col).alias("doc_id"), F.regexp_replace(normalise(F.coalesce(F.col(text_col), F.lit(""))), whole, f"{OPENED}$0{CLOSED}").alias("t")).filter(F.contains("t", F.lit(OPENED)))
+    lines = F.filter(F.transform(F.split("t", "\n"), lambda x, i: F.when(x.startswith(OPENED), i)), lambda i: i.isNotNull())
+    texts = F.transform(F.slice(F.split("t", OPENED), 2, 1 << 30), lambda x: F.trim(F.substring_index(x, CLOSED, 1)))
+    each = marked.select("doc_id", F.explode(F.arrays_zip(lines.alias("pos"), texts.alias("s"))).alias("x")).select("doc_id", "x.pos", "x.s")
+    sid = F.coalesce(*[F.when(F.col("s").rlike(rf"\A(?:{p})\z"), i) for i, p in known])
+    found = each.select("doc_id", "pos", sid.alias("sid"))
     # Known sentences are a fixed list, so what a document gathers here is a few bytes for each line of its own.
     order = F.sort_array(F.collect_list(F.struct("pos", "sid")))
     seq = found.groupBy("doc_id").agg(order.alias("o")).select("doc_id", F.transform("o", lambda x: x["sid"]).alias("sentence_ids"))
