@@ -78,6 +78,17 @@ def test_pii_adds_what_labelers_agree_on(spark):
         assert spans == sorted(spans)
 
 
+def test_account_numbers_of_every_length(spark):
+    ibans = ["DE89 3704 0044 0532 0130 00", "FR14 2004 1010 0505 0001 3M02 606", "GB29 NWBK 6016 1331 9268 19", "NL91 ABNA 0417 1643 00", "ES91 2100 0418 4502 0005 1332", "NO93 8601 1117 947", "MT84 MALT 0110 0001 2345 MTLC AST0 01S"]
+    for one in (*ibans, *(x.replace(" ", "") for x in ibans)):
+        for after in ("", ".", " BIC CODE", " IS OURS", f" {ibans[0]}"):
+            assert pii.iban_matches(f"IBAN {one}{after}")[0] == (5, 5 + len(one)), (one, after)
+    assert not pii.iban_matches("DE89 3704 0044 and GB" + "1" * 40)
+    texts = [f"pay to account {x}, thanks" for x in ibans for _ in range(8)] + [f"order {i}{i}-{i} of type AB{i} text" for i in range(10, 60)]
+    got = pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [f"iban:15:{15 + len(ibans[i // 8])}" in got[i].spans for i in range(56)] == [True] * 56
+
+
 def test_random_strings_are_found_and_words_are_not(spark):
     import random
 

@@ -50,9 +50,12 @@ _LOOSE = {
     "email": re.compile(r"[A-Za-z0-9._%+-]{1,64} ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]{1,63}(?: ?[\[(](?:dot|DOT)[\])] ?[A-Za-z0-9-]{1,63})+"),
     "phone": re.compile(r"(?<![0-9])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"),
     "ssn": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
-    "iban": re.compile(r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?![A-Z0-9])"),
     "name": re.compile(rf"\b(?:(?:{'|'.join(TITLES)})\.? [A-ZÀ-Þ][a-zß-ÿ]+|(?:{'|'.join(NAMES)}) [A-ZÀ-Þ][a-zß-ÿ]+)"),
 }
+_IBAN = re.compile(r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?= ?[A-Z0-9]{4})")
+_IBAN_GROUP = re.compile(r" ?[A-Z0-9]{4}")
+_IBAN_LAST = re.compile(r" ?[A-Z0-9]{1,4}(?![A-Z0-9])")
+_IBAN_MORE = re.compile(r"[A-Z0-9]")
 _CONTEXT = {
     "email": re.compile(r"mail|contact|write", re.I),
     "ip": re.compile(r"\bip\b|host|server|address", re.I),
@@ -104,6 +107,37 @@ def _mod97(value: str) -> bool:
     return int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97 == 1
 
 
+def _iban_ends(text: str, start: int) -> list[int]:
+    """Where an account number of 15 to 34 characters that starts here may end, last first: after some groups of four, or
+    one more group of one to four."""
+    ends, at = set(), start + 4
+    for length in range(4, 36, 4):
+        if 15 <= length <= 34 and not _IBAN_MORE.match(text, at):
+            ends.add(at)
+        if (last := _IBAN_LAST.match(text, at)) and 15 <= length + len(last[0].strip()) <= 34:
+            ends.add(last.end())
+        if not (group := _IBAN_GROUP.match(text, at)):
+            break
+        at = group.end()
+    return sorted(ends, reverse=True)
+
+
+def iban_matches(text: str) -> list[tuple[int, int]]:
+    """(start, end) of account numbers. Words in capitals may follow one, so the checksum decides where it ends; where it
+    holds nowhere, the last end counts, as long as that overlaps no number for which it holds."""
+    found = [(m.start(), _iban_ends(text, m.start())) for m in _IBAN.finditer(text)]
+    out: list[tuple[int, int]] = []
+    for s, ends in found:
+        if not out or s >= out[-1][1]:
+            out += [(s, e) for e in ends if _mod97(text[s:e])][:1]
+    valid, at = list(out), 0
+    for s, ends in found:
+        if ends and s >= at and not any(s < e2 and s2 < ends[0] for s2, e2 in valid):
+            out.append((s, ends[0]))
+            at = ends[0]
+    return sorted(out)
+
+
 def _votes(text: str, kind: str, start: int, end: int, strict: int) -> tuple[int, ...]:
     """A vote of -1, 0 or 1 from each labeler."""
     value, before = text[start:end], text[max(0, start - 40) : start]
@@ -141,6 +175,8 @@ def candidates(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, i
         for kind, pattern in _LOOSE.items():
             if kind == "name" or _DIGIT.search(text) or kind == "email" and ("[" in text or "(" in text):
                 found += [(m.start(), KINDS.index(kind), m.end(), 0, False) for m in pattern.finditer(text)]
+        if _DIGIT.search(text):
+            found += [(s, KINDS.index("iban"), e, 0, False) for s, e in iban_matches(text)]
     out = []
     for s, k, e, strict, ok in found:
         shape = (min(e - s, 40) // 8, sum(map(str.isdigit, text[s:e])) * 4 // (e - s))
