@@ -64,6 +64,20 @@ def test_ngram_join(docs, none):
     assert ngram_join.keep_one(docs).columns == docs.columns
 
 
+def test_stages_judge_rows_not_ids(spark):
+    w = lambda x, n=40: " ".join(f"{x}{i}" for i in range(n))
+    rows = [(1, w("a")), (2, w("a") + " end"), (2, w("b")), (3, w("c")), (3, w("c") + " end"), (None, w("d")), (None, w("d") + " end"), (None, w("a") + " last"), (4, w("e")), (4, w("e")), (5, None), (5, None), (None, w("f"))]
+    docs = spark.createDataFrame([(i, x, "x") for i, x in rows], "doc_id long, text string, n string")
+    kept = ngram_join.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    ends = [sum(x is not None and x.startswith(f"{c}0 ") for _, x in got) for c in "abcdef"]
+    assert ends == [1, 1, 1, 1, 1, 1] and (1, w("a")) in got and (2, w("b")) in got and got.count((5, None)) == 2 and len(got) == 8
+    items = spark.createDataFrame([(1, w("d", 12)), (2, w("b", 12))], "item_id long, text string")
+    left = [(r.doc_id, r.text) for r in decontaminate.drop_contaminated(docs, items).collect()]
+    assert sorted(left, key=repr) == sorted([r for r in rows if not (r[1] or "").startswith(("d0 ", "b0 "))], key=repr)
+
+
 def test_pii_and_secrets(docs, none):
     assert pii.find_pii(docs).count() == len(DOCS) and pii.find_pii(none).count() == 0
     assert secret_scan.scan_secrets(docs).count() == len(DOCS) and secret_scan.scan_secrets(none).count() == 0

@@ -9,8 +9,8 @@ shingles than an item needs is never its candidate. Candidates are then verified
 their whole texts.
 
 Edge cases: null and short texts (under five words) have no shingles and match nothing, as items or as documents; rows
-that share an id are one item or document; rows without an id give no pair, as there is nothing to report; empty
-tables give an empty result. Other columns are not looked at.
+that share an id are one item or document; rows without an id give no pair, as there is nothing to report, but
+`drop_contaminated` judges every row; empty tables give an empty result. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veldspar.llm.store import cut, hinted, table
-from veldspar.llm.text import shingles
+from veldspar.llm.text import row_key, shingles
 
 
 def signatures(items: DataFrame, k: int = 5, percent: int = 80, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -51,9 +51,11 @@ def contaminated(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 8
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` without the documents that contain an item; all columns stay."""
-    leaks = cut(contaminated(docs, items, id_col=id_col, text_col=text_col).select(F.col("doc_id").alias("__leak")).distinct(), "decon-leaks")
-    return docs.join(hinted(leaks), F.col(id_col) == F.col("__leak"), "left_anti")
+    """`docs` without the rows that contain an item; all columns stay. Each row is judged by its own text, whatever its id."""
+    key = row_key(F.col(id_col), F.col(text_col))
+    rows = docs.select(key.alias("__key"), F.col(text_col))
+    leaks = cut(contaminated(rows, items, id_col="__key", text_col=text_col).select(F.col("doc_id").alias("__leak")).distinct(), "decon-leaks")
+    return docs.join(hinted(leaks), key == F.col("__leak"), "left_anti")
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

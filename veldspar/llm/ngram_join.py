@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from veldspar.llm import numtext
 from veldspar.llm.components import components
 from veldspar.llm.store import cut, hinted, short_batches, table
+from veldspar.llm.text import row_key
 
 #: A shingle in more than FREQUENT regions goes last in the order, as far as the list of the most frequent ones, of
 #: at most LISTED, holds it (8 bytes each, broadcast).
@@ -243,9 +244,25 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with one document of each component, the one with the least id; all columns stay."""
-    gone = jaccard_components(docs, k, percent, id_col, text_col).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(hinted(cut(gone, "ngram-gone")), F.col(id_col) == F.col("__gone"), "left_anti")
+    """`docs` with one row of each component, the one with the least id (null ids last); all columns stay.
+
+    Rows are told apart by id and text: rows that share an id but link to nothing stay, rows without an id take part. Of
+    rows that repeat both, one stays; texts without shingles are linked to nothing and stay as they are.
+    """
+    key = row_key(F.col(id_col), F.col(text_col))
+    found = jaccard_components(docs.select(key.alias("__key"), F.col(text_col)), k, percent, "__key", text_col).filter("n_shingles > 0")
+    found = cut(found.groupBy(F.col("doc_id").alias("__key"), "component_id").agg(F.count("*").alias("n")), "ngram-found")
+    several = found.groupBy("component_id").agg(F.sum("n").alias("rows")).filter("rows > 1").select("component_id")
+    linked = cut(found.join(hinted(cut(several, "ngram-linked")), "component_id"), "ngram-rows")
+    ids = docs.select(key.alias("__key"), F.col(id_col).alias("i")).join(hinted(linked), "__key")
+    kept = ids.groupBy("component_id").agg(F.min(F.struct(F.col("i").isNull().alias("unnamed"), "i", "__key")).alias("m")).select(F.col("m.__key").alias("__key"), F.lit(True).alias("__kept"))
+    gone = cut(linked.join(kept, "__key", "left").filter("__kept IS NULL OR n > 1").select(F.col("__key").alias("__gone"), F.col("__kept").isNotNull().alias("__kept")), "ngram-gone")
+    same = key == F.col("__gone")
+    single = docs.join(hinted(gone.select("__gone")), same, "left_anti")
+    repeated = gone.filter("__kept").select("__gone")
+    if not repeated.head(1):
+        return single
+    return single.unionByName(docs.join(hinted(repeated), same, "inner").dropDuplicates(["__gone"]).drop("__gone"))
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,6 +15,11 @@ def lower_az(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
 
 
+def row_key(row_id: Column, text: Column) -> Column:
+    """64-bit key of a row for stages that judge each row: rows with the same key repeat both id (which may be null) and text."""
+    return F.xxhash64(row_id.isNull(), row_id, F.coalesce(text, F.lit("")))
+
+
 def words(text: Column) -> Column:
     """Maximal runs of non-blank characters of the A-Z-lower-cased text; null and blank text give an empty array."""
     return F.array_remove(F.split(lower_az(F.coalesce(text, F.lit(""))), BLANKS), "")
