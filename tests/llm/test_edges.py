@@ -130,6 +130,16 @@ def test_source_mix(docs, none, labels):
     assert source_mix.mixed(none.withColumn("lang", F.lit(None).cast("string")), labels).count() == 0
 
 
+def test_source_mix_knows_domains_that_the_sample_misses(spark):
+    words = {"en": "the quick brown fox and the dog", "de": "der schnelle braune fuchs und der hund", "fr": "le renard brun et le chien rapide"}
+    rows = [(i, "en" if i % 2 else "de") for i in range(100)] + [(i, "fr") for i in range(100, 105)]
+    docs = spark.createDataFrame([(i, f"{words[d]} {i}", d) for i, d in rows] + [(None, None, None)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(100)], "doc_id long, quality int, toxic int")
+    assert source_mix.fit_domains(docs, labels).domains == ["de", "en", "fr"]
+    out = {r.doc_id: r for r in source_mix.mixed(docs, labels, {"en": 0.4, "de": 0.4, "fr": 0.2}).collect()}
+    assert min(out[i].rate for i in range(100, 105)) > 2 * max(out[i].rate for i in range(100))
+
+
 def test_license_scan(spark, none):
     text = "Hello.  Licensed under the  Apache License, Version 2.0. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0\nALL RIGHTS RESERVED!\nReleased under the MIT License."
     docs = spark.createDataFrame([(1, text, 5), (2, None, 5), (3, "No licence here", 5), (None, "All rights reserved.", 5)], "doc_id long, text string, pos int")

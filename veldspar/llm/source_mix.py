@@ -11,15 +11,19 @@ executor costs only its own partitions. Features are hashed byte trigrams of the
 
 The domain is a column of the documents (`lang` in the query: in these tables the ids of sources leave no trace in the text,
 so posteriors over them would be flat and no rates could tell them apart). The classifier is fitted on at most SAMPLE
-labelled rows, chosen by a hash of the id; counts, posteriors and rates cover every document.
+labelled rows, chosen by a hash of the id, and on rows of each domain that occurs in no such row; counts, posteriors and rates
+cover every document.
 
 Edge cases: null or blank text has 0 tokens and counts for nothing, its rate follows from its posterior; a null domain is
-no training row; ids may be null or repeat; a domain without a target has target 0; without training rows all is one domain
-named "all"; an empty table gives an empty result. Extra columns pass through.
+no training row; ids may be null or repeat; a domain without a target has target 0, a target without a document is
+warned of and can't be met; a domain without a text of at most LONGEST bytes is an error; without any domain all is one
+domain named "all"; an empty table gives an empty result. Extra columns pass through.
 """
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -90,6 +94,14 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domain_col: str = "lang", id
     ids = labels.select(F.col(id_col).alias("__id")).filter("__id IS NOT NULL").distinct().orderBy(F.xxhash64("__id"), "__id").limit(sample)
     rows = docs.join(F.broadcast(ids), F.col(id_col) == F.col("__id"), "left_semi").filter(F.octet_length(text_col) <= LONGEST)
     got = rows.select(F.col(id_col).alias("i"), F.col(domain_col).cast("string").alias("d"), F.col(text_col).alias("t")).na.drop().orderBy("i", "d", "t").limit(2 * sample).collect()
+    # A domain that the sample misses is trained on rows of its own, labelled or not; such domains are few and rare.
+    occurring = [r["d"] for r in docs.filter(F.col(text_col).isNotNull()).select(F.col(domain_col).cast("string").alias("d")).distinct().na.drop().collect()]
+    for d in sorted(set(occurring) - {r["d"] for r in got}):
+        own = docs.filter(F.col(domain_col).cast("string") == d).select(F.col(id_col).alias("i"), F.lit(d).alias("d"), F.col(text_col).alias("t"))
+        more = own.filter(F.octet_length("t") <= LONGEST).orderBy(F.xxhash64("t"), "t").limit(max(1, sample // len(occurring))).collect()
+        if not more:
+            raise ValueError(f"domain {d!r} has no text to train on")
+        got += more
     domains = sorted({r["d"] for r in got}) or ["all"]
     model = DomainModel(domains)
     return model.fit([r["t"] for r in got], np.array([domains.index(r["d"]) for r in got])) if got else model
@@ -155,6 +167,8 @@ def score_domains(docs: DataFrame, model: DomainModel, history: np.ndarray | Non
 
 def mix_sources(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, domain_col: str = "lang", total: float = TOTAL) -> tuple[DomainModel, np.ndarray]:
     model = fit_domains(docs, labels, domain_col)
+    if absent := sorted(d for d, share in targets.items() if share and d not in model.domains):
+        warnings.warn(f"no document has the target domains {absent}", stacklevel=2)
     scored = cut(score_domains(docs.select("text"), model, keep=False), "mix-scored")
     return model, fit_rates(scored, model.domains, targets, total)
 
