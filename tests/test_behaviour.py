@@ -196,3 +196,9 @@ def test_sinks(spark, tmp_path):
     with pytest.raises(contracts.ContractError):
         files.publish({"x": df}, bad, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out/x")).count() == 1
+
+
+def test_markdown_has_every_row(spark):
+    df = spark.range(120).coalesce(1)
+    assert len(files.markdown(df).split("\n")) == 122
+    assert files.markdown(df, 50).endswith("| 49 |\n\n70 more rows")

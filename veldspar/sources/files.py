@@ -40,8 +40,9 @@ def publish(tables: dict[str, DataFrame], issues: DataFrame, folder: str) -> Non
         raise ContractError(json.dumps([r.asDict() for r in bad]))
 
 
-def markdown(df: DataFrame, limit: int = 50) -> str:
-    """A small result as a Markdown table."""
-    rows = df.limit(limit).collect()
+def markdown(df: DataFrame, limit: int | None = None) -> str:
+    """A small result as a Markdown table: all rows, or the first `limit` with a line that says how many are left out."""
+    rows = df.collect()
     line = lambda xs: "| " + " | ".join("" if x is None else str(x).replace("|", "\\|") for x in xs) + " |"
-    return "\n".join([line(df.columns), line("---" for _ in df.columns), *map(line, rows)])
+    left = len(rows) - len(rows[:limit])
+    return "\n".join([line(df.columns), line("---" for _ in df.columns), *map(line, rows[:limit]), *([f"\n{left} more rows"] if left else [])])
