@@ -1,21 +1,17 @@
-"""The rule engine, compiled to column expressions.
+"""The rule engine, compiled to SQL expressions.
 
-Rules are evaluated side by side on the observation row instead of on a row for each rule: eligibility, triggers, capped
-family points and bands are plain expressions inside one code-generated stage, and persistence is one lag of an array of
-booleans. Rows for each rule are only made at the end, for those who ask for indicators. All scenarios of a
-sensitivity run share the same two exchanges.
+Rules are evaluated side by side on the observation row instead of on a row for each rule. Which rules are eligible and
+triggered is held in bits of a long, so that counts are bit counts under a mask, capped family points are sums of them,
+and persistence is one lag of one number. Each rule becomes one SQL string once: the driver parses a few strings rather
+than building thousands of columns. The scenarios of a sensitivity run share the bits of all conditions that they don't
+change, and the two exchanges. Rows for each rule, or for each scenario, are only made at the end.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add, and_
-
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veldspar.functions.semantics import nan_to_null, pct_rank_avg
 from veldspar.plans.methodology import OPERATORS, scenarios
 
 OBS = ["firm_key", "reporting_period", "source_reporting_period", "product_group"]
@@ -24,143 +20,201 @@ PEER_FEATURES = ["complaints_opened_count", "context_provision_rate", "context_i
 BANDS = ["priority_review", "review", "monitor", "no_current_signal", "insufficient_data"]
 #: Eligible rules from which coverage is broad; a fixed value, not part of a methodology.
 BROAD = 6
+#: Rules, or conditions of scenarios, in one long.
+WORD = 62
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _all(terms: list[str]) -> str:
+    return "(" + " AND ".join(terms) + ")"
+
+
+def _plus(terms: list[str]) -> str:
+    return "(" + " + ".join(terms) + ")" if terms else "0"
 
 
 def prepare(features: DataFrame) -> DataFrame:
     """NaN to null, the share closed beyond eight weeks (null outside 0..1), peer counts and missing percentiles."""
     numeric = {f.name for f in features.schema.fields if f.dataType.typeName() == "double"}
-    df = features.select([nan_to_null(F.col(c)).alias(c) if c in numeric else F.col(c) for c in features.columns])
-    late = 1 - (F.col("closed_within_3_days_pct") + F.col("closed_after_3_days_within_8_weeks_pct"))
-    df = df.withColumn("closed_over_8_weeks_pct", F.when(late.between(0, 1), late))
-    peers = W.partitionBy(*PEER)
-    df = df.withColumns({f"{f}_peer_count": F.count(f).over(peers) for f in PEER_FEATURES if f in df.columns})
-    return df.withColumns({f"{f}_peer_percentile": pct_rank_avg(f, *PEER) for f in PEER_FEATURES if f in df.columns and f"{f}_peer_percentile" not in features.columns})
+    df = features.selectExpr(*[f"CASE WHEN NOT isnan({_quoted(c)}) THEN {_quoted(c)} END AS {_quoted(c)}" if c in numeric else _quoted(c) for c in features.columns])
+    late = "(1 - (closed_within_3_days_pct + closed_after_3_days_within_8_weeks_pct))"
+    df = df.withColumn("closed_over_8_weeks_pct", F.expr(f"CASE WHEN {late} BETWEEN 0 AND 1 THEN {late} END"))
+    held = [f for f in PEER_FEATURES if f in df.columns]
+    peers = f"PARTITION BY {', '.join(PEER)}"
+    rank = "CASE WHEN {f} IS NOT NULL THEN (rank() OVER ({o}) + (count({f}) OVER ({o} RANGE BETWEEN CURRENT ROW AND CURRENT ROW) - 1) / 2.0D) / count({f}) OVER ({p}) END"
+    counts = {f"{f}_peer_count": F.expr(f"count({f}) OVER ({peers})") for f in held}
+    ranks = {f"{f}_peer_percentile": F.expr(rank.format(f=f, o=f"{peers} ORDER BY {f} ASC NULLS LAST", p=peers)) for f in held if f"{f}_peer_percentile" not in features.columns}
+    return df.withColumns(counts | ranks)
+
+
+def eligible(rule: dict, m: dict) -> str:
+    return _all([*[f"{_quoted(c['feature'])} IS NOT NULL" for c in rule["conditions"]], f"coalesce({_quoted(rule['peer_count_feature'])} >= {int(m['minimum_peer_size'])}, false)"])
+
+
+def met(rule: dict) -> str:
+    if bad := {c["operator"] for c in rule["conditions"]} - set(OPERATORS):
+        raise ValueError(f"unsupported operators {sorted(bad)}")
+    return _all([f"{_quoted(c['feature'])} {c['operator']} {float(c['threshold'])!r}D" for c in rule["conditions"]])
+
 
+def reason(rule: dict, m: dict) -> str:
+    missing = " OR ".join(f"{_quoted(c['feature'])} IS NULL" for c in rule["conditions"])
+    return f"CASE WHEN {missing} THEN 'missing_required_feature' WHEN NOT {eligible(rule, m)} THEN 'peer_group_below_minimum' WHEN {met(rule)} THEN 'conditions_met' ELSE 'conditions_not_met' END"
 
-def eligible(rule: dict, m: dict) -> Column:
-    present = reduce(and_, [F.col(c["feature"]).isNotNull() for c in rule["conditions"]])
-    return present & F.coalesce(F.col(rule["peer_count_feature"]) >= int(m["minimum_peer_size"]), F.lit(False))
 
+_BEFORE = "OVER (PARTITION BY firm_key, product_group ORDER BY observation_end ASC NULLS LAST, reporting_period, source_reporting_period)"
 
-def met(rule: dict) -> Column:
-    return reduce(and_, [getattr(F.col(c["feature"]), OPERATORS[c["operator"]])(F.lit(float(c["threshold"]))) for c in rule["conditions"]])
 
+def band(score: str, m: dict) -> str:
+    whens = [f"WHEN {score} >= {int(b['minimum_score'])} THEN {_text(b['label'])}" for b in sorted(m["priority_bands"], key=lambda b: -int(b["minimum_score"]))]
+    return f"CASE {' '.join(whens)} END"
 
-def reason(rule: dict, m: dict) -> Column:
-    missing = reduce(lambda a, b: a | b, [F.col(c["feature"]).isNull() for c in rule["conditions"]])
-    return F.when(missing, "missing_required_feature").when(~eligible(rule, m), "peer_group_below_minimum").when(met(rule), "conditions_met").otherwise("conditions_not_met")
 
+def _family(rule: dict) -> str:
+    return rule.get("score_family", rule["category"])
 
-def _ordered() -> W:
-    return W.partitionBy("firm_key", "product_group").orderBy(F.col("observation_end").asc_nulls_last(), "reporting_period", "source_reporting_period")
 
+class Bits:
+    """Distinct (eligible, met) conditions, each with a place in the words of the columns ok<w>, hit<w> and prior<w>."""
 
-def band(score: Column, m: dict) -> Column:
-    out = None
-    for b in sorted(m["priority_bands"], key=lambda b: -int(b["minimum_score"])):
-        hit = score >= int(b["minimum_score"])
-        out = F.when(hit, b["label"]) if out is None else out.when(hit, b["label"])
-    return out
+    def __init__(self):
+        self.place: dict[tuple[str, str], int] = {}
 
+    def of(self, m: dict) -> list[int]:
+        """The place of each rule of a methodology."""
+        return [self.place.setdefault((eligible(r, m), met(r)), len(self.place)) for r in m["rules"]]
 
-def _verdict(m: dict, ok, hit, kept) -> dict[str, Column]:
-    """Summary columns from each rule's eligible, triggered and persistent columns."""
-    count = lambda cs: reduce(add, [F.coalesce(c, F.lit(False)).cast("int") for c in cs])
-    families: dict[str, list[Column]] = {}
-    for r, h in zip(m["rules"], hit):
-        families.setdefault(r.get("score_family", r["category"]), []).append(F.when(h, int(r["points"])).otherwise(0))
+    def add(self, df: DataFrame) -> DataFrame:
+        """`df` with the words: of this observation, and of the one before it of the same firm and product."""
+        conditions = list(self.place)
+        words = {}
+        for w in range(0, len(conditions), WORD):
+            part = list(enumerate(conditions[w : w + WORD]))
+            words[f"ok{w // WORD}"] = F.expr(" | ".join(f"CASE WHEN {e} THEN {1 << i}L ELSE 0L END" for i, (e, _) in part))
+            words[f"hit{w // WORD}"] = F.expr(" | ".join(f"CASE WHEN {e} AND {t} THEN {1 << i}L ELSE 0L END" for i, (e, t) in part))
+        df = df.withColumns(words)
+        return df.withColumns({f"prior{w}": F.expr(f"coalesce(lag(hit{w}) {_BEFORE}, 0L)") for w in range(self.words)})
+
+    @property
+    def words(self) -> int:
+        return -(-len(self.place) // WORD)
+
+    def count(self, word: str, places: list[int]) -> str:
+        """How many of the places are set; `word` is an expression with {w} for the number of the word."""
+        masks: dict[int, int] = {}
+        for p in places:
+            masks[p // WORD] = masks.get(p // WORD, 0) | 1 << p % WORD
+        return _plus([f"bit_count({word.format(w=w)} & {mask}L)" for w, mask in sorted(masks.items())])
+
+    def is_set(self, word: str, place: int) -> str:
+        return f"({word.format(w=place // WORD)} & {1 << place % WORD}L) <> 0"
+
+
+_OK, _HIT, _KEPT = "ok{w}", "hit{w}", "(hit{w} & prior{w})"
+
+
+def _verdict(m: dict, bits: Bits) -> dict[str, str]:
+    """Summary columns as SQL over the words."""
+    places = bits.of(m)
+    n_ok, n_kept = bits.count(_OK, places), bits.count(_KEPT, places)
+    points: dict[str, dict[int, list[int]]] = {}
+    for r, p in zip(m["rules"], places):
+        points.setdefault(_family(r), {}).setdefault(int(r["points"]), []).append(p)
+    sums = {f: _plus([f"{n} * {bits.count(_HIT, at)}" for n, at in by.items()]) for f, by in points.items()}
     caps = m.get("family_point_caps", {})
-    sums = {f: reduce(add, cs) for f, cs in families.items()}
-    capped = {f: F.least(s, F.lit(int(caps[f]))) if f in caps else s for f, s in sums.items()}
-    base, bonus = reduce(add, capped.values()), F.least(count(kept), F.lit(int(m["maximum_persistence_bonus"])))
+    capped = {f: f"least({s}, {int(caps[f])})" if f in caps else s for f, s in sums.items()}
+    base, bonus = _plus(list(capped.values())), f"least({n_kept}, {int(m['maximum_persistence_bonus'])})"
     least = int(m["minimum_eligible_rules_for_classification"])
-    ids = F.array(*[F.when(h, r["rule_id"]) for r, h in sorted(zip(m["rules"], hit), key=lambda x: x[0]["rule_id"])])
+    ids = [f"CASE WHEN {bits.is_set(_HIT, p)} THEN {_text(r['rule_id'])} END" for r, p in sorted(zip(m["rules"], places), key=lambda x: x[0]["rule_id"])]
     return {
-        "eligible_rule_count": count(ok),
-        "triggered_rule_count": count(hit),
-        "persistent_rule_count": count(kept),
-        "triggered_rule_ids": F.array_join(ids, "|"),
-        "family_scores": F.create_map(*[x for f in sorted(capped) for x in (F.lit(f), capped[f])]),
-        "uncapped_base_warning_score": reduce(add, sums.values()),
+        "eligible_rule_count": n_ok,
+        "triggered_rule_count": bits.count(_HIT, places),
+        "persistent_rule_count": n_kept,
+        "triggered_rule_ids": f"concat_ws('|', {', '.join(ids)})",
+        "family_scores": f"map({', '.join(f'{_text(f)}, {capped[f]}' for f in sorted(capped))})",
+        "uncapped_base_warning_score": _plus(list(sums.values())),
         "base_warning_score": base,
-        "point_cap_reduction": reduce(add, sums.values()) - base,
+        "point_cap_reduction": f"{_plus(list(sums.values()))} - {base}",
         "persistence_bonus": bonus,
-        "warning_score": base + bonus,
-        "coverage_status": F.when(count(ok) >= BROAD, "broad").when(count(ok) >= least, "partial").otherwise("limited"),
-        "priority_band": F.when(count(ok) < least, "insufficient_data").otherwise(band(base + bonus, m)),
+        "warning_score": f"{base} + {bonus}",
+        "coverage_status": f"CASE WHEN {n_ok} >= {BROAD} THEN 'broad' WHEN {n_ok} >= {least} THEN 'partial' ELSE 'limited' END",
+        "priority_band": f"CASE WHEN {n_ok} < {least} THEN 'insufficient_data' ELSE {band(f'({base} + {bonus})', m)} END",
     }
 
 
-def _evaluated(features: DataFrame, m: dict, kept: list[str]) -> DataFrame:
-    """`kept` columns and `rules`: for each rule eligible, triggered, reason, peer_count, persistent."""
-    rules = m["rules"]
-    df = prepare(features)
-    one = lambda r: F.struct(
-        eligible(r, m).alias("eligible"), (eligible(r, m) & met(r)).alias("triggered"), reason(r, m).alias("eligibility_reason"), F.coalesce(F.col(r["peer_count_feature"]), F.lit(0)).cast("long").alias("peer_count")
-    )
-    df = df.withColumn("rules", F.array(*[one(r) for r in rules]))
-    before = F.lag(F.transform("rules", lambda x: x["triggered"])).over(_ordered())
-    return df.withColumn("before", before).select(*kept, "rules", "before")
+def summary(features: DataFrame, m: dict, carry: tuple[str, ...] = (), prepared: DataFrame | None = None) -> DataFrame:
+    """One row per observation: rule counts, scores, coverage and band; `carry` names feature columns to keep.
 
-
-def _parts(m: dict):
-    n = range(len(m["rules"]))
-    ok, hit = [F.col("rules")[i]["eligible"] for i in n], [F.col("rules")[i]["triggered"] for i in n]
-    return ok, hit, [hit[i] & F.coalesce(F.col("before")[i], F.lit(False)) for i in n]
-
-
-def summary(features: DataFrame, m: dict, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per observation: rule counts, scores, coverage and band; `carry` names feature columns to keep."""
-    df = _evaluated(features, m, [*OBS, *carry])
-    cols = _verdict(m, *_parts(m))
-    return df.select(*OBS, *carry, *[c.alias(n) for n, c in cols.items()], F.lit(m["methodology_id"]).alias("methodology_id"), F.lit(m["methodology_status"]).alias("methodology_status"))
+    `prepared`: what `prepare` made of the features, where several methodologies share it.
+    """
+    bits = Bits()
+    verdict = _verdict(m, bits)
+    df = bits.add(prepare(features) if prepared is None else prepared)
+    fixed = [f"{_text(m[c])} AS {c}" for c in ("methodology_id", "methodology_status")]
+    return df.selectExpr(*OBS, *carry, *[f"{e} AS {n}" for n, e in verdict.items()], *fixed)
 
 
 def indicators(features: DataFrame, m: dict, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per observation and rule, with the evidence the conditions looked at."""
-    evidence = [F.create_map(*[x for c in sorted(r["conditions"], key=lambda c: c["feature"]) for x in (F.lit(c["feature"]), F.col(c["feature"]).cast("double"))]) for r in m["rules"]]
-    df = prepare(features).select("*", F.array(*evidence).alias("evidence"))
-    used = df.withColumn("e", F.col("evidence"))
-    base = _evaluated(used, m, [*OBS, *carry, "e"])
-    _, hit, kept = _parts(m)
-    row = lambda i, r: F.struct(
-        F.lit(r["rule_id"]).alias("rule_id"), F.lit(r["label"]).alias("rule_label"), F.lit(r["category"]).alias("rule_category"), F.lit(r.get("score_family", r["category"])).alias("score_family"),
-        F.col("rules")[i]["eligible"].alias("eligible"), hit[i].alias("triggered"), F.col("rules")[i]["eligibility_reason"].alias("eligibility_reason"), F.col("rules")[i]["peer_count"].alias("peer_count"),
-        F.col("e")[i].alias("condition_evidence"), F.when(hit[i], int(r["points"])).otherwise(0).alias("base_points"), kept[i].alias("persistent_trigger"),
-    )
-    rows = F.explode(F.array(*[row(i, r) for i, r in enumerate(m["rules"])]))
-    return base.select(*OBS, *carry, rows.alias("r")).select(*OBS, *carry, "r.*")
+    bits = Bits()
+    places = bits.of(m)
+
+    def row(rule: dict, place: int) -> str:
+        evidence = ", ".join(f"{_text(c['feature'])}, cast({_quoted(c['feature'])} AS double)" for c in sorted(rule["conditions"], key=lambda c: c["feature"]))
+        fields = {
+            "rule_id": _text(rule["rule_id"]), "rule_label": _text(rule["label"]), "rule_category": _text(rule["category"]), "score_family": _text(_family(rule)),
+            "eligible": bits.is_set(_OK, place), "triggered": bits.is_set(_HIT, place), "eligibility_reason": reason(rule, m), "peer_count": f"cast(coalesce({_quoted(rule['peer_count_feature'])}, 0) AS bigint)",
+            "condition_evidence": f"map({evidence})", "base_points": f"CASE WHEN {bits.is_set(_HIT, place)} THEN {int(rule['points'])} ELSE 0 END", "persistent_trigger": bits.is_set(_KEPT, place),
+        }
+        return f"named_struct({', '.join(f'{_text(k)}, {v}' for k, v in fields.items())})"
+
+    rows = bits.add(prepare(features)).selectExpr(*OBS, *carry, f"explode(array({', '.join(row(r, p) for r, p in zip(m['rules'], places))})) AS r")
+    return rows.select(*OBS, *carry, "r.*")
 
 
 def sensitivity(features: DataFrame, base: dict) -> DataFrame:
-    """One row per scenario and observation, all scenarios in one pass: one lag carries every scenario's triggers.
+    """One row per scenario and observation, all scenarios in one pass.
 
-    Scenarios share rules, points, families and caps; settings that only act on the verdict are applied per set of
-    scenarios with equal settings, so the generated code doesn't grow with their number.
+    A scenario is a row of masks, one for all its rules and one for each family and number of points, so that the same few
+    bit counts score every scenario. Scenarios share rules, points, families and caps; settings that only act on the
+    verdict are told apart by the scenario's name.
     """
     runs = scenarios(base)
-    df = prepare(features)
-    flags = [F.array(*[F.struct(eligible(r, m).alias("eligible"), (eligible(r, m) & met(r)).alias("triggered")) for r in m["rules"]]) for _, m in runs]
-    df = df.select(*OBS, "observation_end", F.array(*flags).alias("all"))
-    before = F.lag(F.transform("all", lambda s: F.transform(s, lambda x: x["triggered"]))).over(_ordered())
-    names = F.array(*[F.lit(n) for n, _ in runs])
-    rows = df.withColumn("prior", before).select(*OBS, F.posexplode("all").alias("i", "rules"), "prior")
-    rows = rows.select(*OBS, F.element_at(names, F.col("i") + 1).alias("scenario_id"), "rules", F.get("prior", F.col("i")).alias("before"))
-    settings: dict[tuple, list[str]] = {}
+    bits = Bits()
+    places = {name: bits.of(m) for name, m in runs}
+    slots: dict[tuple[str, int], list[int]] = {}
+    for i, r in enumerate(base["rules"]):
+        slots.setdefault((_family(r), int(r["points"])), []).append(i)
+    groups = {"every": list(range(len(base["rules"]))), **{f"slot{k}": at for k, at in enumerate(slots.values())}}
+    n = range(bits.words)
+
+    def masks(name: str) -> str:
+        held = {f"{g}_{w}": sum(1 << places[name][i] % WORD for i in at if places[name][i] // WORD == w) for g, at in groups.items() for w in n}
+        return f"named_struct('scenario_id', {_text(name)}, {', '.join(f'{_text(g)}, {mask}L' for g, mask in held.items())})"
+
+    count = lambda word, group: _plus([f"bit_count({word.format(w=w)} & {group}_{w})" for w in n])
+    families: dict[str, list[str]] = {}
+    for k, (family, points) in enumerate(slots):
+        families.setdefault(family, []).append(f"{points} * {count(_HIT, f'slot{k}')}")
+    caps = base.get("family_point_caps", {})
+    total = _plus([f"least({_plus(t)}, {int(caps[f])})" if f in caps else _plus(t) for f, t in families.items()])
+    words = [f"{x}{w}" for w in n for x in ("ok", "hit", "prior")]
+    rows = bits.add(prepare(features)).select(*OBS, *words).selectExpr("*", f"inline(array({', '.join(masks(name) for name, _ in runs)}))")
+    scored = rows.selectExpr(*OBS, "scenario_id", f"{count(_OK, 'every')} AS eligible_rules", f"{count(_HIT, 'every')} AS triggered_rule_count", f"{count(_KEPT, 'every')} AS persistent_rule_count", f"{total} AS points")
+    settings: dict[tuple[str, str], list[str]] = {}
     for name, m in runs:
-        key = (tuple((b["minimum_score"], b["label"]) for b in m["priority_bands"]), m["minimum_eligible_rules_for_classification"], m["maximum_persistence_bonus"])
-        settings.setdefault(key, []).append(name)
-    parts = _parts(base)
-    verdict = _verdict(base, *parts)
-    wanted = ("eligible_rule_count", "triggered_rule_count", "persistent_rule_count", "base_warning_score")
-    scored = rows.select(*OBS, "scenario_id", *[verdict[c].alias(c) for c in wanted])
-    score, found = F.lit(None).cast("int"), F.lit(None).cast("string")
-    for (bands, least, bonus), names_ in settings.items():
-        total = F.col("base_warning_score") + F.least(F.col("persistent_rule_count"), F.lit(int(bonus)))
-        m = {"priority_bands": [{"minimum_score": n, "label": b} for n, b in bands]}
-        score = F.when(F.col("scenario_id").isin(names_), total).otherwise(score)
-        found = F.when(F.col("scenario_id").isin(names_), F.when(F.col("eligible_rule_count") < int(least), "insufficient_data").otherwise(band(total, m))).otherwise(found)
-    return scored.select(*OBS, "scenario_id", "triggered_rule_count", "persistent_rule_count", score.alias("warning_score"), found.alias("priority_band"))
+        score = f"(points + least(persistent_rule_count, {int(m['maximum_persistence_bonus'])}))"
+        label = f"CASE WHEN eligible_rules < {int(m['minimum_eligible_rules_for_classification'])} THEN 'insufficient_data' ELSE {band(score, m)} END"
+        settings.setdefault((score, label), []).append(_text(name))
+    pick = lambda j: "CASE " + " ".join(f"WHEN scenario_id IN ({', '.join(names)}) THEN {s[j]}" for s, names in settings.items()) + " END"
+    return scored.selectExpr(*OBS, "scenario_id", "triggered_rule_count", "persistent_rule_count", f"{pick(0)} AS warning_score", f"{pick(1)} AS priority_band")
 
 
 def stability(results: DataFrame) -> DataFrame:
