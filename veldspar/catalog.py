@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from veldspar.queries import panel, relational
+from veldspar.queries import panel, relational, worksheets
 
-QUERIES: dict = {**panel.QUERIES, **relational.QUERIES}
-ORACLES: dict[str, str] = {**panel.ORACLES, **relational.ORACLES}
+QUERIES: dict = {**panel.QUERIES, **relational.QUERIES, **worksheets.QUERIES}
+ORACLES: dict[str, str] = {**panel.ORACLES, **relational.ORACLES, **worksheets.ORACLES}
 
 
 def flagship(spark, sf_dir: str):

@@ -130,6 +130,25 @@ def insufficient_queue(summary: DataFrame, indicators: DataFrame) -> DataFrame:
     return df.withColumn("recommended_treatment", F.when(F.col("peer_group_below_minimum") > 0, "review_peer_group_minimum_and_do_not_classify").otherwise("restore_or_source_missing_features"))
 
 
+def coverage_gaps(queue: DataFrame) -> DataFrame:
+    """Per product: current insufficient observations, those without an eligible rule, and those with one or two."""
+    n = F.col("eligible_rule_count")
+    return queue.groupBy("product_group").agg(F.count("*").alias("insufficient_observations"), F.count_if(n == 0).alias("zero_eligible_rules"), F.count_if(n.isin(1, 2)).alias("one_or_two_eligible_rules"))
+
+
+def priority_queue(product: DataFrame) -> DataFrame:
+    """Current priority observations, numbered by score and name; a queue that people work on, so it is small."""
+    order = W.orderBy(F.desc("warning_score"), F.col("display_firm_name").asc_nulls_last(), "product_group")
+    return product.filter("is_latest_reporting_period AND is_priority_review").withColumn("queue_position", F.row_number().over(order))
+
+
+def monitoring_queue(product: DataFrame, indicators: DataFrame, product_group: str) -> DataFrame:
+    """Current monitor and review observations of one product with the ids of the rules that fired."""
+    watched = product.filter(F.col("is_latest_reporting_period") & (F.col("product_group") == product_group) & F.col("priority_band").isin("monitor", "review"))
+    fired = indicators.filter(F.col("triggered") & (F.col("product_group") == product_group)).groupBy(*OBS).agg(_joined(F.col("rule_id")).alias("triggered_rule_ids_rebuilt"))
+    return checked_join(watched, fired, OBS, "left", "1:1")
+
+
 def product_period(panel: DataFrame, medians: list[str]) -> DataFrame:
     """Counts are summed, shares and rates are medians over firms; change against the product's previous period."""
     g = panel.groupBy("reporting_period", "product_group").agg(F.count("*").alias("firm_observation_count"), F.count_distinct("firm_key").alias("distinct_firm_count"), F.coalesce(F.sum("complaints_opened_count"), F.lit(0.0)).alias("complaints_opened_total"), *[F.median(f).alias(f"{f}_median") for f in medians])

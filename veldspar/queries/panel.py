@@ -15,6 +15,10 @@ REVISED = methodology.standard(True, closed=4, large=10, peers=20)
 FIRST = methodology.standard(False, peers=20)
 SMOKE = methodology.standard(True, closed=4, large=10, peers=5)
 
+#: Priority from a score of 3, so that cases persist at every scale; and classification only with every rule eligible.
+EARLY = {**SMOKE, "priority_bands": [{"minimum_score": n, "label": b} for n, b in ((3, "priority_review"), (2, "review"), (1, "monitor"), (0, "no_current_signal"))]}
+STRICT = {**REVISED, "minimum_eligible_rules_for_classification": len(REVISED["rules"])}
+
 R6 = lambda c: F.round(c, 6)
 
 
@@ -262,7 +266,8 @@ def union_scenarios(spark, sf):
 
 # ---- review and marts ------------------------------------------------------------------------------------------------
 
-_NAMED = RULE_SQL + ", named AS (SELECT summ.*, s_name AS display_firm_name FROM summ JOIN supplier ON firm_key = 'SUPP:' || s_suppkey)"
+_NAMES = ", named AS (SELECT summ.*, s_name AS display_firm_name FROM summ JOIN supplier ON firm_key = 'SUPP:' || s_suppkey)"
+_NAMED = RULE_SQL + _NAMES
 _SAMPLE_SQL = (
     _NAMED
     + """, cur AS (SELECT * FROM named WHERE reporting_period = (SELECT max(reporting_period) FROM named)),
@@ -312,20 +317,21 @@ def priority_review_flags(spark, sf):
     return out.select(*panel.OBS, "independent_signal_family_count", "triggered_signal_families", "persistent_trigger_ids", "review_flags", "review_disposition")
 
 
-_MART_SQL = (
-    _NAMED
-    + """, prods AS (SELECT p_type AS product_group, row_number() OVER (ORDER BY p_type) AS display_order FROM (SELECT DISTINCT p_type FROM part)),
+_MART = (
+    """, prods AS (SELECT p_type AS product_group, row_number() OVER (ORDER BY p_type) AS display_order FROM (SELECT DISTINCT p_type FROM part)),
 mart AS (SELECT named.*, display_order::INT AS display_order, CAST(left(reporting_period, 4) AS INT) AS year, CAST(right(reporting_period, 1) AS INT) AS half,
   CASE priority_band WHEN 'priority_review' THEN 1 WHEN 'review' THEN 2 WHEN 'monitor' THEN 3 WHEN 'no_current_signal' THEN 4 ELSE 5 END AS priority_band_sort_order,
   triggered_rule_count > 0 AS has_current_signal, priority_band = 'priority_review' AS is_priority_review,
   reporting_period = (SELECT max(reporting_period) FROM named) AS is_latest_reporting_period,
   CASE WHEN priority_band = 'priority_review' THEN 'priority_review_pending' ELSE 'not_required' END AS review_display_status FROM named JOIN prods USING (product_group))"""
 )
+_MART_SQL = _NAMED + _MART
+_EARLY_SQL = PREP_SQL + _rules_sql(EARLY) + _NAMES + _MART
 
 
-def _mart(spark, sf):
+def _mart(spark, sf, m=REVISED):
     products = marts.product_dim(spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_type").alias("product_group")).distinct())
-    summary = _named(spark, sf)
+    summary = _named(spark, sf, m)
     periods = marts.period_dim(summary.select("reporting_period").distinct())
     return marts.firm_product(summary, periods, products)
 
@@ -380,14 +386,14 @@ def quality_summary_stack(spark, sf):
 
 
 @query(
-    f"""WITH {_MART_SQL}, h AS (SELECT firm_key, product_group, count(DISTINCT reporting_period) AS priority_periods, min(reporting_period) AS first_priority_period, max(reporting_period) AS last_priority_period,
+    f"""WITH {_EARLY_SQL}, h AS (SELECT firm_key, product_group, count(DISTINCT reporting_period) AS priority_periods, min(reporting_period) AS first_priority_period, max(reporting_period) AS last_priority_period,
 max(warning_score) AS maximum_warning_score, count(*) FILTER (persistent_rule_count > 0) AS periods_with_persistent_rules FROM mart WHERE is_priority_review GROUP BY 1, 2),
 l AS (SELECT firm_key, product_group, display_firm_name, warning_score AS latest_warning_score FROM mart WHERE is_priority_review AND is_latest_reporting_period),
 t AS (SELECT *, row_number() OVER (ORDER BY priority_periods DESC, latest_warning_score DESC, display_firm_name, product_group) AS rn FROM l JOIN h USING (firm_key, product_group))
 SELECT printf('PCR-%03d', rn) AS case_id, firm_key, product_group, priority_periods, first_priority_period, last_priority_period, maximum_warning_score, periods_with_persistent_rules, latest_warning_score FROM t WHERE rn <= 6"""
 )
 def topk_persistent_cases(spark, sf):
-    return marts.persistent_cases(_mart(spark, sf), 6).select("case_id", "firm_key", "product_group", "priority_periods", "first_priority_period", "last_priority_period", "maximum_warning_score", "periods_with_persistent_rules", "latest_warning_score")
+    return marts.persistent_cases(_mart(spark, sf, EARLY), 6).select("case_id", "firm_key", "product_group", "priority_periods", "first_priority_period", "last_priority_period", "maximum_warning_score", "periods_with_persistent_rules", "latest_warning_score")
 
 
 @query(
@@ -399,14 +405,42 @@ def work_queue_rule_drivers(spark, sf):
 
 
 @query(
-    f"""WITH {RULE_SQL}, ins AS (SELECT * FROM summ WHERE priority_band = 'insufficient_data' AND reporting_period = (SELECT max(reporting_period) FROM summ))
+    f"""WITH {PREP_SQL}{_rules_sql(STRICT)}, ins AS (SELECT * FROM summ WHERE priority_band = 'insufficient_data' AND reporting_period = (SELECT max(reporting_period) FROM summ))
 SELECT {KEYS}, eligible_rule_count, count(*) FILTER (eligibility_reason = 'missing_required_feature') AS missing_required_feature, count(*) FILTER (eligibility_reason = 'peer_group_below_minimum') AS peer_group_below_minimum,
 string_agg(DISTINCT score_family, '|' ORDER BY score_family) AS ineligible_signal_families,
 CASE WHEN count(*) FILTER (eligibility_reason = 'peer_group_below_minimum') > 0 THEN 'review_peer_group_minimum_and_do_not_classify' ELSE 'restore_or_source_missing_features' END AS recommended_treatment
 FROM ins JOIN ind USING ({KEYS}) WHERE NOT eligible GROUP BY {KEYS}, eligible_rule_count"""
 )
 def work_queue_insufficient(spark, sf):
-    return marts.insufficient_queue(_summary(spark, sf), _indicators(spark, sf))
+    return marts.insufficient_queue(_summary(spark, sf, STRICT), _indicators(spark, sf, STRICT))
+
+
+@query(f"WITH {_EARLY_SQL} SELECT {KEYS}, display_firm_name, warning_score, coverage_status, triggered_rule_count, persistent_rule_count, triggered_rule_ids, row_number() OVER (ORDER BY warning_score DESC, display_firm_name, product_group)::INT AS queue_position FROM mart WHERE is_latest_reporting_period AND is_priority_review")
+def work_queue_priority(spark, sf):
+    """Current priority cases in the order in which they are worked on."""
+    return marts.priority_queue(_mart(spark, sf, EARLY)).select(*panel.OBS, "display_firm_name", "warning_score", "coverage_status", "triggered_rule_count", "persistent_rule_count", "triggered_rule_ids", "queue_position")
+
+
+@query(
+    f"""WITH {_EARLY_SQL}, w AS (SELECT {KEYS}, string_agg(rule_id, '|' ORDER BY rule_id) AS rebuilt FROM ind WHERE triggered GROUP BY ALL)
+SELECT {KEYS}, display_firm_name, priority_band, complaints_opened_count, previous_complaints_opened_count, round(pct_change_complaints_opened_count, 6) AS pct_change_complaints_opened_count, warning_score, coverage_status, rebuilt AS triggered_rule_ids_rebuilt
+FROM mart JOIN (SELECT {KEYS}, complaints_opened_count, previous_complaints_opened_count, pct_change_complaints_opened_count FROM feat) USING ({KEYS}) LEFT JOIN w USING ({KEYS})
+WHERE is_latest_reporting_period AND product_group = (SELECT min(p_type) FROM part) AND priority_band IN ('monitor', 'review')"""
+)
+def work_queue_monitoring(spark, sf):
+    """Current monitor and review observations of one product, with the rules that fired."""
+    product = spark.read.parquet(f"{sf}/part.parquet").agg(F.min("p_type")).first()[0]
+    numbers = panel.order_features(spark, sf).select(*panel.OBS, "complaints_opened_count", "previous_complaints_opened_count", "pct_change_complaints_opened_count")
+    return _rounded(marts.monitoring_queue(checked_join(_mart(spark, sf, EARLY), numbers, panel.OBS), _indicators(spark, sf, EARLY), product)).select(*panel.OBS, "display_firm_name", "priority_band", "complaints_opened_count", "previous_complaints_opened_count", "pct_change_complaints_opened_count", "warning_score", "coverage_status", "triggered_rule_ids_rebuilt")
+
+
+@query(
+    f"""WITH {PREP_SQL}{_rules_sql(STRICT)} SELECT product_group, count(*) AS insufficient_observations, count(*) FILTER (eligible_rule_count = 0) AS zero_eligible_rules, count(*) FILTER (eligible_rule_count IN (1, 2)) AS one_or_two_eligible_rules
+FROM summ WHERE priority_band = 'insufficient_data' AND reporting_period = (SELECT max(reporting_period) FROM summ) GROUP BY 1"""
+)
+def work_queue_coverage(spark, sf):
+    """How far from classification the current insufficient observations of each product are."""
+    return marts.coverage_gaps(marts.insufficient_queue(_summary(spark, sf, STRICT), _indicators(spark, sf, STRICT)))
 
 
 _CONTEXT = ["complaints_upheld_pct", "closed_within_3_days_pct", "context_provision_rate"]
