@@ -121,19 +121,25 @@ def test_components_of_families(spark, k, percent):
 
 
 def test_mixing_meets_targets(spark, sf):
+    """Through the query: tokens and domains are right, rates follow the steps, expected tokens meet the targets."""
     import numpy as np
 
     from veldspar.llm import source_mix
 
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
-    model, history = source_mix.mix_sources(docs, labels)
-    got = source_mix.score_domains(docs.select("doc_id", "text", "lang"), model, history).toPandas()
-    post = np.array(got["p"].tolist())
-    assert (np.array(model.domains)[post.argmax(1)] == got["lang"]).mean() > 0.95
+    got = source_mix.op8_source_mix(spark, sf).join(docs.select("doc_id", "text", "lang"), "doc_id").toPandas()
+    assert len(got) == docs.count()
+    post = np.array(got["posteriors"].tolist())
+    assert np.allclose(post.sum(1), 1) and np.allclose(post.max(1), got["posterior"])
+    assert (got["domain"] == got["lang"]).mean() > 0.95
     total = got["n_tokens"].sum()
     assert got["n_tokens"].tolist() == [len(x.split()) for x in got["text"]]
+    model, history, _ = source_mix.mix_sources(docs, labels)
+    w = np.ones(len(post))
+    for step in history:
+        w = np.maximum(0.0, w + post @ step)
+    assert np.allclose(w, got["rate"], atol=1e-6) and (got["rate"] >= 0).all()
     assert np.allclose((post * (got["rate"] * got["n_tokens"]).to_numpy()[:, None]).sum(0) / total, [source_mix.TARGETS[d] for d in model.domains], atol=1e-3)
-    assert (got["rate"] >= 0).all()
 
 
 def test_toxicity_held_out(spark):

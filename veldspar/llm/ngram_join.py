@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from veldspar.llm import numtext
 from veldspar.llm.components import components
-from veldspar.llm.store import cut, hinted, short_batches, table
+from veldspar.llm.store import cut, hinted, passing, short_batches, table
 from veldspar.llm.text import row_key
 
 #: A shingle in more than FREQUENT regions goes last in the order, as far as the list of the most frequent ones, of
@@ -69,7 +69,6 @@ def _run(docs: DataFrame, columns: list[str], schema: str, each, k: int) -> Data
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], columns)
 
-    short_batches(docs.sparkSession)
     kinds = {"long": pa.int64(), "int": pa.int32(), "array<long>": pa.list_(pa.int64())}
     types = [kinds[f.strip().split(" ")[1]] for f in schema.split(",")]
     return docs.mapInArrow(batches, schema)
@@ -184,7 +183,15 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, bits: DataF
 
 
 def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of `docs`: doc_id, n_shingles, component_id (least id reachable by links)."""
+    """One row per row of `docs`: doc_id, n_shingles, component_id (least id reachable by links), a cut table.
+
+    The tables that the steps cut are deleted at the end, and the caller's settings are as they were.
+    """
+    with passing(), short_batches(docs.sparkSession):
+        return cut(_components(docs, k, percent, id_col, text_col), "ngram-components", keep=True)
+
+
+def _components(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     sketch = cut(_run(rows, ["doc_id", "n", "c"], "doc_id long, n int, c long", lambda i, s: (i, len(s), _class_id(s)), k), "ngram-sketch")
@@ -193,6 +200,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
 
     frequent = spark.sparkContext.broadcast(_order(named, k, percent))
     each = cut(_prefixes(named, frequent, k, percent).filter("n > 0").dropDuplicates(["c"]), "ngram-prefixes")
+    frequent.unpersist()
     bits = each.select("c", "n", *[f"b{i}" for i in range(WORDS)])
 
     # Groups of more than one class; a group goes by its least class, its head. Only heads are posted.
@@ -238,9 +246,10 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
     home = cut(classes.join(final.withColumnRenamed("node", "c"), "c", "left").select("c", "rep", F.coalesce("root", "c").alias("root")), "ngram-home")
     least = home.groupBy("root").agg(F.min("rep").alias("component_id"))
     place = cut(home.join(least, "root").select("c", "component_id"), "ngram-place")
-    out = sketch.join(place, "c", "left")
-    named_as = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), named_as.alias("component_id"))
+    # Documents without words, and those without an id, would all meet under one key: they go round the join.
+    alone = sketch.filter("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    linked = sketch.filter("n > 0 AND doc_id IS NOT NULL").join(place, "c").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+    return linked.unionByName(alone)
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -266,6 +275,7 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the size of its shingle set and the least id that it is linked to."""
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 

@@ -7,8 +7,8 @@ vote patterns of the whole corpus estimates each labeler's reliability for each
 pattern a probability; on these a final logistic span classifier is trained from shape features and votes. Candidates
 that it accepts, and that overlap no base span, are added to the spans.
 
-Vote patterns and shapes are small discrete codes, so what is gathered from the corpus is a table of at most a few
-thousand counts, however many candidates there are.
+Texts are scanned once; the candidates go to a table, of which everything after is made. Vote patterns and shapes are small
+discrete codes, so what is gathered from the corpus is a table of at most a few thousand counts, however many candidates there are.
 
 Edge cases: null and empty text gives a row with counts of 0 and no spans; ids may be null or repeat, each row is judged
 by its text alone; an empty table gives an empty result. Positions are code points, end exclusive.
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldspar.llm.store import short_batches, table
+from veldspar.llm.store import cut, short_batches, table
 
 KINDS = ["email", "ip", "card", "phone", "ssn", "iban", "name"]
 BASE = KINDS[:4]
@@ -234,18 +234,28 @@ def train(counts: dict[tuple[int, ...], int]) -> np.ndarray:
     return w
 
 
-def count_codes(docs: DataFrame, text_col: str = "text") -> dict[tuple[int, ...], int]:
-    """How often each code (votes and shape) occurs among all candidates of all documents."""
+_FOUND = ["s", "k", "e", "code", "base"]
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The candidates of each document as parallel arrays: doc_id, s, k, e, code, base. Texts go to Python once, here."""
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.bool_()]
 
     def batches(it):
         for b in it:
-            seen: Counter = Counter()
-            for t in b.column(0).to_pylist():
-                seen.update(c[3] for c in candidates(t or "")[1])
-            yield pa.RecordBatch.from_arrays([pa.array([",".join(map(str, c)) for c in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], ["code", "n"])
+            columns: list[list] = [[] for _ in kinds]
+            for t in b.column(1).to_pylist():
+                found = sorted(candidates(t or "")[1])
+                for j, column in enumerate(columns):
+                    column.append([",".join(map(str, x[3])) if j == 3 else x[j] for x in found])
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.list_(t)) for c, t in zip(columns, kinds)]], ["doc_id", *_FOUND])
 
-    short_batches(docs.sparkSession)
-    rows = docs.select(text_col).mapInArrow(batches, "code string, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(batches, "doc_id long, s array<int>, k array<int>, e array<int>, code array<string>, base array<boolean>")
+
+
+def count_codes(scanned: DataFrame) -> dict[tuple[int, ...], int]:
+    """How often each code (votes and shape) occurs among all candidates of all documents."""
+    rows = scanned.select(F.explode("code").alias("code")).groupBy("code").agg(F.count("*").alias("n")).collect()
     return {tuple(map(int, r["code"].split(","))): r["n"] for r in sorted(rows)}
 
 
@@ -253,15 +263,15 @@ def _listed(spans) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def judge(text: str, accepted: dict[tuple[int, ...], bool], w: np.ndarray) -> tuple[list, list]:
-    """(base spans, added spans) of a text."""
-    base, found = candidates(text)
+def judge(found: list[tuple[int, int, int, str, bool]], accepted: dict[str, bool], w: np.ndarray) -> tuple[list, list]:
+    """(base spans, added spans) of a document's candidates (start, kind, end, code, is_base), in order."""
+    base = [(s, k, e) for s, k, e, _, is_base in found if is_base]
     added: list[tuple[int, int, int]] = []
-    for s, k, e, code, is_base in sorted(found):
+    for s, k, e, code, is_base in found:
         if is_base or any(s < e2 and s2 < e for s2, _, e2 in base) or added and s < added[-1][2]:
             continue
         if code not in accepted:
-            accepted[code] = bool(_features(code) @ w >= 0)
+            accepted[code] = bool(_features(tuple(map(int, code.split(",")))) @ w >= 0)
         if accepted[code]:
             added.append((s, k, e))
     return base, added
@@ -269,23 +279,26 @@ def judge(text: str, accepted: dict[tuple[int, ...], bool], w: np.ndarray) -> tu
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, a count for each base kind, base_sha256, spans, n_added."""
-    w = docs.sparkSession.sparkContext.broadcast(train(count_codes(docs, text_col)))
+    with short_batches(docs.sparkSession):
+        scanned = cut(scan(docs, id_col, text_col), "pii-candidates", keep=True)
+    w = docs.sparkSession.sparkContext.broadcast(train(count_codes(scanned)))
     schema = "doc_id long, " + ", ".join(f"n_{k} long" for k in BASE) + ", base_sha256 string, spans string, n_added long"
     types = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.int64()]
     names = ["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans", "n_added"]
 
     def batches(it):
-        accepted: dict[tuple[int, ...], bool] = {}
+        accepted: dict[str, bool] = {}
         for b in it:
             out = []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                base, added = judge(t or "", accepted, w.value)
+            for i, *arrays in zip(*[b.column(j).to_pylist() for j in range(len(_FOUND) + 1)]):
+                base, added = judge(list(zip(*arrays)), accepted, w.value)
                 kinds = [k for _, k, _ in base]
                 out.append((i, *[kinds.count(k) for k in range(4)], hashlib.sha256(_listed(base).encode()).hexdigest(), _listed(sorted(base + added)), len(added)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)] if out else [pa.array([], t) for t in types], names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(batches, schema)
+    return scanned.select("doc_id", *_FOUND).mapInArrow(batches, schema)
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its counts of base spans, their digest, and all spans."""
     return find_pii(table(spark, sf_dir, "documents"))

@@ -7,11 +7,11 @@ w_d <- max(0, w_d + step * sum_k p_dk * (T_k - S_k) / N_k) with N_k = sum_d toke
 
 Each step is one distributed sum of as many numbers as there are domains. A document's rate follows from its posterior and
 the short history of steps alone, so nothing of the size of the corpus is rewritten from step to step, and a lost
-executor costs only its own partitions. Features are hashed byte trigrams of the whole text, as shares.
+executor costs only its own partitions. Texts are scored once for this; the steps read the small table of posteriors. Features are hashed byte trigrams of the whole text, as shares.
 
 The domain is a column of the documents (`lang` in the query: in these tables the ids of sources leave no trace in the text,
 so posteriors over them would be flat and no rates could tell them apart). The classifier is fitted on at most SAMPLE
-labelled rows, chosen by a hash of the id, and on rows of each domain that occurs in no such row; counts, posteriors and rates
+labelled ids, chosen by a hash of the id (of rows that share an id the least counts), and on rows of each domain that occurs in no such row; counts, posteriors and rates
 cover every document.
 
 Edge cases: null or blank text has 0 tokens and counts for nothing, its rate follows from its posterior; a null domain is
@@ -22,17 +22,16 @@ domain named "all"; an empty table gives an empty result. Extra columns pass thr
 
 from __future__ import annotations
 
+import json
 import warnings
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from veldspar.llm import numtext
-from veldspar.llm.store import cut, short_batches, table
+from veldspar.llm.store import cut, passing, short_batches, table
 
 #: Target shares of all tokens, and the tokens asked for as a multiple of those there are.
 TARGETS = {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}
@@ -93,7 +92,8 @@ class DomainModel:
 def fit_domains(docs: DataFrame, labels: DataFrame, domain_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DomainModel:
     ids = labels.select(F.col(id_col).alias("__id")).filter("__id IS NOT NULL").distinct().orderBy(F.xxhash64("__id"), "__id").limit(sample)
     rows = docs.join(F.broadcast(ids), F.col(id_col) == F.col("__id"), "left_semi").filter(F.octet_length(text_col) <= LONGEST)
-    got = rows.select(F.col(id_col).alias("i"), F.col(domain_col).cast("string").alias("d"), F.col(text_col).alias("t")).na.drop().orderBy("i", "d", "t").limit(2 * sample).collect()
+    one = rows.select(F.col(id_col).alias("i"), F.col(domain_col).cast("string").alias("d"), F.col(text_col).alias("t")).na.drop().groupBy("i").agg(F.min(F.struct("d", "t")).alias("m"))
+    got = one.select("i", "m.d", "m.t").orderBy("i").collect()  # one row for each of the ids
     # A domain that the sample misses is trained on rows of its own, labelled or not; such domains are few and rare.
     occurring = [r["d"] for r in docs.filter(F.col(text_col).isNotNull()).select(F.col(domain_col).cast("string").alias("d")).distinct().na.drop().collect()]
     for d in sorted(set(occurring) - {r["d"] for r in got}):
@@ -107,11 +107,13 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domain_col: str = "lang", id
     return model.fit([r["t"] for r in got], np.array([domains.index(r["d"]) for r in got])) if got else model
 
 
-def _rates(p: np.ndarray, history: np.ndarray) -> np.ndarray:
-    w = np.ones(len(p))
-    for step in history:
-        w = np.maximum(0.0, w + p @ step)
-    return w
+def rate(p: Column, history: np.ndarray) -> Column:
+    """A document's rate from its posteriors: the steps of the history in turn, never below 0."""
+    if not len(history):
+        return F.lit(1.0)
+    steps = F.from_json(F.lit(json.dumps(np.asarray(history).tolist())), "array<array<double>>")
+    move = lambda step: F.aggregate(F.zip_with(p, step, lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+    return F.aggregate(steps, F.lit(1.0), lambda w, step: F.greatest(F.lit(0.0), w + move(step)))
 
 
 def fit_rates(scored: DataFrame, domains: list[str], targets: dict[str, float], total: float = TOTAL, steps: int = STEPS) -> np.ndarray:
@@ -129,14 +131,9 @@ def fit_rates(scored: DataFrame, domains: list[str], targets: dict[str, float],
     history = np.zeros((0, k))
 
     def expected(taken: np.ndarray) -> np.ndarray:
-        def parts(it):
-            for b in it:
-                post = np.array(b["p"].tolist()).reshape(len(b), k)
-                s = (_rates(post, taken) * b["n_tokens"].to_numpy(float)) @ post
-                yield pd.DataFrame({"k": np.arange(k), "s": s})
-
-        got = scored.select("n_tokens", "p").mapInPandas(parts, "k int, s double").groupBy("k").agg(F.sum("s").alias("s")).collect()
-        return np.array([s for _, s in sorted((r["k"], r["s"]) for r in got)])
+        drawn = scored.select((F.col("n_tokens") * rate(F.col("p"), taken)).alias("w"), "p")
+        got = drawn.agg(*[F.sum(F.col("w") * F.get("p", F.lit(i))).alias(f"s{i}") for i in range(k)]).first()
+        return np.array([x or 0.0 for x in got])
 
     for _ in range(steps):
         miss = target - expected(history)
@@ -146,44 +143,50 @@ def fit_rates(scored: DataFrame, domains: list[str], targets: dict[str, float],
     return history
 
 
-def score_domains(docs: DataFrame, model: DomainModel, history: np.ndarray | None = None, text_col: str = "text", keep: bool = True) -> DataFrame:
-    """n_tokens, p (posteriors in the order of model.domains) and, given a history, rate; with the columns of `docs`."""
-    short_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast((model, history))
-    at = docs.columns.index(text_col)
-    fields = docs.schema.fields if keep else [f for f in docs.schema.fields if f.name != text_col]
-    added = [T.StructField("n_tokens", T.LongType()), T.StructField("p", T.ArrayType(T.DoubleType()))] + ([T.StructField("rate", T.DoubleType())] if history is not None else [])
+def _score(spark: SparkSession, model: DomainModel):
+    """Function of a text column: a struct of n_tokens and p. Python gets the text alone and gives back numbers."""
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.arrow_udf("struct<n_tokens:bigint,p:array<double>>")
+    def score(text: pa.Array) -> pa.Array:
+        tokens, post = shared.value.predict(text)
+        offsets = pa.array(np.arange(len(post) + 1, dtype=np.int32) * post.shape[1], pa.int32())
+        return pa.StructArray.from_arrays([pa.array(tokens, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(post.ravel()))], ["n_tokens", "p"])
 
-    def batches(it):
-        for b in it:
-            m, h = shared.value
-            tokens, post = m.predict(b.column(at))
-            old = [c for i, c in enumerate(b.columns) if keep or i != at]
-            new = [pa.array(tokens, pa.int64()), pa.array(list(post), pa.list_(pa.float64()))] + ([pa.array(_rates(post, h))] if h is not None else [])
-            yield pa.RecordBatch.from_arrays([*old, *new], [f.name for f in [*fields, *added]])
+    return score
 
-    return docs.mapInArrow(batches, T.StructType([*fields, *added]))
 
+def score_domains(docs: DataFrame, model: DomainModel, text_col: str = "text") -> DataFrame:
+    """The columns of `docs` but its text, with n_tokens and p (posteriors in the order of model.domains)."""
+    s = _score(docs.sparkSession, model)(F.col(text_col))
+    return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in (text_col, "n_tokens", "p")], s["n_tokens"].alias("n_tokens"), s["p"].alias("p"))
 
-def mix_sources(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, domain_col: str = "lang", total: float = TOTAL) -> tuple[DomainModel, np.ndarray]:
-    model = fit_domains(docs, labels, domain_col)
+
+def mix_sources(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, domain_col: str = "lang", total: float = TOTAL, id_col: str = "doc_id") -> tuple[DomainModel, np.ndarray, DataFrame]:
+    """The classifier, the history of steps, and the scored documents (doc_id, n_tokens, p), a cut table."""
+    model = fit_domains(docs, labels, domain_col, id_col)
     if absent := sorted(d for d, share in targets.items() if share and d not in model.domains):
         warnings.warn(f"no document has the target domains {absent}", stacklevel=2)
-    scored = cut(score_domains(docs.select("text"), model, keep=False), "mix-scored")
-    return model, fit_rates(scored, model.domains, targets, total)
+    with short_batches(docs.sparkSession):
+        scored = cut(score_domains(docs.select(F.col(id_col).alias("doc_id"), "text"), model), "mix-scored")
+    return model, fit_rates(scored, model.domains, targets, total), scored
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, domain_col: str = "lang", total: float = TOTAL) -> DataFrame:
-    """`docs` with n_tokens and rate: how often a document is to be drawn in an epoch of the mixture."""
-    model, history = mix_sources(docs, labels, targets, domain_col, total)
-    inner = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    out = score_domains(inner, model, history, f"c{docs.columns.index('text')}")
-    return out.select(*inner.columns, "n_tokens", "rate").toDF(*docs.columns, "n_tokens", "rate")
+    """`docs` with n_tokens and rate: how often a document is to be drawn in an epoch of the mixture.
+
+    Columns of `docs` with these names are replaced. Rows are scored in place, by their own text, so that texts are never
+    shuffled and rows without an id, or that share one, get their own rates.
+    """
+    with passing():
+        model, history, _ = mix_sources(docs, labels, targets, domain_col, total)
+    s = _score(docs.sparkSession, model)(F.col("text"))
+    out = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("n_tokens", "rate")], s.alias("__scored"))
+    return out.withColumns({"n_tokens": F.col("__scored.n_tokens"), "rate": rate(F.col("__scored.p"), history)}).drop("__scored")
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    model, history = mix_sources(docs, table(spark, sf_dir, "labels"))
-    out = score_domains(docs.select("doc_id", "text"), model, history, keep=False)
+    """Every document's tokens, likeliest domain, posteriors and rate."""
+    model, history, scored = mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     best = F.element_at(F.array(*map(F.lit, model.domains)), F.array_position("p", F.array_max("p")).cast("int"))
-    return out.select("doc_id", "n_tokens", best.alias("domain"), F.array_max("p").alias("posterior"), F.col("p").alias("posteriors"), "rate")
+    return scored.select("doc_id", "n_tokens", best.alias("domain"), F.array_max("p").alias("posterior"), F.col("p").alias("posteriors"), rate(F.col("p"), history).alias("rate"))

@@ -4,47 +4,86 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Most rows of a key table that is broadcast; keys here are a few longs, so at most some tens of MB.
-BROADCAST_ROWS = 1_000_000
+#: Most bytes of a table that is broadcast, as `size` counts them.
+BROADCAST_BYTES = 48 << 20
+
+_made: list[tuple[SparkSession, str]] | None = None
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names; our own only where none is set, as in tests."""
+    """The shared folder the cluster names; our own only on a local master where none is set, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="veldspar-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
-def cut(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write `df` to the shared folder and read it again: later stages restart from the files, whatever executor is lost."""
+def cut(df: DataFrame, name: str = "t", keep: bool = False) -> DataFrame:
+    """Write `df` to the shared folder and read it again: later stages restart from the files, whatever executor is lost.
+
+    `keep`: the table outlives the `passing` block it is made in.
+    """
     path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _made is not None and not keep:
+        _made.append((df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether `df` (already a cut table, or cheap to count) has at most `rows` rows."""
-    return df.limit(rows + 1).count() <= rows
+def discard(made: list[tuple[SparkSession, str]]) -> None:
+    for spark, path in made:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def passing() -> Iterator[None]:
+    """Tables cut inside are deleted at the end. What leaves the block has to be cut with `keep`."""
+    global _made
+    outer, _made = _made, []
+    try:
+        yield
+    finally:
+        made, _made = _made, outer
+        discard(made)
+
+
+def size(df: DataFrame) -> int:
+    """About how many bytes the rows of `df` take on the heap; `df` should be a cut table, or cheap to read twice."""
+    texts = [c for c, kind in df.dtypes if kind in ("string", "binary")]
+    n, *long = df.agg(F.count(F.lit(1)), *[F.sum(F.octet_length(c)) for c in texts]).first()
+    return n * (24 + 8 * len(df.columns)) + sum(x or 0 for x in long)
 
 
-def hinted(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """`df` with a broadcast hint if its counted rows are few; else unhinted, so that the join shuffles."""
-    return F.broadcast(df) if small(df, rows) else df
+def hinted(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """`df` with a broadcast hint if its measured size is small; else unhinted, so that the join shuffles."""
+    return F.broadcast(df) if size(df) <= most else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def short_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> None:
-    """Arrow batches of at most `rows` rows and about `size` bytes from here on: the JVM and a Python worker each hold one several times over."""
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
-        held = spark.conf.get(key).lower().removesuffix("b")
-        if not held.isdigit() or not 0 < int(held) <= most:
-            spark.conf.set(key, str(most))
+@contextmanager
+def short_batches(spark: SparkSession, rows: int = 1000, most: int = 4 << 20) -> Iterator[None]:
+    """Arrow batches of at most `rows` rows and about `most` bytes for what runs inside; the caller's settings come back after it."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": most}
+    before = {key: spark.conf.get(key) for key in wanted}
+    try:
+        for key, bound in wanted.items():
+            held = before[key].lower().removesuffix("b")
+            if not held.isdigit() or not 0 < int(held) <= bound:
+                spark.conf.set(key, str(bound))
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)

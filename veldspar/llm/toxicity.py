@@ -6,8 +6,8 @@ earlier one only as far as it is right on texts it hasn't seen. Features are byt
 other ASCII than letters as blanks), chosen by their association with the category, as damped densities over the whole
 text; each model is a ridge logistic regression fitted by Newton steps.
 
-The training sample is bounded: PER_CLASS labelled rows of each class of the last category named in STRATIFY, chosen by a
-hash of the id, with texts up to LONGEST bytes. Scoring covers every text, whole.
+The training sample is bounded: PER_CLASS labelled ids of each class of the category named in STRATIFY, chosen by a hash of
+the id, with texts up to LONGEST bytes; of rows that share an id the least text is used. Scoring covers every text, whole.
 
 Edge cases: null text counts as empty; ids may be null or repeat, each row is scored by its text alone; rows of `labels` with
 null, or without a document, are not used; with no labelled row, or one class only, a category gets its base rate as
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veldspar.llm import numtext
-from veldspar.llm.store import short_batches, table
+from veldspar.llm.store import table
 
 #: (category, SQL over the columns of the label table), in chain order.
 CATEGORIES = [("low_quality", "quality = 0"), ("toxic", "toxic = 1"), ("toxic_low_quality", "toxic = 1 AND quality = 0")]
@@ -186,37 +186,44 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, stratif
     picked = [usable.filter(F.col(stratify) == v).orderBy(order, "__id").limit(per_class) for v in (0, 1)]
     sample = F.broadcast(picked[0].unionByName(picked[1]))  # at most 2 * per_class rows
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).join(sample, "__id").filter(F.octet_length("__t") <= LONGEST)
-    got = rows.withColumn("__f", F.pmod(F.xxhash64(F.lit("fold"), F.col("__id")), F.lit(FOLDS))).orderBy(order, "__id", "__t").limit(4 * per_class).collect()
+    rows = rows.groupBy("__id", *names).agg(F.min("__t").alias("__t"))  # one row for each id
+    got = rows.withColumn("__f", F.pmod(F.xxhash64(F.lit("fold"), F.col("__id")), F.lit(FOLDS))).orderBy(order, "__id").collect()
     ys = np.array([[r[n] for n in names] for r in got], int).reshape(len(got), len(names))
     return Chain(names).fit(Sample([(r["__t"] or "").encode() for r in got]), ys, prior, np.array([r["__f"] for r in got], int))
 
 
-def score_toxicity(docs: DataFrame, chain: Chain, threshold: float | None = None, text_col: str = "text") -> DataFrame:
-    """`docs` with a probability for each category (p_<name>) and `toxic`, by `threshold` or the limit fitted out of fold."""
-    short_batches(docs.sparkSession)
-    model = docs.sparkSession.sparkContext.broadcast(chain)
-    added = [T.StructField(f"p_{n}", T.DoubleType()) for n in chain.names] + [T.StructField("toxic", T.BooleanType())]
-    at = docs.columns.index(text_col)
-    reject = chain.names.index(REJECT)
-    limit = chain.limits.get(REJECT, 0.5) if threshold is None else threshold
+def _judge(spark: SparkSession, chain: Chain, threshold: float | None):
+    """Function of a text column: a struct of the probabilities and `toxic`. Python gets the text alone and gives back numbers."""
+    model = spark.sparkContext.broadcast(chain)
+    reject, limit = chain.names.index(REJECT), chain.limits.get(REJECT, 0.5) if threshold is None else threshold
+    names = [f"p_{n}" for n in chain.names]
+
+    @F.arrow_udf(T.StructType([*[T.StructField(n, T.DoubleType()) for n in names], T.StructField("toxic", T.BooleanType())]))
+    def judge(text: pa.Array) -> pa.Array:
+        p = model.value.score(text)
+        return pa.StructArray.from_arrays([*[pa.array(p[:, j]) for j in range(p.shape[1])], pa.array(p[:, reject] >= limit)], [*names, "toxic"])
+
+    return judge
 
-    def batches(it):
-        for b in it:
-            p = model.value.score(b.column(at))
-            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(p[:, j]) for j in range(p.shape[1])], pa.array(p[:, reject] >= limit)], [*b.schema.names, *[f.name for f in added]])
 
-    return docs.mapInArrow(batches, T.StructType([*docs.schema.fields, *added]))
+def score_toxicity(docs: DataFrame, chain: Chain, threshold: float | None = None, text_col: str = "text") -> DataFrame:
+    """`docs` with a probability for each category (p_<name>) and `toxic`, by `threshold` or the limit fitted out of fold.
+
+    A column of `docs` that has the name of one of these is replaced.
+    """
+    added = [*[f"p_{n}" for n in chain.names], "toxic"]
+    verdict = _judge(docs.sparkSession, chain, threshold)(F.col(text_col))
+    return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added], *[verdict[c].alias(c) for c in added])
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float | None = None) -> DataFrame:
     """`docs` without the documents the chain rejects; columns stay as they are, whatever they are called."""
-    inner = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    chain = fit_chain(docs, labels)
-    kept = score_toxicity(inner, chain, threshold, f"c{docs.columns.index('text')}").filter("NOT toxic")
-    return kept.select(*inner.columns).toDF(*docs.columns)
+    judge = _judge(docs.sparkSession, fit_chain(docs, labels), threshold)
+    return docs.filter(~judge(F.col("text"))["toxic"])
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities and verdict for every document: doc_id, p_<category>, toxic, kept."""
     docs = table(spark, sf_dir, "documents")
     chain = fit_chain(docs, table(spark, sf_dir, "labels"))
     out = score_toxicity(docs.select("doc_id", "text"), chain)
