@@ -10,43 +10,63 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veldspar.llm.store import cut, hinted, small
+from veldspar.llm.store import cut, hinted, passing
 from veldspar.llm.text import lower_az
 
 SCHEMA = ("doc_id", "keep_id", "group_size", "kept", "text_sha256", "n_rows")
+#: Bits of the table that marks surviving keys: 8 for each key, but no more than 2^LARGEST (32 MB, which is broadcast).
+SMALLEST, LARGEST = 20, 28
+#: Copies of a text from which its group meets its members by broadcast; such groups are few, one in HOT rows at most.
+HOT = 100_000
+
+
+def _marked(keys: DataFrame, bits: int) -> DataFrame:
+    """A bitmap over the hashes of `keys` (len, head) as rows of 32,768 bits: bucket, bitmap."""
+    at = F.pmod(F.xxhash64("len", "head"), F.lit(1 << bits))
+    return keys.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bitmap"))
+
+
+def _split(rows: DataFrame, bitmap: DataFrame, bits: int) -> DataFrame:
+    """`rows` with `alive`: whether the key's bit is set. Keys that survive always are; the full hash tells others apart."""
+    at = F.pmod(F.xxhash64("len", "head"), F.lit(1 << bits))
+    placed = rows.withColumns({"__b": F.bitmap_bucket_number(at), "__p": F.bitmap_bit_position(at).cast("int")})
+    byte = F.conv(F.hex(F.substr("bitmap", F.expr("__p div 8 + 1").cast("int"), F.lit(1))), 16, 10).cast("int")
+    alive = F.expr("shiftright(__byte, __p % 8) & 1") == 1
+    return placed.join(F.broadcast(bitmap), F.col("__b") == F.col("bucket"), "left").withColumn("__byte", F.coalesce(byte, F.lit(0))).withColumn("alive", alive).drop("__b", "__p", "__byte", "bucket", "bitmap")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = 64, hash_single: bool = False) -> DataFrame:
     """One row per document: doc_id, keep_id (largest id of its group), group_size, kept, text_sha256,
     n_rows (rows that repeat this id and text).
 
-    Pass 1 reads lengths and the first `prefix` characters; groups of one are settled there. Pass 2 hashes whole texts
-    of the surviving (length, prefix hash) groups only; `hash_single` asks for the digest of the others too. Where the
-    surviving keys are too many to broadcast, the second scan hashes every text instead, which costs less than
-    shuffling texts; the rows are the same.
+    Pass 1 reads lengths and the first `prefix` characters. Pass 2 hashes whole texts of the surviving (length, prefix
+    hash) groups; the others are settled without. Which keys survive is told by a bitmap of bounded size: where keys
+    are so many that it fills up, some more texts are hashed, and the rows are the same. Texts are never shuffled. The
+    digest is given for groups of two or more, and for all documents if `hash_single` asks for it.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     keyed = rows.select("doc_id", "t", F.octet_length("t").alias("len"), F.xxhash64(lower_az(F.substring("t", 1, prefix))).alias("head"))
     digest = F.sha2(lower_az(F.col("t")), 256).alias("text_sha256")
-
-    sketch = cut(keyed.select("doc_id", "len", "head"), "dedup-sketch")
-    lengths = sketch.groupBy("len").count().filter("count > 1").select("len")
-    heads = cut(sketch.join(hinted(lengths), "len", "left_semi").groupBy("len", "head").count().filter("count > 1").select("len", "head"), "dedup-heads")
-
-    settled, survivors = None, keyed
-    if small(heads):
-        survivors = keyed.join(F.broadcast(heads), ["len", "head"], "left_semi")
-        rest = keyed if hash_single else sketch
-        settled = rest.join(F.broadcast(heads), ["len", "head"], "left_anti").select(
-            "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), digest if hash_single else F.lit(None).cast("string").alias("text_sha256"),
-            F.lit(1).cast("long").alias("n_rows"),
-        )
-
-    # A hot group is spread over (digest, id) first; its members meet only as one partial row per task.
-    members = cut(survivors.select("doc_id", digest).groupBy("text_sha256", "doc_id").agg(F.count("*").alias("n")), "dedup-members")
-    groups = cut(members.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size")), "dedup-groups")
-    hashed = members.join(groups, "text_sha256").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", F.col("n").alias("n_rows"))
-    return (settled.unionByName(hashed) if settled is not None else hashed).select(*SCHEMA)
+    with passing():
+        sketch = cut(keyed.select("doc_id", "len", "head"), "dedup-sketch", keep=True)
+        lengths = cut(sketch.groupBy("len").count().filter("count > 1").select("len"), "dedup-lengths")
+        heads = cut(sketch.join(hinted(lengths), "len", "left_semi").groupBy("len", "head").count().filter("count > 1").select("len", "head"), "dedup-heads")
+        bits = min(max(SMALLEST, (8 * heads.count()).bit_length()), LARGEST)
+        bitmap = cut(_marked(heads, bits), "dedup-bitmap", keep=True)
+        # A hot group is spread over (digest, id) first; its members meet only as one partial row per task.
+        survivors = _split(keyed, bitmap, bits).filter("alive").select("doc_id", digest)
+        members = cut(survivors.groupBy("text_sha256", "doc_id").agg(F.count("*").alias("n")), "dedup-members", keep=True)
+        groups = cut(members.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size")), "dedup-groups", keep=True)
+
+    rest = _split(keyed if hash_single else sketch, bitmap, bits).filter("NOT alive")
+    none = F.lit(None).cast("string").alias("text_sha256")
+    one = F.lit(1).cast("long")
+    settled = rest.select("doc_id", F.col("doc_id").alias("keep_id"), one.alias("group_size"), F.lit(True).alias("kept"), digest if hash_single else none, one.alias("n_rows"))
+    hot = hinted(groups.filter(F.col("group_size") >= HOT).select("text_sha256"))
+    met = [members.join(hot, "text_sha256", "left_anti").join(groups, "text_sha256"), members.join(hinted(groups.filter(F.col("group_size") >= HOT)), "text_sha256")]
+    shown = F.col("text_sha256") if hash_single else F.when(F.col("group_size") > 1, F.col("text_sha256"))
+    hashed = met[0].unionByName(met[1]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), shown.alias("text_sha256"), F.col("n").alias("n_rows"))
+    return settled.unionByName(hashed).select(*SCHEMA)
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -63,6 +83,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def op3_exact_dedup(spark, sf_dir: str) -> DataFrame:
+    """Every document with the id that stays, its group's size and its digest."""
     return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), hash_single=True)
 
 
