@@ -36,10 +36,14 @@ def test_exact_dedup(docs, none):
     assert sorted((r.doc_id, (r.text or "")[:9]) for r in kept.collect()) == [(2, "same text"), (4, ""), (5, LONG[:9]), (6, "Ünï Same"), (6, "ünï same"), (7, "a b c d e")]
 
 
-def test_exact_dedup_beyond_the_broadcast_bound_is_the_same(docs, monkeypatch):
-    want = sorted(map(repr, exact_dedup.exact_dedup(docs, hash_single=True).collect()))
-    monkeypatch.setattr(exact_dedup, "small", lambda *_: False)
-    assert sorted(map(repr, exact_dedup.exact_dedup(docs).collect())) == want
+def test_exact_dedup_is_the_same_where_the_bitmap_is_full(docs, monkeypatch):
+    """Every bit set, or hardly any: with digests for all, and with digests for groups only."""
+    want = {h: sorted(map(repr, exact_dedup.exact_dedup(docs, hash_single=h).collect())) for h in (True, False)}
+    assert all("text_sha256=None" not in r for r in want[True]) and any("text_sha256=None" in r for r in want[False])
+    monkeypatch.setattr(exact_dedup, "LARGEST", 0)
+    monkeypatch.setattr(exact_dedup, "HOT", 2)
+    for h in (True, False):
+        assert sorted(map(repr, exact_dedup.exact_dedup(docs, hash_single=h).collect())) == want[h]
 
 
 def test_decontaminate(spark, docs, none):
@@ -85,7 +89,7 @@ def test_pii_and_secrets(docs, none):
 
 def test_pii_adds_what_labelers_agree_on(spark):
     texts = [f"call me by phone ({200 + i}) 555-01{i:02d} or mail bob{i}@site.com, order no. {i}{i}{i}-22-333{i % 10} " for i in range(10, 60)] + ["Signed, Mr James Miller", "jane [at] home [dot] org"]
-    got = pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
     assert all("phone:17:31" in r.spans for r in got[:50])
     for r in got:
         spans = [tuple(map(int, s.split(":")[1:])) for s in r.spans.split(",") if s]
@@ -127,6 +131,8 @@ def test_source_mix(docs, none, labels):
     d = docs.withColumn("lang", F.lit("en"))
     out = source_mix.mixed(d, labels)
     assert out.columns == [*d.columns, "n_tokens", "rate"] and out.count() == len(DOCS)
+    clash = source_mix.mixed(d.withColumns({"rate": F.lit("x"), "n_tokens": F.lit("y")}), labels)
+    assert clash.columns == out.columns and {type(r.rate) for r in clash.collect()} == {float}
     assert source_mix.mixed(none.withColumn("lang", F.lit(None).cast("string")), labels).count() == 0
 
 
@@ -222,3 +228,43 @@ def test_chat_events(spark):
     ]
     got = chat_format.fold_events(spark.createDataFrame(e, "conv_id long, turn long, seq long, kind string, role string, text string")).orderBy("turn").collect()
     assert [(r.turn, r.role, r.text) for r in got] == [(0, "user", "hi there"), (1, "assistant", "bye"), (3, "user", "end")]
+
+
+def fold_by_hand(events):
+    """Replays a log event by event."""
+    turns: dict = {}
+    for turn, _, kind, role, text in sorted(events, key=lambda e: (e[1], e[2], e[3] or "", e[4] or "")):
+        if kind == "regenerate":
+            for later in [t for t in turns if t > turn]:
+                turns[later]["text"] = None  # void, but the turn's role is known
+        t = turns.setdefault(turn, {"role": "", "text": None})
+        t["role"] = role or t["role"]
+        t["text"] = (t["text"] or "") + (text or "") if kind == "delta" else text or ""
+    return {t: (m["role"], m["text"]) for t, m in turns.items() if m["text"] is not None}
+
+
+def test_chat_logs_against_replay(spark):
+    """Random logs, their events in any order; and a late delta after a regenerate of an earlier turn."""
+    import random
+
+    r = random.Random(3)
+    rows = [(0, 2, 1, "message", "user", "STALE"), (0, 1, 2, "regenerate", "assistant", "again"), (0, 2, 3, "delta", None, "new")]
+    for conv in range(1, 150):
+        for seq in range(r.randrange(1, 30)):
+            kind = r.choice(["message", "delta", "delta", "edit", "regenerate"])
+            rows.append((conv, r.randrange(5), seq, kind, r.choice(["user", "assistant"]) if kind == "message" else None, r.choice(["", None, "x", "yz", "<|im_end|>"])))
+    shuffled = rows[:]
+    r.shuffle(shuffled)
+    got: dict = {}
+    for x in chat_format.fold_events(spark.createDataFrame(shuffled, "conv_id long, turn long, seq long, kind string, role string, text string")).collect():
+        got.setdefault(x.conv_id, {})[x.turn] = (x.role, x.text)
+    assert got[0] == {1: ("assistant", "again"), 2: ("user", "new")}
+    assert got == {c: m for c in range(150) if (m := fold_by_hand([e[1:] for e in rows if e[0] == c]))}
+
+
+@pytest.mark.parametrize("piece", [1, 3, 256])
+def test_streamed_pieces_are_put_together(spark, piece):
+    texts = ["", None, "a", "abc", "abcd", "é" * 300, "<|im_end|>" * 60]
+    conv = spark.createDataFrame([(1, i, "assistant", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
+    got = chat_format.fold_events(chat_format.conversations_as_events(conv, piece)).orderBy("turn").collect()
+    assert [r.text for r in got] == [t or "" for t in texts] and {r.role for r in got} == {"assistant"}
