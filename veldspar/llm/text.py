@@ -30,16 +30,18 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def shingles(text: Column, k: int) -> Column:
-    """Distinct hashes of the k-word shingles of `text`; empty for fewer than k words."""
+def shingles(text: Column, *ks: int) -> Column:
+    """Distinct hashes of the k-word shingles of `text`, for each of the given k; none for a k of more than its words."""
+    none = F.array().cast("array<bigint>")
+
+    def windows(hashes: Column, k: int) -> Column:
+        starts = F.sequence(F.lit(1), F.size(hashes) - (k - 1))
+        return F.when(F.size(hashes) >= k, F.transform(starts, lambda i: F.xxhash64(*[F.element_at(hashes, i + j) for j in range(k)]))).otherwise(none)
 
     def of(hashes: Column) -> Column:
-        at = F.sequence(F.lit(1), F.size(hashes) - (k - 1))
-        return F.when(F.size(hashes) >= k, F.array_distinct(F.transform(at, lambda i: F.xxhash64(*[F.element_at(hashes, i + j) for j in range(k)])))).otherwise(
-            F.array().cast("array<bigint>")
-        )
+        return F.array_distinct(windows(hashes, ks[0]) if len(ks) == 1 else F.concat(*[windows(hashes, k) for k in ks]))
 
-    return let(F.transform(words(text), lambda w: F.xxhash64(w)), of)
+    return let(F.transform(words(text), lambda w: F.xxhash64(w)), of) if ks else none
 
 
 def normal_tail(z: Column) -> Column:
