@@ -49,6 +49,8 @@ def test_exact_dedup_is_the_same_where_the_bitmap_is_full(docs, monkeypatch):
 def test_decontaminate(spark, docs, none):
     items = spark.createDataFrame([(1, "c d e f g h i", "x"), (1, "c d e f g h i", "x"), (2, "short one", "x"), (3, None, "x"), (None, "a b c d e", "x"), (4, "Z z z z z z z z", "x"), (5, "a b c d e f g h i j", "x")], "item_id long, text string, n string")
     assert sorted(map(tuple, decontaminate.contaminated(docs, items).collect())) == [(7, 1, 3, 3), (7, 5, 6, 6)]
+    short = spark.createDataFrame([(1, "C  d e"), (2, "p"), (3, "c e d"), (4, "same text"), (5, " "), (6, "a b c d")], "item_id long, text string")
+    assert sorted(map(tuple, decontaminate.contaminated(docs, short).collect())) == [(1, 4, 1, 1), (2, 4, 1, 1), (7, 1, 1, 1), (7, 2, 1, 1), (7, 6, 1, 1)]
     assert decontaminate.contaminated(none, items).count() == decontaminate.contaminated(docs, items.limit(0)).count() == 0
     assert decontaminate.drop_contaminated(docs, items).count() == len(DOCS) - 1
 
@@ -61,6 +63,36 @@ def test_containment_threshold(spark):
     assert sorted((r.doc_id, r.n_shared) for r in decontaminate.contaminated(docs, items).collect()) == [(36, 32), (37, 33), (44, 40)]
 
 
+@pytest.mark.parametrize("percent", [100, 80, 50, 30])
+def test_containment_against_brute_force(spark, percent):
+    """Items of one to sixty words, some with common phrases, pasted whole or in part into documents."""
+    import random
+
+    r = random.Random(percent)
+    vocabulary = [f"v{i}" for i in range(300)]
+    say = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    phrase = say(9)
+    items = [say(n) for n in (1, 2, 3, 4, 5, 6, 7, 9, 12, 20, 30, 45, 60)] + [phrase + say(6), say(4) + phrase + say(20)]
+    docs = []
+    for i in range(90):
+        t = say(r.randrange(0, 120)) + (phrase if i % 3 == 0 else [])
+        if i % 2:
+            x = r.choice(items)
+            t += x[r.randrange(max(1, len(x) // 3)) : r.randrange(len(x) // 2, len(x)) + 1]
+        docs.append(t + say(r.randrange(9)))
+    sets = lambda w, ks: {tuple(w[i : i + k]) for k in ks for i in range(len(w) - k + 1)}
+    want = []
+    for j, x in enumerate(items):
+        a = sets(x, [min(5, len(x))])
+        for i, d in enumerate(docs):
+            n = len(a & sets(d, [min(5, len(x))]))
+            if n and 100 * n >= percent * len(a):
+                want.append((i, j, len(a), n))
+    frame = lambda rows, key: spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], f"{key} long, text string")
+    got = decontaminate.contaminated(frame(docs, "doc_id"), frame(items, "item_id"), percent=percent).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) > 20
+
+
 def test_ngram_join(docs, none):
     got = sorted((r.doc_id or -1, r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(docs).collect())
     assert got == sorted([(1, 1, 1), (2, 1, 1), (2, 1, 1), (3, 0, 3), (4, 0, 4), (-1, 1, None), (-1, 0, None), (5, 1, 5), (6, 1, 6), (6, 1, 6), (7, 14, 7)])

@@ -5,8 +5,10 @@ spans of kind `random`: runs of 20 or more token characters that do not overlap
 is inferred (hex, base32, upper-case, lower-case, alphanumeric, base64) and three tests of randomness are made against
 its alphabet: chi-squared uniformity, runs above and below the alphabet's middle, and lag-one serial correlation. A
 run that is random by all three is then held against ordinary writing: under that null hypothesis characters repeat as
-often as in prose and few are digits or capitals. The resulting p-values of all documents go into histograms by band
-of length, and the Benjamini-Hochberg step-up is made for each band alone, since short runs have less power.
+often as in prose and few are digits or capitals. A run's p-value is 1 if a test of the battery rejects it, else that
+of this comparison; so it stays one under the null hypothesis. The p-values of all runs of all documents go into
+histograms by band of length, and the Benjamini-Hochberg step-up is made for each band alone, since short runs have
+less power.
 
 Edge cases: null and empty text has no findings and gives a row with counts of 0; null ids and repeated rows give a row
 each; an empty table gives an empty result. Positions are code points, end exclusive. Other columns are not looked at.
@@ -84,8 +86,10 @@ def z_scores(token: Column) -> Column:
         n, k = F.size(xs).cast("double"), F.length(alphabet).cast("double")
         total = lambda a, f: F.aggregate(a, F.lit(0.0), lambda acc, x: acc + f(x))
         squares = total(F.transform(F.split(alphabet, ""), lambda c: n - F.length(F.replace(t, c, F.lit("")))), lambda c: c * c)
-        chi, df = squares * k / n - n, k - 1
-        z_chi = (F.pow(chi / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
+        # Chi-squared is k / n * (n + 2 * pairs) - n with the number of pairs of equal characters, all it depends on. Cells
+        # hold less than one character here, so its tail is that of the pairs, a Poisson's by the gamma's cube root.
+        pairs, rate = F.greatest((squares - n) / 2, F.lit(1e-9)), n * (n - 1) / (2 * k)
+        z_chi = 3 * F.sqrt(pairs) * (1 - 1 / (9 * pairs) - F.pow(rate / pairs, F.lit(1 / 3)))
 
         above = total(xs, lambda x: F.when(x >= k / 2, 1.0).otherwise(0.0))
         steps = F.zip_with(F.slice(xs, 1, F.size(xs) - 1), F.slice(xs, 2, F.size(xs)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
@@ -168,6 +172,7 @@ def listed(spans: Column) -> Column:
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its counts of base spans, their digest, and all spans."""
     out = scan_secrets(table(spark, sf_dir, "documents"))
     count = lambda i: F.size(F.filter("base", lambda x: x["k"] == i)).cast("long")
     return out.select(
