@@ -77,20 +77,26 @@ class Sample:
 
     def __init__(self, texts: list[bytes]):
         self.sizes = np.array([len(t) for t in texts], float)
-        self.rows = [np.unique(grams(np.frombuffer(t, np.uint8)), return_counts=True) for t in texts]
+        self.rows = [self._counted(t) for t in texts]
+
+    @staticmethod
+    def _counted(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        buckets, counts = np.unique(grams(np.frombuffer(text, np.uint8)), return_counts=True)
+        return buckets, counts.astype(np.uint32)
 
     def choose(self, rows: np.ndarray, y: np.ndarray) -> np.ndarray:
         """The buckets whose presence speaks most for the category, by the G statistic."""
-        held = [self.rows[i][0] for i in rows]
-        buckets, inverse = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint32), return_inverse=True)
-        label = np.repeat(y, [len(h) for h in held])
-        pos, neg = np.bincount(inverse, label, len(buckets)), np.bincount(inverse, 1 - label, len(buckets))
+        held = np.zeros((2, 1 << BITS), np.int32)  # texts with the bucket, by class
+        for i, label in zip(rows, y.astype(int)):
+            held[label, self.rows[i][0]] += 1
+        buckets = np.flatnonzero(held.any(axis=0))
+        neg, pos = held[:, buckets].astype(float)
         n, n1 = len(y), y.sum()
         a, b = pos + 0.5, neg + 0.5
         gain = 2 * (a * np.log(a * n / ((a + b) * n1)) + b * np.log(b * n / ((a + b) * (n - n1))))
         gain[(pos * (n - n1) <= neg * n1) | (pos < 3)] = -1
         best = np.argsort(-gain, kind="stable")[:FEATURES]
-        return np.sort(buckets[best[gain[best] > 3.84]])
+        return np.sort(buckets[best[gain[best] > 3.84]]).astype(np.uint32)
 
     def matrix(self, rows: np.ndarray, chosen: np.ndarray) -> np.ndarray:
         x = np.zeros((len(rows), len(chosen)))
