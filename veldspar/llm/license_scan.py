@@ -142,6 +142,7 @@ def scan_licenses(docs: DataFrame, sentences: dict[int, str] = SENTENCES, rules=
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and licence found in it."""
     return scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 
 from veldspar.llm import numtext
 from veldspar.llm.components import components
-from veldspar.llm.store import cut, hinted, passing, short_batches, table
+from veldspar.llm import store
+from veldspar.llm.store import cut, passing, short_batches, table
 from veldspar.llm.text import row_key
 
 #: A shingle in more than FREQUENT regions goes last in the order, as far as the list of the most frequent ones, of
@@ -41,10 +42,16 @@ FREQUENT, LISTED = 16, 500_000
 WORDS, FOLD = 16, 4
 #: Shingles of the documents of one batch that goes back to the JVM, but for its last document.
 HELD = 250_000
+#: Most bytes of a table that one join broadcasts. There are some fifty joins, so that all together send at most 200 MB.
+SHARED = 4 << 20
 #: Groups of each posting list that the first round pairs with all others of the list.
 PIVOTS = 16
 
 
+def hinted(df: DataFrame) -> DataFrame:
+    return store.hinted(df, SHARED)
+
+
 def _prefix_length(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1
 
@@ -82,7 +89,7 @@ def _order(docs: DataFrame, k: int, percent: int) -> np.ndarray:
 
     hashes = _run(docs, ["r"], "r array<long>", region, k).select(F.explode("r").alias("h"))
     top = hashes.groupBy("h").count().filter(F.col("count") > FREQUENT).orderBy(F.desc("count"), "h").limit(LISTED)
-    return np.sort(np.array([r[0] for r in top.select("h").collect()], np.int64).view(np.uint64))
+    return np.sort(top.select("h").toArrow().column(0).combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
 
 
 def _prefixes(docs: DataFrame, frequent, k: int, percent: int) -> DataFrame:

@@ -104,6 +104,7 @@ def _joined(parts: DataFrame, rules, default: str) -> DataFrame:
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page with its host, path, rule and verdict."""
     return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
