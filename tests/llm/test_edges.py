@@ -230,14 +230,16 @@ modification, are permitted provided that the following conditions are met:
     assert got == {0: ("MIT", 1), 1: ("MIT", 1), 2: ("MIT", 1), 3: ("Apache-2.0", 1), 4: ("Apache-2.0", 1), 5: ("GPL-3.0", 1), 6: ("GPL-2.0", 1), 7: ("GPL-3.0", 1), 8: ("BSD-2-Clause", 1), 9: ("BSD-3-Clause", 1), 10: ("proprietary", 1)}
 
 
-def test_url_filter(spark, monkeypatch):
+def test_url_filter(spark):
     urls = ["http://a.example.org/es/1", "x://EXAMPLE.org/en/12?x#y", "x://example.org/en/2", "x://org", "x://notorg/", "x://b.com/fr/", "x://b.com/de", "x://b.com/de/x", "no scheme", None, "x://u@org/?q", "x://c.org?/es/"]
     pages = spark.createDataFrame([(i, u, "r") for i, u in enumerate(urls)], "page_id long, url string, rule string")
     got = [(r.host, r.path, r.rule, r.verdict) for r in url_filter.filter_urls(pages).orderBy("page_id").collect()]
     assert [g[2] for g in got] == ["example.org/es/", "example.org/en/1", "org/", None, None, "com/fr/", None, "com/de/", None, None, None, None]
     assert [g[3] for g in got] == ["block", "block", "allow", "allow", "allow", "allow", "allow", "block", "allow", "allow", "allow", "allow"]
-    joined = [(r.host, r.path, r.rule, r.verdict) for r in url_filter.filter_urls(pages, max_rules=0).orderBy("page_id").collect()]
-    assert joined == got
+    for part in (1, 2, 3):  # several tries, one after the other
+        assert [(r.host, r.path, r.rule, r.verdict) for r in url_filter.filter_urls(pages, part=part).orderBy("page_id").collect()] == got
+    assert url_filter.filter_urls(pages.unionByName(pages)).count() == 2 * len(urls)
+    assert {r.verdict for r in url_filter.filter_urls(pages, rules=[], default="block").collect()} == {"block"}
     assert url_filter.filter_urls(pages.limit(0)).count() == 0
 
 
@@ -300,3 +302,23 @@ def test_streamed_pieces_are_put_together(spark, piece):
     conv = spark.createDataFrame([(1, i, "assistant", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
     got = chat_format.fold_events(chat_format.conversations_as_events(conv, piece)).orderBy("turn").collect()
     assert [r.text for r in got] == [t or "" for t in texts] and {r.role for r in got} == {"assistant"}
+
+
+def test_long_rule_lists_against_brute_force(spark):
+    """Hundreds of rules that overlap, in parts of every size, against a scan of all rules for each url."""
+    import random
+
+    r = random.Random(7)
+    hosts = ["com", "a.com", "b.a.com", "org", "x.org", "a.x.org"]
+    paths = ["/", "/p", "/p/", "/p/q", "/p/q/", "/pq", "/q/1"]
+    rules = list({(h, p): (h, p, r.choice(["allow", "block"])) for h in hosts for p in paths if r.random() < 0.7}.values())
+    urls = [f"http://{r.choice(['', 'w.'])}{r.choice(hosts)}{r.choice(paths)}{r.choice(['', 'z', '/z'])}" for _ in range(300)]
+
+    def brute(url):
+        host, slash, rest = url.split("://")[1].partition("/")
+        fits = [(len(h.split(".")), len(p.lstrip("/")), v, f"{h}/{p.lstrip('/')}") for h, p, v in rules if (host == h or host.endswith("." + h)) and (slash + rest).startswith(p)]
+        return max(fits)[2:] if fits else ("allow", None)
+
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    for part in (4, 1000):
+        assert [(x.verdict, x.rule) for x in url_filter.filter_urls(pages, rules, part=part).orderBy("page_id").collect()] == [brute(u) for u in urls]

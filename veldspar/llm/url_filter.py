@@ -3,19 +3,23 @@
 A rule is (host, path, verdict). It fits its host and all subdomains when the url's path starts with the rule's path.
 The longest fitting rule wins: more host labels first, then the longer path; of equal rules block beats allow.
 Edge cases: a null url or one without "://" has empty host and path and fits no rule, nor does an empty path; no rule gives the default
-verdict. Repeated rows give repeated results, an empty table an empty one. The trie is built on the driver from a
-parameter list of at most MAX_RULES rules, which bounds what is broadcast; beyond it the rules are joined instead.
+verdict. Repeated rows give repeated results, an empty table an empty one.
+
+The rules are a parameter list. A trie holds at most PART of them, which bounds what is broadcast and what a worker
+holds; a longer list makes several tries, which judge the pages one after the other, with a cut table between, and the
+longest match of all counts. So a list of any length gets the same method.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_RULES = 200_000
+from veldspar.llm.store import cut, table
+
+#: Most rules of one trie.
+PART = 200_000
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
 
@@ -33,7 +37,7 @@ class Trie:
                 node = node.setdefault(("p", segment), {})
             ends = node.setdefault("ends", {})
             if ends.get(last, ("", "allow"))[1] != "block":
-                ends[last] = (f"{host}/{path.lstrip('/')}", verdict)
+                ends[last] = (f"{host}/{path.lstrip('/')}", verdict, len(host.split(".")), len(path.lstrip("/")))
         # longest partial segment first
         stack = [self.root]
         while stack:
@@ -54,7 +58,7 @@ class Trie:
             node, i = node[("p", left)], i + 1
 
     def match(self, host: str, path: str):
-        """The longest fitting rule as (text, verdict), or None."""
+        """The longest fitting rule as (text, verdict, host labels, characters of path), or None."""
         if not host or not path.startswith("/"):
             return None
         segments = path[1:].split("/")
@@ -74,38 +78,43 @@ def url_parts(url):
     return host, F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1)
 
 
-def filter_urls(pages: DataFrame, rules=RULES, default: str = "allow", id_col: str = "page_id", url_col: str = "url", max_rules: int = MAX_RULES) -> DataFrame:
-    """One row per page: id, host, path, rule (text of the longest fitting rule, else null), verdict."""
-    host, path = url_parts(F.col(url_col))
-    parts = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
-    if len(rules) > max_rules:
-        return _joined(parts, rules, default)
-    trie = parts.sparkSession.sparkContext.broadcast(Trie(rules))
+_HIT = "struct<labels:int,chars:int,verdict:string,rule:string>"
 
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            hit = [trie.value.match(h, p) for h, p in zip(b["host"], b["path"])]
-            yield b.assign(rule=[m and m[0] for m in hit], verdict=[m[1] if m else default for m in hit])
 
-    return parts.mapInPandas(judge, "page_id long, host string, path string, rule string, verdict string")
+def _judge(spark: SparkSession, rules):
+    """Function of host and path: the longest match in a trie of these rules, or null; asked once for each distinct pair of a batch."""
+    trie = spark.sparkContext.broadcast(Trie(rules))
 
+    @F.arrow_udf(_HIT)
+    def judge(host: pa.Array, path: pa.Array) -> pa.Array:
+        pairs = list(zip(host.to_pylist(), path.to_pylist()))
+        found = {p: trie.value.match(*p) for p in set(pairs)}
+        kind = pa.struct([("labels", pa.int32()), ("chars", pa.int32()), ("verdict", pa.string()), ("rule", pa.string())])
+        return pa.array([(m := found[p]) and {"labels": m[2], "chars": m[3], "verdict": m[1], "rule": m[0]} for p in pairs], kind)
 
-def _joined(parts: DataFrame, rules, default: str) -> DataFrame:
-    """The same result for rule lists too long to broadcast: distinct (host, path) pairs probe the rules by host suffix."""
-    spark = parts.sparkSession
-    table = spark.createDataFrame([(h.lower(), "/" + p.lstrip("/"), f"{h}/{p.lstrip('/')}", v) for h, p, v in rules], "r_host string, r_path string, r_rule string, r_verdict string")
-    keys = parts.select("host", "path").distinct()
-    labels = F.split("host", r"\.")
-    probes = keys.withColumn("r_host", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))))
-    fits = F.col("path").startswith(F.col("r_path"))
-    rank = F.struct(F.size(F.split("r_host", r"\.")).alias("a"), F.length("r_path").alias("b"), F.col("r_verdict").alias("c"), F.col("r_rule").alias("d"))
-    best = probes.filter("host <> ''").join(table, "r_host").filter(fits).groupBy("host", "path").agg(F.max(rank).alias("m"))
-    return parts.join(best, ["host", "path"], "left").select("page_id", "host", "path", F.col("m.d").alias("rule"), F.coalesce("m.c", F.lit(default)).alias("verdict"))
+    return judge
+
+
+def filter_urls(pages: DataFrame, rules=RULES, default: str = "allow", id_col: str = "page_id", url_col: str = "url", part: int = PART) -> DataFrame:
+    """One row per page: id, host, path, rule (text of the longest fitting rule, else null), verdict."""
+    host, path = url_parts(F.col(url_col))
+    parts = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
+    best: Column = F.lit(None).cast(_HIT)
+    for at in range(0, len(rules), part):
+        judge = _judge(parts.sparkSession, rules[at : at + part])
+        if at:  # one trie at a time in a worker
+            parts, best = cut(parts.withColumn("best", best), "url-judged"), F.col("best")
+        parts = parts.withColumn("hit", judge("host", "path"))
+        best = F.greatest(best, F.col("hit")) if at else F.col("hit")  # of equally long matches block beats allow
+        if at:
+            parts = parts.withColumn("best", best).drop("hit")
+            best = F.col("best")
+    return parts.select("page_id", "host", "path", best["rule"].alias("rule"), F.coalesce(best["verdict"], F.lit(default)).alias("verdict"))
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page with its host, path, rule and verdict."""
-    return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return filter_urls(table(spark, sf_dir, "pages"))
 
 
 SQL = r"""
