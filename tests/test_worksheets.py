@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import itertools
+import json
+import random
 from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
 
 from veldspar.contracts import ContractError
-from veldspar.operators import extract, worksheets as X
+from veldspar.operators import extract, governance, identity, worksheets as X
 
 COLUMNS = "reporting_period string, canonical_sheet string, normalised_column string, column string, column_position int, storage_dtype string, semantic_type string, number_format_class string"
 SHEETS = "reporting_period string, canonical_sheet string, sheet string, header_row int"
@@ -131,3 +133,41 @@ def test_a_failed_workbook_fails_the_run_late(spark):
     with pytest.raises(ContractError, match="bad.xlsx"):
         extract.fail_late(cells)
     extract.fail_late(cells.filter("error IS NULL"))
+
+
+def test_suggestions_are_those_of_all_candidates(spark):
+    """A short shortlist, so that it cuts: the same candidates as scoring every one of them."""
+    r = random.Random(8)
+    words = ["alpha", "beta", "gamma", "delta", "bank", "group", "x", "finance", "of"]
+    name = lambda: " ".join(r.choice(words) for _ in range(r.randrange(1, 4)))
+    aliases = sorted({(name(), str(i)) for i in range(60)} | {("zzz qqq", "900"), ("qqqq", "901")})
+    firms = sorted({name() for _ in range(12)} | {"zz qq", "mmmm nn", "y"})
+    a = spark.createDataFrame([("H1", n, f, "") for n, f in aliases], "reporting_period string, firm_name string, frn string, trading_name string")
+    got = identity.suggest(spark.createDataFrame([("H1", f) for f in firms], "reporting_period string, firm_name string"), a, F.lower, shortlist=7).collect()
+
+    def similarity(x, y):
+        c = round(SequenceMatcher(None, x, y).ratio(), 6)
+        t = round(SequenceMatcher(None, " ".join(sorted(x.split())), " ".join(sorted(y.split()))).ratio(), 6)
+        return round(0.65 * SequenceMatcher(None, x, y).ratio() + 0.35 * SequenceMatcher(None, " ".join(sorted(x.split())), " ".join(sorted(y.split()))).ratio(), 6), c, t
+
+    want = set()
+    for f in firms:
+        rough = lambda n: 0.8 * len(set(f.split()) & set(n.split())) / len(set(f.split()) | set(n.split())) + 0.2 * min(len(f), len(n)) / max(len(f), len(n), 1)  # noqa: E731, B023
+        best = sorted(sorted(aliases, key=lambda x: (-rough(x[0]), x))[:7], key=lambda x: (-similarity(f, x[0])[0], -similarity(f, x[0])[1], x))
+        want |= {(f, i, *x) for i, x in enumerate(best[:3], 1)}
+    assert {(x.unmatched_firm_name, x.suggestion_rank, x.candidate_name, x.candidate_frn) for x in got} == want
+
+
+def test_register_reports(spark):
+    rows = [("A1", "First", "completed", "approved", "me", "2025-01-01", "2025-01-01", "o", "doc"), ("A2", "Second", "in_progress", "pending_business_review", "", "", "", "", "lost")]
+    register = spark.createDataFrame(rows, "action_id string, action_title string, status string, approval_status string, approved_by string, approved_at string, completed_at string, owner string, evidence_reference string")
+    evidence = spark.createDataFrame([("doc",)], "evidence_reference string")
+    gate, agenda = governance.handoff(register, evidence, "A1", ["A2"])
+    g = json.loads(gate)
+    assert g["missing_evidence_references"] == ["A2:lost"] and not g["release_authorised"] and g["methodology_approved"] and "## A2: Second" in agenda
+    assert json.loads(governance.handoff(register.filter("action_id = 'A1'"), evidence, "A1", ["A2"])[0])["release_authorised"]
+    assert "- A2: Second" in governance.report(register, "A1") and "First" in governance.report(register, "A1")
+    s = json.loads(governance.summary_json(governance.register_summary(register, "A1")))
+    assert s["status_counts"]["completed"] == 1 and s["unassigned_open_action_count"] == 1
+    assert json.loads(governance.snapshot({"rules": [1]}, "x.json")) == {"source": "x.json", "methodology": {"rules": [1]}}
+    assert json.loads(governance.manifest("n", "no", {"d": [evidence, "table"]}, ["sum"]))["dashboards"][0]["sources"] == [{"evidence_reference": "string"}, "table"]

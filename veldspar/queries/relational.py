@@ -240,7 +240,7 @@ def token_jaccard_shortlist(spark, sf):
 def name_similarity_suggestions(spark, sf):
     s = t(spark, sf, "supplier").select(F.lit("1").alias("reporting_period"), F.concat("s_name", F.lit(" Limited")).alias("firm_name"))
     aliases = t(spark, sf, "supplier").select(F.lit("1").alias("reporting_period"), F.concat("s_name", F.lit(" Ltd")).alias("firm_name"), F.col("s_suppkey").cast("string").alias("frn"), F.lit("").alias("trading_name"))
-    return identity.suggest(s, aliases, fold_name, block=True).select("unmatched_firm_name", "suggestion_rank", "candidate_name", "combined_score", "suggestion_quality", "exact_comparison_key")
+    return identity.suggest(s, aliases, fold_name).select("unmatched_firm_name", "suggestion_rank", "candidate_name", "combined_score", "suggestion_quality", "exact_comparison_key")
 
 
 @query("""SELECT s_suppkey, trim(regexp_replace(regexp_replace(regexp_replace(replace(lower(s_name) || ' & Co. (Holdings) LIMITED', '&', ' and '), '[^\\w\\s]', ' ', 'g'), '\\s+', ' ', 'g'), '\\b(LIMITED|limited)\\b', 'ltd', 'g')) AS comparison_key FROM supplier""")

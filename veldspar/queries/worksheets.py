@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veldspar.functions.semantics import half_year
-from veldspar.operators import extract, worksheets as X
+from veldspar.operators import extract, governance, review, worksheets as X
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -299,3 +299,41 @@ def extraction_reconciliation(spark, sf):
     body = _body(spark, sf)
     out = extract.reconciliation(body, extract.metrics(body, _registry(spark)))
     return out.select("workbook", "sheet", "eligible_source_rows", "mapped_metric_columns", "expected_metric_records", "extracted_metric_records", "rejected_records", "reconciliation_status")
+
+
+# ---- governance ------------------------------------------------------------------------------------------------------
+
+_REGISTER = """SELECT cast(o_orderkey AS {s}) AS action_id, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'in_progress' ELSE 'blocked' END AS status,
+  CASE WHEN o_orderpriority = '1-URGENT' THEN 'approved' ELSE 'pending_business_review' END AS approval_status, CASE WHEN o_custkey % 3 = 0 THEN ' ' ELSE cast(o_custkey AS {s}) END AS owner, CASE WHEN o_orderkey % 400 = 1 THEN 'doc' || (o_orderkey % 7) END AS evidence_reference FROM orders"""
+
+
+def _register(spark, sf):
+    t(spark, sf, "orders").createOrReplaceTempView("orders_of_register")
+    return spark.sql(_REGISTER.format(s="string").replace("FROM orders", "FROM orders_of_register"))
+
+
+@query(
+    f"""WITH r AS ({_REGISTER.format(s='VARCHAR')}), g AS (SELECT count(*) AS action_count, count(*) FILTER (status <> 'completed') AS open_action_count, count(*) FILTER (status <> 'completed' AND trim(owner) = '') AS unassigned_open_action_count, count(*) FILTER (approval_status = 'pending_business_review') AS pending_approval_count,
+  count(*) FILTER (status = 'blocked') AS blocked, count(*) FILTER (action_id = '1' AND approval_status = 'approved') > 0 AS methodology_approved, count(*) FILTER (action_id IN ('1', '2', '3') AND approval_status <> 'approved') AS pending_decision_count FROM r),
+m AS (SELECT count(*) AS missing_evidence_count FROM r WHERE evidence_reference IS NOT NULL AND evidence_reference NOT IN ('doc1', 'doc2', 'doc3'))
+SELECT *, methodology_approved AND missing_evidence_count = 0 AND pending_decision_count = 0 AS release_authorised FROM g, m"""
+)
+def register_handoff(spark, sf):
+    """The gate of a register that orders host, against three known references."""
+    evidence = spark.sql("SELECT * FROM VALUES ('doc1'), ('doc2'), ('doc3') AS t(evidence_reference)")
+    g = governance.handoff_gate(_register(spark, sf), evidence, "1", ["1", "2", "3"])
+    return g.select("action_count", "open_action_count", "unassigned_open_action_count", "pending_approval_count", F.col("status_counts")["blocked"].alias("blocked"), "methodology_approved", "pending_decision_count", F.size("missing_evidence_references").cast("long").alias("missing_evidence_count"), "release_authorised")
+
+
+_OUTCOMES = (*review.OUTCOMES, "other")
+_BANDS = ("priority_review", "review", "monitor", "no_current_signal", "insufficient_data")
+
+
+@query(
+    f"""SELECT o_orderkey, CASE o WHEN 'coherent_priority_case' THEN CASE WHEN b = 'priority_review' THEN 'aligned' ELSE 'needs_review' END WHEN 'likely_false_positive' THEN CASE WHEN b IN ('no_current_signal', 'monitor', 'insufficient_data') THEN 'aligned' ELSE 'needs_review' END
+  WHEN 'potential_false_negative' THEN CASE WHEN b IN ('monitor', 'review', 'priority_review') THEN 'aligned' ELSE 'needs_review' END ELSE 'not_targeted_by_revision' END AS review_alignment
+FROM (SELECT o_orderkey, {_list(_OUTCOMES)}[o_orderkey % {len(_OUTCOMES)} + 1] AS o, {_list(_BANDS)}[o_custkey % {len(_BANDS)} + 1] AS b FROM orders)"""
+)
+def review_alignment(spark, sf):
+    """Whether a revised band agrees with what a reviewer found."""
+    return t(spark, sf, "orders").select("o_orderkey", review.alignment(_pick(_OUTCOMES, "o_orderkey"), _pick(_BANDS, "o_custkey")).alias("review_alignment"))
