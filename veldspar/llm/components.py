@@ -1,12 +1,18 @@
-"""Connected components of a link table, by alternating large-star and small-star steps (Kiveris et al., 2014)."""
+"""Connected components of a link table: alternating large-star and small-star steps (Kiveris et al., 2014) until the
+links that are left fit into one task of bounded size, which finishes them."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veldspar.llm.store import cut
 
+#: Most links that one task finishes: 16 MB of ids. The steps keep all nodes, so that they can stop after any round.
+LOCAL = 1 << 20
+
 
 def _stars(edges: DataFrame, larger: bool) -> DataFrame:
     """Point each node's neighbours (the larger ones, or the smaller ones and itself) to the least node it sees."""
@@ -20,11 +26,41 @@ def _stars(edges: DataFrame, larger: bool) -> DataFrame:
     return out.filter("u <> v").distinct()
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def labels(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, least node of each one's component): labels sink along links and jump along themselves."""
+    nodes, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(nodes))
+    while True:
+        low, before = np.minimum(root[a], root[b]), root
+        root = root.copy()
+        for end in (a, b):
+            np.minimum.at(root, end, low)
+            np.minimum.at(root, before[end], low)  # the label that a node had sinks too
+        root = root[root]
+        if (root == before).all():
+            return nodes, nodes[root]
+
+
+def _finished(edges: DataFrame) -> DataFrame:
+    def batches(it):
+        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in it]
+        if parts:
+            nodes, roots = labels(*(np.concatenate(x) for x in zip(*parts)))
+            for i in range(0, len(nodes), 10_000):
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[i : i + 10_000]), pa.array(roots[i : i + 10_000])], ["node", "root"])
+
+    return edges.select("u", "v").coalesce(1).mapInArrow(batches, "node long, root long")
+
+
+def components(links: DataFrame, rounds: int = 60, local: int | None = None) -> DataFrame:
     """(node, root) for every node of `links` (u, v longs); root is the least node of the component. No links, no rows."""
+    local = LOCAL if local is None else local
     edges = cut(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
     state = None
     for _ in range(rounds):
+        if edges.count() <= local:
+            return _finished(edges)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state or not now[0]:
             break
