@@ -166,7 +166,7 @@ def _workbook(path, cells):
     with zipfile.ZipFile(path, "w") as z:
         z.writestr("xl/workbook.xml", f'<workbook {ns} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="Opened" sheetId="1" r:id="r1"/></sheets></workbook>')
         z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Target="worksheets/s1.xml"/></Relationships>')
-        z.writestr("xl/worksheets/s1.xml", f"<worksheet {ns}><sheetData>{body}</sheetData></worksheet>")
+        z.writestr("xl/worksheets/s1.xml", f"<worksheet {ns}><sheetData>{body}</sheetData><mergeCells count="1"><mergeCell ref="A1:C1"/></mergeCells></worksheet>")
 
 
 def test_workbooks(spark, tmp_path):
@@ -177,7 +177,7 @@ def test_workbooks(spark, tmp_path):
     df = xlsx.cells(spark, str(tmp_path)).cache()
     assert df.filter("error IS NOT NULL").count() == 1
     inv = xlsx.inventory(df).first()
-    assert (inv.last_row, inv.last_column, inv.formulas, inv.formulas_without_value) == (5, 3, 1, 1)
+    assert (inv.last_row, inv.last_column, inv.formulas, inv.formulas_without_value, inv.merged_ranges) == (5, 3, 1, 1, 1)
     ranked = profile.header_candidates(df.filter("error IS NULL"), ["workbook", "sheet"], ["firm name", "grand total"])
     head = ranked.filter("candidate_rank = 1").select("workbook", "sheet", F.col("row").alias("header_row"))
     assert head.first().header_row == 3

@@ -48,7 +48,7 @@ def _formats(z: zipfile.ZipFile) -> list[int]:
 
 
 def read_cells(path: str) -> Iterator[tuple]:
-    """Cells with a value or a formula, sheet by sheet in row order."""
+    """Cells with a value or a formula, sheet by sheet in row order; then each merged range, as a row of kind `merged` without row and column."""
     name = os.path.basename(path)
     with zipfile.ZipFile(path) as z:
         shared, formats = _texts(z), _formats(z)
@@ -57,6 +57,8 @@ def read_cells(path: str) -> Iterator[tuple]:
             target = targets[s.get(f"{_R}id")].lstrip("/")
             with z.open(target if target.startswith("xl/") else f"xl/{target}") as f:
                 for _, row in iterparse(f):
+                    if row.tag == f"{_M}mergeCell":
+                        yield name, s.get("name"), None, None, "merged", row.get("ref"), None, False, None
                     if row.tag != f"{_M}row":
                         continue
                     for c in row.iter(f"{_M}c"):
@@ -120,9 +122,9 @@ def reporting_period(name):
 
 
 def inventory(df: DataFrame) -> DataFrame:
-    """Per sheet: value bounds, cell and formula counts, formulas without a cached value."""
-    ok = df.filter("error IS NULL")
-    return ok.groupBy("workbook", "sheet").agg(F.max("row").alias("last_row"), F.max("col").alias("last_column"), F.count("value").alias("cells"), F.count_if("formula").alias("formulas"), F.count_if(F.col("formula") & F.col("value").isNull()).alias("formulas_without_value"))
+    """Per sheet: value bounds, cell and formula counts, formulas without a cached value, merged ranges."""
+    ok, merged = df.filter("error IS NULL"), F.col("kind") == "merged"
+    return ok.groupBy("workbook", "sheet").agg(F.max("row").alias("last_row"), F.max("col").alias("last_column"), F.count(F.when(~merged, F.col("value"))).alias("cells"), F.count_if("formula").alias("formulas"), F.count_if(F.col("formula") & F.col("value").isNull()).alias("formulas_without_value"), F.count_if(merged).alias("merged_ranges"))
 
 
 def wide_to_long(df: DataFrame, header: DataFrame, identifiers: list[str]) -> DataFrame:
