@@ -230,6 +230,53 @@ modification, are permitted provided that the following conditions are met:
     assert got == {0: ("MIT", 1), 1: ("MIT", 1), 2: ("MIT", 1), 3: ("Apache-2.0", 1), 4: ("Apache-2.0", 1), 5: ("GPL-3.0", 1), 6: ("GPL-2.0", 1), 7: ("GPL-3.0", 1), 8: ("BSD-2-Clause", 1), 9: ("BSD-3-Clause", 1), 10: ("proprietary", 1)}
 
 
+def test_further_published_notices(spark):
+    gnu = lambda name, version, free="free software": f"""Frob is {free}: you can redistribute it and/or modify
+it under the terms of the GNU {name} General Public License as published by
+the Free Software Foundation, either version {version} of the License, or
+(at your option) any later version.
+
+Frob is distributed in the hope that it will be useful.
+
+You should have received a copy of the GNU {name} General Public License
+along with Frob.  If not, see <https://www.gnu.org/licenses/>."""
+    isc = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES"""
+    unlicense = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means."""
+    zlib = """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:"""
+    boost = """Permission is hereby granted, free of charge, to any person or organization
+obtaining a copy of the software and accompanying documentation covered by
+this license (the "Software") to use, reproduce, display, distribute,
+execute, and transmit the Software, and to prepare derivative works of the
+Software, and to permit third-parties to whom the Software is furnished to
+do so, all subject to the following:"""
+    want = {
+        0: (isc, "ISC"), 1: (gnu("Lesser", "2.1"), "LGPL-2.1"), 2: (gnu("Lesser", "3"), "LGPL-3.0"), 3: (gnu("Affero", "3"), "AGPL-3.0"), 4: (unlicense, "Unlicense"), 5: (zlib, "Zlib"), 6: (boost, "BSL-1.0"),
+        7: ("To the extent possible under law, Jane Doe has waived all copyright and related or neighboring rights to Frob.", "CC0-1.0"),
+        8: ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "CC-BY-SA-4.0"),
+        9: ("// SPDX-License-Identifier: GPL-2.0-or-later\ncode", "GPL-2.0"), 10: ("# SPDX-License-Identifier: Apache-2.0", "Apache-2.0"),
+        11: ("This program and the accompanying materials are made available under the\nterms of the Eclipse Public License 2.0 which is available at\nhttps://www.eclipse.org/legal/epl-2.0/", "EPL-2.0"),
+        12: ("word " * 50_000 + ".\n" + isc, "ISC"),
+    }
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in want.items()] + [(0, isc), (13, zlib.split("\n\n")[0])], "doc_id long, text string")
+    got = {r.doc_id: (r.license, r.n_matches) for r in license_scan.scan_licenses(docs).collect()}
+    assert got == {i: (name, 2 if i == 0 else 1) for i, (_, name) in want.items()}
+
+
 def test_url_filter(spark):
     urls = ["http://a.example.org/es/1", "x://EXAMPLE.org/en/12?x#y", "x://example.org/en/2", "x://org", "x://notorg/", "x://b.com/fr/", "x://b.com/de", "x://b.com/de/x", "no scheme", None, "x://u@org/?q", "x://c.org?/es/"]
     pages = spark.createDataFrame([(i, u, "r") for i, u in enumerate(urls)], "page_id long, url string, rule string")

@@ -59,6 +59,8 @@ _MIT_GRANT = "permission is hereby granted free of charge to any person obtainin
 _APACHE = "the apache license version 2 0 the license you may not use this file except in compliance with the license"
 _AS_IS = "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"
 _GPL = "^is free software you can redistribute it and or modify it under the terms of the gnu general public license"
+_LESSER = _GPL.replace("gnu general", "gnu (?:lesser|library) general")
+_AFFERO = _GPL.replace("gnu general", "gnu affero general")
 _FSF = "as published by the free software foundation"
 _BSD_GRANT = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
 #: (identifier, normalised sentence as published, a regular expression). "_" is a name of up to 12 words, "^" one of up
@@ -82,8 +84,38 @@ PUBLISHED = [
     (19, "all advertising materials mentioning features or use of this software must display the following acknowledge?ment this product includes software developed by _"),
     (20, f"{_GPL} {_FSF}(?: either)? version 2(?: of the license)?(?: or at your option any later version)?"),
     (20, f"{_GPL} version 2(?: only)? {_FSF}"),
+    (22, "permission to use copy modify and(?: or)? distribute this software(?: and its documentation)? for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    (23, f"{_LESSER} {_FSF}(?: either)? version 2 1(?: of the license)?(?: or at your option any later version)?"),
+    (24, f"{_LESSER} {_FSF}(?: either)? version 3(?: of the license)?(?: or at your option any later version)?"),
+    (25, "you should have received a copy of the gnu lesser general public license along with _(?: if not(?: see| write to) ~)?"),
+    (26, f"{_AFFERO} {_FSF}(?: either)? version 3(?: of the license)?(?: or at your option any later version)?"),
+    (27, "you should have received a copy of the gnu affero general public license along with _(?: if not(?: see| write to) ~)?"),
+    (28, "this work is licensed under (?:a|the) creative commons attribution sharealike 4 0 international license"),
+    (29, "this work is licensed under (?:a|the) creative commons attribution noncommercial sharealike 4 0 international license"),
+    (30, "to the extent possible under law _ ha(?:s|ve) waived all copyright and related or neighboring rights to _"),
+    (31, "this is free and unencumbered software released into the public domain"),
+    (32, "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
+    (33, "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following"),
+    (34, "this software is provided as is without any express or implied warranty"),
+    (35, "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"),
+    (36, "this program and the accompanying materials are made available under the terms of the eclipse public license(?: v| version)? 2 0 which ~"),
 ]
 FURTHER_RULES = [
+    ("ISC", (22,)),
+    ("LGPL-2.1", (23, 25)),
+    ("LGPL-2.1", (23,)),
+    ("LGPL-3.0", (24, 25)),
+    ("LGPL-3.0", (24,)),
+    ("AGPL-3.0", (26, 27)),
+    ("AGPL-3.0", (26,)),
+    ("CC-BY-SA-4.0", (28,)),
+    ("CC-BY-NC-SA-4.0", (29,)),
+    ("CC0-1.0", (30,)),
+    ("Unlicense", (31, 32)),
+    ("Unlicense", (31,)),
+    ("BSL-1.0", (33,)),
+    ("Zlib", (34, 35)),
+    ("EPL-2.0", (36,)),
     ("MIT", (17,)),
     ("BSD-4-Clause", (13, 14, 15, 19, 18)),
     ("BSD-3-Clause", (13, 14, 15, 18)),
@@ -92,6 +124,10 @@ FURTHER_RULES = [
     ("GPL-3.0", (21, 10)),
     ("GPL-3.0", (21,)),
 ]
+#: Tags that name a licence outright: one sentence and one rule for each licence named above.
+_NAMED = sorted({name for name, _ in (*RULES, *FURTHER_RULES)} - {"proprietary"})
+TAGS = [(100 + i, f"spdx license identifier {' '.join(name.lower().replace('-', ' ').replace('.', ' ').split())}(?: only| or later)?") for i, name in enumerate(_NAMED)]
+TAG_RULES = [(name, (100 + i,)) for i, name in enumerate(_NAMED)]
 #: Around a sentence that was found; normalised text has no such characters.
 OPENED, CLOSED = "\x02", "\x03"
 
@@ -115,7 +151,7 @@ def _known(sentences: dict[int, str], published) -> list[tuple[int, str]]:
     return [(i, _pattern(s)) for i, s in sorted([*published, *plain], key=lambda x: -len(x[1]))]
 
 
-def scan_licenses(docs: DataFrame, sentences: dict[int, str] = SENTENCES, rules=(*RULES, *FURTHER_RULES), id_col: str = "doc_id", text_col: str = "text", published=PUBLISHED) -> DataFrame:
+def scan_licenses(docs: DataFrame, sentences: dict[int, str] = SENTENCES, rules=(*RULES, *FURTHER_RULES, *TAG_RULES), id_col: str = "doc_id", text_col: str = "text", published=(*PUBLISHED, *TAGS)) -> DataFrame:
     """One row per document and licence: doc_id, license, n_matches, n_sentences (known ones), sentence_ids."""
     known = _known(sentences, published)
     whole = rf"(?<![^\n]) ?+(?:{'|'.join(p for _, p in known)})(?= ?(?:\n|\z))"
