@@ -166,7 +166,7 @@ def _workbook(path, cells):
     with zipfile.ZipFile(path, "w") as z:
         z.writestr("xl/workbook.xml", f'<workbook {ns} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="Opened" sheetId="1" r:id="r1"/></sheets></workbook>')
         z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Target="worksheets/s1.xml"/></Relationships>')
-        z.writestr("xl/worksheets/s1.xml", f"<worksheet {ns}><sheetData>{body}</sheetData><mergeCells count="1"><mergeCell ref="A1:C1"/></mergeCells></worksheet>")
+        z.writestr("xl/worksheets/s1.xml", f"<worksheet {ns}><sheetData>{body}</sheetData><mergeCells count='1'><mergeCell ref='A1:C1'/></mergeCells></worksheet>")
 
 
 def test_workbooks(spark, tmp_path):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veldspar.functions.semantics import first_keyword, half_year, stable_key
@@ -21,20 +22,31 @@ CLASSES = [
 def rate_context(changes: DataFrame, periods: DataFrame, by: list[str] | None = None) -> DataFrame:
     """For each period the rate in force at start and end (both as of), extremes, change and decisions inside.
 
-    `changes` (effective_date, rate, *by), `periods` (reporting_period, period_start, period_end; few rows, broadcast).
-    With `by`, each series is looked up on its own. One aggregation over the range join gives all columns. A decision
-    on the first day is both start rate and decision. Periods before the first rate have null start.
+    `changes` (effective_date, rate, *by), `periods` (reporting_period, period_start, period_end; they don't overlap and are
+    few, so they travel as one array). With `by`, each series is looked up on its own. A decision on the first day is both
+    start rate and decision. Periods before the first rate are no rows, the period of the first rate may have null start.
+
+    Each change is a row of the first period that ends on or after it, and of no other. One aggregation makes a row for
+    each series and period with changes; what is in force then carries on over these few rows.
     """
     by = by or []
-    c = changes.filter("effective_date IS NOT NULL AND rate IS NOT NULL")
-    j = c.join(F.broadcast(periods), c["effective_date"] <= F.col("period_end"))
-    at_start, inside = F.col("effective_date") <= F.col("period_start"), F.col("effective_date") >= F.col("period_start")
-    when = F.col("effective_date")
-    g = j.groupBy(*by, "reporting_period", "period_start", "period_end").agg(
-        F.max_by(F.when(at_start, F.col("rate")), F.when(at_start, when)).alias("start_rate"), F.max_by("rate", when).alias("end_rate"),
-        F.min(F.when(inside, F.col("rate"))).alias("lo"), F.max(F.when(inside, F.col("rate"))).alias("hi"), F.count_if(inside).alias("rate_decision_count"),
-    )
-    return g.select(*by, "reporting_period", "period_start", "period_end", "start_rate", "end_rate", F.least("start_rate", "lo").alias("minimum_rate"), F.greatest("start_rate", "hi").alias("maximum_rate"), (F.col("end_rate") - F.col("start_rate")).alias("rate_change"), "rate_decision_count")
+    at = F.array_sort(F.collect_list(F.struct("period_end", "period_start", "reporting_period")))
+    c = changes.filter("effective_date IS NOT NULL AND rate IS NOT NULL").crossJoin(F.broadcast(periods.agg(at.alias("__p"))))  # one row
+    when, rate = F.col("effective_date"), F.col("rate")
+    c = c.withColumn("__i", F.size(F.filter("__p", lambda p: p["period_end"] < when))).withColumn("__start", F.get("__p", F.col("__i"))["period_start"])
+    at_start, inside = when <= F.col("__start"), when >= F.col("__start")
+    own = c.filter(F.col("__i") < F.size("__p")).groupBy(*by, "__i").agg(
+        F.max_by(F.when(at_start, rate), F.when(at_start, when)).alias("s"), F.max_by(rate, when).alias("e"), F.min(F.when(inside, rate)).alias("lo"), F.max(F.when(inside, rate)).alias("hi"), F.count_if(inside).alias("n")
+    )
+    # Every series has a row for each period from its first change on.
+    first = own.groupBy(*by).agg(F.min("__i").alias("__first"))
+    slots = first.crossJoin(F.broadcast(periods.agg(at.alias("__p")))).select(*by, F.explode(F.sequence("__first", F.size("__p") - 1)).alias("__i"), "__p").withColumn("__q", F.get("__p", F.col("__i")))
+    series = W.partitionBy(*by).orderBy("__i") if by else W.orderBy("__i")  # without `by` a row for each period
+    keys = [*by, "__i"]
+    j = slots.select(*keys, "__q.reporting_period", "__q.period_start", "__q.period_end").join(own, keys, "left")
+    before = F.last("e", True).over(series.rowsBetween(W.unboundedPreceding, -1))
+    j = j.withColumns({"start_rate": F.coalesce("s", before), "end_rate": F.last("e", True).over(series.rowsBetween(W.unboundedPreceding, 0))})
+    return j.select(*by, "reporting_period", "period_start", "period_end", "start_rate", "end_rate", F.least("start_rate", "lo").alias("minimum_rate"), F.greatest("start_rate", "hi").alias("maximum_rate"), (F.col("end_rate") - F.col("start_rate")).alias("rate_change"), F.coalesce("n", F.lit(0)).cast("long").alias("rate_decision_count"))
 
 
 def series_half_year(monthly: DataFrame) -> DataFrame:

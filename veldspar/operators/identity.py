@@ -77,6 +77,7 @@ def suggest(unmatched: DataFrame, aliases: DataFrame, normal, per_firm: int = 3,
     once = top.withColumn("r", F.row_number().over(W.partitionBy("firm_name", "frn").orderBy(*best))).filter("r = 1")
     ranked = once.withColumn("suggestion_rank", F.row_number().over(W.partitionBy("firm_name").orderBy(*best))).filter(F.col("suggestion_rank") <= per_firm)
     out = unmatched.select("reporting_period", "firm_name").distinct().join(ranked, "firm_name")
+    # Limits of similarity, and words of status.
     quality = F.when(F.col("s.combined") >= 0.9, "high_similarity").when(F.col("s.combined") >= 0.75, "medium_similarity").otherwise("low_similarity")
     return out.select(
         stable_key("MATCH", F.col("reporting_period"), F.col("firm_name"), F.col("candidate_name"), F.col("frn"), length=12).alias("suggestion_id"), "reporting_period", F.col("firm_name").alias("unmatched_firm_name"), "suggestion_rank",

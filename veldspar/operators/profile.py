@@ -52,6 +52,7 @@ def header_candidates(cells: DataFrame, group: list[str], terms: list[str], scan
     per = filled.groupBy(*group, "row").agg(F.count("*").alias("n"), F.count_if(hit).alias("keywords"), F.count_distinct("norm").alias("distinct"), F.count_if(F.col("kind") == "text").alias("texts"), F.count_if(F.col("kind") == "numeric").alias("numbers"))
     by_row = W.partitionBy(*group).orderBy("row")
     following = F.when(F.lead("row").over(by_row) == F.col("row") + 1, F.lead("n").over(by_row)).otherwise(0)
+    # Weights of the parts of a header's score.
     score = F.col("n") * 1.5 + F.col("keywords") * 2.0 + F.col("distinct") / F.col("n") * 2.0 + F.col("texts") / F.col("n") - F.col("numbers") / F.col("n") + F.least(following / F.col("n"), F.lit(1.0))
     scored = per.withColumn("score", F.round(score, 4)).filter(F.col("row") <= scan_rows)
     order = W.partitionBy(*group).orderBy(F.desc("score"), "row")

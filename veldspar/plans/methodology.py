@@ -35,9 +35,26 @@ def _conditions(*triples):
     return [{"feature": f, "operator": o, "threshold": t} for f, o, t in triples]
 
 
+def _labels(revised: bool, closed: float, large: float) -> dict[str, str]:
+    """What each rule is called; the revised methodology names its support settings."""
+    support = f" with at least {closed:g} closed complaints" if revised else ""
+    return {
+        "CTX_PROVISION_PEER_HIGH": "Provision context rate in highest peer decile",
+        "CTX_INTERMEDIATION_PEER_HIGH": "Intermediation context rate in highest peer decile",
+        "UPHELD_PEER_HIGH": f"Upheld percentage in highest peer decile{support}",
+        "OVER_8_WEEKS_HIGH": f"At least 10% closed beyond eight weeks, upper peer quartile and at least {closed:g} closed complaints" if revised else "At least 10% closed beyond eight weeks and upper peer quartile",
+        "UPHELD_DETERIORATION": f"Upheld percentage increased at least five percentage points{support}",
+        "CTX_PROVISION_DETERIORATION": "Provision context rate increased at least 25%",
+        "CTX_INTERMEDIATION_DETERIORATION": "Intermediation context rate increased at least 25%",
+        "OPENED_VOLUME_PRESSURE": "Opened complaints increased at least 25% and are in highest peer decile",
+        "OPENED_EXCEPTIONAL_GROWTH": f"Opened complaints at least doubled and current volume is at least {large:g}",
+    }
+
+
 def standard(revised: bool = True, closed: float = 20, large: float = 100, peers: int = 20) -> dict:
     """The revised methodology, or the first one: no family caps, no volume or denominator support, priority from 6."""
     support = [("complaints_closed_count", ">=", closed)] if revised else []
+    labels = _labels(revised, closed, large)
     # Rule ids, families, points and thresholds.
     rules = [
         ("CTX_PROVISION_PEER_HIGH", "context_rate", "context_rate", 3, "context_provision_rate", [("context_provision_rate_peer_percentile", ">=", 0.9)]),
@@ -58,7 +75,7 @@ def standard(revised: bool = True, closed: float = 20, large: float = 100, peers
         "maximum_persistence_bonus": 2,
         "priority_bands": [{"minimum_score": n, "label": b} for n, b in ((8 if revised else 6, "priority_review"), (3, "review"), (1, "monitor"), (0, "no_current_signal"))],
         "rules": [
-            {"rule_id": i, "label": i.replace("_", " ").title(), "category": c, "score_family": f if revised else c, "points": p, "peer_count_feature": f"{peer}_peer_count", "conditions": _conditions(*cs)}
+            {"rule_id": i, "label": labels[i], "category": c, "score_family": f if revised else c, "points": p, "peer_count_feature": f"{peer}_peer_count", "conditions": _conditions(*cs)}
             for i, c, f, p, peer, cs in rules[: 9 if revised else 8]
         ],
     }

@@ -25,6 +25,7 @@ FEATURES = {
     ("context_intermediation", "complaints_in_context", "context_rate"): "context_intermediation_rate",
 }
 BASE = list(dict.fromkeys(FEATURES.values()))
+#: Features that have trends and peer statistics.
 TREND = ["complaints_opened_count", "context_provision_rate", "context_intermediation_rate", "complaints_upheld_pct", "closed_within_3_days_pct", "closed_after_3_days_within_8_weeks_pct"]
 
 
