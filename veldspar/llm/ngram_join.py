@@ -120,6 +120,11 @@ def _sizes_fit(na: Column, nb: Column, percent: int) -> Column:
     return (na * 100 >= nb * percent) & (nb * 100 >= na * percent)
 
 
+def _band(n: Column, percent: int) -> Column:
+    """Band of a size, wider by a hundredth than the sizes that link with one: of a linked pair the larger is in the same band or the next."""
+    return F.floor(F.log(n.cast("double")) / F.log(F.lit(101.0 / percent))).cast("int")
+
+
 def _positions_fit(a, b, percent: int) -> Column:
     """The first common shingle of a linked pair leaves enough room behind it on both sides."""
     return F.least(a("n") - a("pos"), b("n") - b("pos")) * (100 + percent) >= (a("n") + b("n")) * percent
@@ -238,11 +243,14 @@ def _components(docs: DataFrame, k: int, percent: int, id_col: str, text_col: st
     heads = multi.select(F.col("head").alias("c"), "members")
     left = labelled.join(hinted(cut(several, "ngram-several")), "h").join(each.select("c", *[_folded(i) for i in range(FOLD)]), "c").join(hinted(heads), "c", "left")
     left = cut(left.withColumn("alone", F.col("members").isNull()).drop("members"), "ngram-open")
-    x, y = left.alias("x"), left.alias("y")
     a, b = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
+    # Linked sizes are in the same or in neighbouring bands: a long list is met band by band, not as a whole.
+    x = left.withColumn("band", _band(F.col("n"), percent)).alias("x")
+    y = left.withColumn("band", F.explode(F.array(_band(F.col("n"), percent), _band(F.col("n"), percent) - 1))).alias("y")
+    smaller = (a("n") < b("n")) | (a("n") == b("n")) & (a("c") < b("c"))
     apart = ~F.coalesce(a("root") == b("root"), F.lit(False))
-    fits = apart & _sizes_fit(a("n"), b("n"), percent) & _positions_fit(a, b, percent) & (~(a("alone") & b("alone")) | _bits_fit(a, b, percent, FOLD))
-    group_pairs = x.join(y, (a("h") == b("h")) & (a("c") < b("c")) & fits).select(a("c").alias("ga"), b("c").alias("gb")).distinct()
+    fits = smaller & apart & _sizes_fit(a("n"), b("n"), percent) & _positions_fit(a, b, percent) & (~(a("alone") & b("alone")) | _bits_fit(a, b, percent, FOLD))
+    group_pairs = x.join(y, (a("h") == b("h")) & (a("band") == b("band")) & fits).select(a("c").alias("ga"), b("c").alias("gb")).distinct()
     inside = mixed.select(F.col("head").alias("ga"), F.col("head").alias("gb"))
     candidates = cut(group_pairs.unionByName(inside), "ngram-grouppairs")
     members = cut(_groups_fit(candidates, _group_bits(bits, grouped), percent), "ngram-groupsfit")
