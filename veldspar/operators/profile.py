@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veldspar.functions.semantics import normalise_text, stable_key
+from veldspar.functions.semantics import normalise_text, stable_key, try_number
 
 #: Markers of absence in text cells.
 MISSING = ("-", "--", "—", "–", "missing", "null", "none")
@@ -23,26 +23,38 @@ def text_marker(c: Column) -> Column:
     return F.when(t == "", "blank").when(t.isin(*MISSING), "missing_marker").when(t.isin(*SUPPRESSED), "suppressed").when(t.isin(*NOT_APPLICABLE), "not_applicable").when(t.isin(*ERRORS) | t.rlike(r"^#.*[!?]$"), "excel_error")
 
 
+_KINDS = {"string": "text", "boolean": "boolean", "date": "date", "timestamp": "date", "timestamp_ntz": "date"}
+
+
 def profile_columns(df: DataFrame) -> DataFrame:
-    """One row per column: counts, distinct values, extremes and a type; all columns in one pass."""
+    """One row per column: counts, distinct values, extremes, what parses as number; all columns in one pass."""
     aggs: list[Column] = []
     for c, t in df.dtypes:
         col, number = F.col(f"`{c}`"), t in ("double", "float", "int", "bigint", "smallint", "tinyint") or t.startswith("decimal")
-        marker = text_marker(col) if t == "string" else F.lit(None).cast("string")
+        kind = "numeric" if number else _KINDS.get(t, "other")
+        marker = text_marker(col) if kind == "text" else F.lit(None).cast("string")
         value = col.cast("double") if number else F.lit(None).cast("double")
+        parsed = F.count_if(marker.isNull() & try_number(col).isNotNull()) if kind == "text" else F.lit(0).cast("long")
         aggs.append(
             F.struct(
-                F.lit(c).alias("column"), F.lit("numeric" if number else "text" if t == "string" else "other").alias("kind"), F.count("*").alias("row_count"), F.count_if(col.isNull()).alias("null_count"), F.count_distinct(col).alias("distinct_count"),
+                F.lit(c).alias("column"), F.lit(kind).alias("kind"), F.count("*").alias("row_count"), F.count_if(col.isNull()).alias("null_count"), F.count_distinct(col).alias("distinct_count"),
                 F.count_if(marker.isNotNull()).alias("marker_count"), F.count_if(value == 0).alias("zero_count"), F.count_if(value < 0).alias("negative_count"), F.min(value).alias("minimum"), F.max(value).alias("maximum"),
+                F.count_if(value != F.floor(value)).alias("fraction_count"), parsed.alias("parsed_count"),
             ).alias(f"p{len(aggs)}")
         )
     return df.agg(*aggs).select(F.explode(F.array(*[f"p{i}" for i in range(len(aggs))])).alias("p")).select("p.*")
 
 
-def semantic_type(p: DataFrame) -> DataFrame:
-    """Type of a profiled column, first match wins."""
-    filled = F.col("row_count") - F.col("null_count") - F.col("marker_count")
-    return p.withColumn("semantic_type", F.when(filled == 0, "empty").when(F.col("kind") == "numeric", "numeric").when(F.col("distinct_count") == F.col("row_count"), "identifier").otherwise(F.col("kind")))
+def semantic_type(p: DataFrame, identifiers: tuple[str, ...] = ()) -> DataFrame:
+    """Type of a profiled column, first match wins; `identifiers` are headers of identifying columns. Columns have one kind
+    here, so that none is mixed; for cells see `worksheets.value_profile`."""
+    filled, name, kind = F.col("row_count") - F.col("null_count") - F.col("marker_count"), normalise_text(F.col("column")), F.col("kind")
+    whole = F.col("fraction_count") == 0
+    return p.withColumn(
+        "semantic_type",
+        F.when(filled == 0, "empty").when(name.isin(*identifiers), "identifier").when(name.contains("percentage"), "percentage").when(name.contains("redress"), "currency").when(kind.isin("date", "boolean"), kind)
+        .when((kind == "numeric") & whole, "integer_like").when(kind == "numeric", "decimal_like").when((kind == "text") & (F.col("parsed_count") == filled), "numeric_text").otherwise(kind),
+    )
 
 
 def header_candidates(cells: DataFrame, group: list[str], terms: list[str], scan_rows: int = 40) -> DataFrame:

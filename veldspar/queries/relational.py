@@ -342,15 +342,20 @@ def structural_reconciliation(spark, sf):
 
 
 def _profile_sql():
-    cols = [("o_orderkey", 1), ("o_custkey", 1), ("o_orderstatus", 0), ("o_totalprice", 1), ("o_orderpriority", 0)]
-    one = lambda c, n: f"SELECT '{c}' AS \"column\", count(*) AS row_count, count(*) FILTER ({c} IS NULL) AS null_count, count(DISTINCT {c}) AS distinct_count, " + (f"count(*) FILTER ({c} < 0) AS negative_count, min({c})::DOUBLE AS minimum, max({c})::DOUBLE AS maximum" if n else "0 AS negative_count, NULL::DOUBLE AS minimum, NULL::DOUBLE AS maximum") + f", CASE WHEN {n} = 1 THEN 'numeric' ELSE 'text' END AS semantic_type FROM orders"
-    return " UNION ALL ".join(one(*c) for c in cols)
+    cols = {"o_orderkey": "identifier", "o_custkey": "integer_like", "o_orderstatus": "text", "o_totalprice": "", "o_orderpriority": "text", "o_orderdate": "date", "custkey_text": "numeric_text", "percentage_late": "percentage", "is_open": "boolean", "nothing": "empty"}
+    number = ("o_orderkey", "o_custkey", "o_totalprice", "percentage_late")
+    source = "(SELECT *, o_custkey::VARCHAR AS custkey_text, o_custkey % 3 AS percentage_late, o_orderstatus = 'O' AS is_open, '-' AS nothing FROM orders)"
+    extremes = lambda c: f"count(*) FILTER ({c} < 0) AS negative_count, min({c})::DOUBLE AS minimum, max({c})::DOUBLE AS maximum" if c in number else "0 AS negative_count, NULL::DOUBLE AS minimum, NULL::DOUBLE AS maximum"
+    kind = lambda c, k: f"'{k}'" if k else f"CASE WHEN count(*) FILTER ({c} <> floor({c})) = 0 THEN 'integer_like' ELSE 'decimal_like' END"
+    return " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS row_count, count(*) FILTER ({c} IS NULL) AS null_count, count(DISTINCT {c}) AS distinct_count, {extremes(c)}, {kind(c, k)} AS semantic_type FROM {source}" for c, k in cols.items())
 
 
 @query(_profile_sql())
 def column_profile(spark, sf):
-    p = profile.profile_columns(t(spark, sf, "orders").drop("o_orderdate"))
-    return profile.semantic_type(p).select("column", "row_count", "null_count", "distinct_count", "negative_count", "minimum", "maximum", "semantic_type")
+    """Profile and semantic type of every column of the orders, and of some made from them."""
+    made = {"custkey_text": "cast(o_custkey AS string)", "percentage_late": "o_custkey % 3", "is_open": "o_orderstatus = 'O'", "nothing": "'-'"}
+    p = profile.profile_columns(t(spark, sf, "orders").withColumns({c: F.expr(e) for c, e in made.items()}))
+    return profile.semantic_type(p, ("o_orderkey",)).select("column", "row_count", "null_count", "distinct_count", "negative_count", "minimum", "maximum", "semantic_type")
 
 
 @query(
