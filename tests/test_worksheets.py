@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veldspar.contracts import ContractError
-from veldspar.operators import extract, governance, identity, worksheets as X
+from veldspar.operators import extract, governance, identity, marts, worksheets as X
 
 COLUMNS = "reporting_period string, canonical_sheet string, normalised_column string, column string, column_position int, storage_dtype string, semantic_type string, number_format_class string"
 SHEETS = "reporting_period string, canonical_sheet string, sheet string, header_row int"
@@ -171,3 +171,13 @@ def test_register_reports(spark):
     assert s["status_counts"]["completed"] == 1 and s["unassigned_open_action_count"] == 1
     assert json.loads(governance.snapshot({"rules": [1]}, "x.json")) == {"source": "x.json", "methodology": {"rules": [1]}}
     assert json.loads(governance.manifest("n", "no", {"d": [evidence, "table"]}, ["sum"]))["dashboards"][0]["sources"] == [{"evidence_reference": "string"}, "table"]
+
+
+def test_case_decisions(spark):
+    cases = spark.createDataFrame([("PCR-001", "F", "p"), ("PCR-002", "G", "p")], "case_id string, firm_key string, product_group string")
+    ledger = marts.case_decisions(cases)
+    assert marts.checked_case_decisions(ledger, cases).count() == 2
+    with pytest.raises(ContractError, match="PCR-001"):
+        marts.checked_case_decisions(ledger.withColumn("review_status", F.when(F.col("case_id") == "PCR-001", "completed").otherwise("not_started")), cases)
+    with pytest.raises(ContractError, match="exactly"):
+        marts.checked_case_decisions(ledger.filter("case_id = 'PCR-001'"), cases)

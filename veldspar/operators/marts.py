@@ -113,6 +113,36 @@ def persistent_cases(product: DataFrame, count: int, exact: bool = False) -> Dat
     return top.withColumn("case_id", F.format_string("PCR-%03d", F.row_number().over(W.orderBy(*order))))
 
 
+CASE_KEYS = ["firm_key", "product_group"]
+
+
+def case_periods(cases: DataFrame, product: DataFrame) -> DataFrame:
+    """All periods of the selected cases; `cases` is a top-k result, so it is broadcast."""
+    return checked_join(product, F.broadcast(cases.select("case_id", *CASE_KEYS)), CASE_KEYS, "inner", "m:1")
+
+
+def case_rules(cases: DataFrame, indicators: DataFrame) -> DataFrame:
+    """Every rule that fired for the selected cases, with its evidence."""
+    return checked_join(indicators.filter("triggered"), F.broadcast(cases.select("case_id", *CASE_KEYS)), CASE_KEYS, "inner", "m:1")
+
+
+def case_decisions(cases: DataFrame) -> DataFrame:
+    """The ledger that people fill in, one row for each case; see `files.write_template`."""
+    empty = [F.lit("").alias(c) for c in ("owner", "management_decision", "decision_rationale", "evidence_reference", "reviewer", "reviewed_at")]
+    return cases.select("case_id", *CASE_KEYS, F.lit("not_started").alias("review_status"), *empty)
+
+
+def checked_case_decisions(decisions: DataFrame, cases: DataFrame) -> DataFrame:
+    """Decisions cover the cases exactly; a completed one has a decision, its rationale, evidence and reviewer."""
+    if decisions.join(cases, "case_id", "left_anti").head(1) or cases.join(decisions, "case_id", "left_anti").head(1) or decisions.groupBy("case_id").count().filter("count > 1").head(1):
+        raise ContractError("decisions must cover the cases exactly")
+    needed = ("management_decision", "decision_rationale", "evidence_reference", "reviewer", "reviewed_at")
+    lacks = F.greatest(*[F.coalesce(F.trim(c), F.lit("")) == "" for c in needed])
+    if bad := decisions.filter((F.col("review_status") == "completed") & lacks).select("case_id").collect():
+        raise ContractError(f"completed without decision, rationale, evidence or reviewer: {sorted(r['case_id'] for r in bad)}")
+    return decisions
+
+
 def rule_drivers(indicators: DataFrame) -> DataFrame:
     """What fired in the latest period, and how much of it persisted."""
     current = indicators.join(_latest(indicators), "reporting_period", "left_semi").filter("triggered")

@@ -396,6 +396,28 @@ def topk_persistent_cases(spark, sf):
     return marts.persistent_cases(_mart(spark, sf, EARLY), 6).select("case_id", "firm_key", "product_group", "priority_periods", "first_priority_period", "last_priority_period", "maximum_warning_score", "periods_with_persistent_rules", "latest_warning_score")
 
 
+_CASES_SQL = (
+    _EARLY_SQL
+    + """, h AS (SELECT firm_key, product_group, count(DISTINCT reporting_period) AS priority_periods FROM mart WHERE is_priority_review GROUP BY 1, 2),
+l AS (SELECT firm_key, product_group, display_firm_name, warning_score FROM mart WHERE is_priority_review AND is_latest_reporting_period),
+cases AS (SELECT printf('PCR-%03d', rn) AS case_id, firm_key, product_group FROM (SELECT *, row_number() OVER (ORDER BY priority_periods DESC, warning_score DESC, display_firm_name, product_group) AS rn FROM l JOIN h USING (firm_key, product_group)) WHERE rn <= 6)"""
+)
+
+
+@query(f"WITH {_CASES_SQL} SELECT case_id, {KEYS}, display_firm_name, warning_score, coverage_status, priority_band, triggered_rule_count, persistent_rule_count, triggered_rule_ids FROM mart JOIN cases USING (firm_key, product_group)")
+def case_period_evidence(spark, sf):
+    """All periods of the persistent cases."""
+    m = _mart(spark, sf, EARLY)
+    return marts.case_periods(marts.persistent_cases(m, 6), m).select("case_id", *panel.OBS, "display_firm_name", "warning_score", "coverage_status", "priority_band", "triggered_rule_count", "persistent_rule_count", "triggered_rule_ids")
+
+
+@query(f"WITH {_CASES_SQL} SELECT case_id, {KEYS}, rule_id, rule_category, score_family, base_points, persistent_trigger, peer_count FROM ind JOIN cases USING (firm_key, product_group) WHERE triggered")
+def case_rule_evidence(spark, sf):
+    """Every rule that fired for the persistent cases."""
+    found = marts.case_rules(marts.persistent_cases(_mart(spark, sf, EARLY), 6), _indicators(spark, sf, EARLY))
+    return found.select("case_id", *panel.OBS, "rule_id", "rule_category", "score_family", "base_points", "persistent_trigger", "peer_count")
+
+
 @query(
     f"""WITH {RULE_SQL} SELECT rule_id, rule_category, score_family, count(*) AS triggered_observations, count(*) FILTER (persistent_trigger) AS persistent_triggers, count(DISTINCT product_group) AS product_groups,
 round(count(*) FILTER (persistent_trigger) / count(*), 6) AS persistent_share FROM ind WHERE triggered AND reporting_period = (SELECT max(reporting_period) FROM ind) GROUP BY 1, 2, 3"""
