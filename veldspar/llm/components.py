@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veldspar.llm.store import cut
+from veldspar.llm.store import cut, rows
 
 #: Most links that one task finishes: 16 MB of ids. The steps keep all nodes, so that they can stop after any round.
 LOCAL = 1 << 20
@@ -59,7 +59,7 @@ def components(links: DataFrame, rounds: int = 60, local: int | None = None) ->
     edges = cut(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
     state = None
     for _ in range(rounds):
-        if edges.count() <= local:
+        if rows(edges) <= local:
             return _finished(edges)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state or not now[0]:

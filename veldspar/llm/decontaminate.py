@@ -59,10 +59,10 @@ def contaminated(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 8
     candidates = cut(hits.groupBy("doc_id", "item_id", "need").agg(F.count_distinct("h").alias("found")).filter("found >= need").select("doc_id", "item_id"), "decon-candidates")
 
     involved = cut(candidates.select("doc_id").distinct(), "decon-docs")
-    whole = docs.join(hinted(involved.withColumnRenamed("doc_id", "__c")), F.col(id_col) == F.col("__c"), "left_semi")
+    whole = docs.join(hinted(involved.withColumnRenamed("doc_id", "__c"), of=involved), F.col(id_col) == F.col("__c"), "left_semi")
     again = whole.select(F.col(id_col).alias("doc_id"), F.explode(shingles(F.col(text_col), *lengths)).alias("h"))
     all_slots = signed.select("item_id", "n", F.explode("s").alias("h"))
-    shared = again.join(hinted(all_slots), "h").join(hinted(candidates), ["doc_id", "item_id"], "left_semi")
+    shared = again.join(hinted(all_slots), "h").join(hinted(candidates, of=candidates), ["doc_id", "item_id"], "left_semi")
     counted = shared.groupBy("doc_id", "item_id", "n").agg(F.count_distinct("h").alias("n_shared"))
     return counted.filter(F.col("n_shared") * 100 >= F.col("n") * percent).select("doc_id", "item_id", F.col("n").cast("long").alias("n_item"), "n_shared")
 
@@ -72,7 +72,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
     key = row_key(F.col(id_col), F.col(text_col))
     rows = docs.select(key.alias("__key"), F.col(text_col))
     leaks = cut(contaminated(rows, items, id_col="__key", text_col=text_col).select(F.col("doc_id").alias("__leak")).distinct(), "decon-leaks")
-    return docs.join(hinted(leaks), key == F.col("__leak"), "left_anti")
+    return docs.join(hinted(leaks, of=leaks), key == F.col("__leak"), "left_anti")
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,7 +50,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     with passing():
         sketch = cut(keyed.select("doc_id", "len", "head"), "dedup-sketch", keep=True)
         lengths = cut(sketch.groupBy("len").count().filter("count > 1").select("len"), "dedup-lengths")
-        heads = cut(sketch.join(hinted(lengths), "len", "left_semi").groupBy("len", "head").count().filter("count > 1").select("len", "head"), "dedup-heads")
+        heads = cut(sketch.join(hinted(lengths, of=lengths), "len", "left_semi").groupBy("len", "head").count().filter("count > 1").select("len", "head"), "dedup-heads")
         bits = min(max(SMALLEST, (8 * heads.count()).bit_length()), LARGEST)
         bitmap = cut(_marked(heads, bits), "dedup-bitmap", keep=True)
         # A hot group is spread over (digest, id) first; its members meet only as one partial row per task.

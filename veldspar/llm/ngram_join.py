@@ -48,8 +48,8 @@ SHARED = 4 << 20
 PIVOTS = 16
 
 
-def hinted(df: DataFrame) -> DataFrame:
-    return store.hinted(df, SHARED)
+def hinted(df: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    return store.hinted(df, SHARED, of)
 
 
 def _prefix_length(n: int, percent: int) -> int:
@@ -140,7 +140,7 @@ def _bits_fit(a, b, percent: int, words: int) -> Column:
 def _group_bits(bits: DataFrame, grouped: DataFrame) -> DataFrame:
     """Per group (by its head): the size, the bits that all members set (l0..) and those that any member sets (h0..)."""
     several = grouped.groupBy("head").agg(F.min("n").alias("n"), *[F.bit_and(f"b{i}").alias(f"l{i}") for i in range(WORDS)], *[F.bit_or(f"b{i}").alias(f"h{i}") for i in range(WORDS)])
-    alone = bits.join(hinted(grouped.select("c")), "c", "left_anti")
+    alone = bits.join(hinted(grouped.select("c"), grouped), "c", "left_anti")
     return several.unionByName(alone.select(F.col("c").alias("head"), "n", *[F.col(f"b{i}").alias(x) for x, i in ((f"{y}{i}", i) for y in "lh" for i in range(WORDS))]))
 
 
@@ -166,8 +166,8 @@ def _expanded(pairs: DataFrame, bits: DataFrame, grouped: DataFrame, roots: Data
 
     Each join that expands a side holds its members against the other side's bits, so that it makes only such rows.
     """
-    each = grouped.select("head", *bits.columns).unionByName(bits.join(hinted(grouped.select("c")), "c", "left_anti").withColumn("head", F.col("c")))
-    each = each.join(hinted(roots.withColumnRenamed("node", "c")), "c", "left").withColumn("root", F.coalesce("root", "c"))
+    each = grouped.select("head", *bits.columns).unionByName(bits.join(hinted(grouped.select("c"), grouped), "c", "left_anti").withColumn("head", F.col("c")))
+    each = each.join(hinted(roots.withColumnRenamed("node", "c"), roots), "c", "left").withColumn("root", F.coalesce("root", "c"))
     spans = _group_bits(bits, grouped)
     word = lambda s, i: F.col(f"{'xy'[s]}.b{i}")
     low, high = (lambda s, i: F.col(f"y.l{i}") if s else word(0, i)), (lambda s, i: F.col(f"y.h{i}") if s else word(0, i))
@@ -186,9 +186,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, bits: DataF
     may = pairs.join(x, F.col("u") == a("c")).join(y, F.col("v") == b("c")).filter(_sizes_fit(a("n"), b("n"), percent) & _bits_fit(a, b, percent, WORDS))
     pairs = cut(may.select("u", "v"), "ngram-pairs")
     wanted = cut(pairs.select(F.col("u").alias("c")).unionByName(pairs.select(F.col("v").alias("c"))).distinct().join(classes, "c").select("c", "rep"), "ngram-wanted")
-    texts = docs.join(hinted(wanted.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi")
+    texts = docs.join(hinted(wanted.select(F.col("rep").alias("doc_id")).distinct(), wanted), "doc_id", "left_semi")
     sets = _run(texts, ["c", "s"], "c long, s array<long>", lambda _, s: (_class_id(s), s.view(np.int64)), k)
-    sets = cut(sets.join(hinted(wanted.select("c")), "c", "left_semi").dropDuplicates(["c"]), "ngram-sets")
+    sets = cut(sets.join(hinted(wanted.select("c"), wanted), "c", "left_semi").dropDuplicates(["c"]), "ngram-sets")
     u, v = sets.select(F.col("c").alias("u"), F.col("s").alias("su")), sets.select(F.col("c").alias("v"), F.col("s").alias("sv"))
     shared = F.size(F.array_intersect("su", "sv"))
     return pairs.join(u, "u").join(v, "v").filter(shared * 100 >= (F.size("su") + F.size("sv") - shared) * percent).select("u", "v")
@@ -217,11 +217,11 @@ def _components(docs: DataFrame, k: int, percent: int, id_col: str, text_col: st
 
     # Groups of more than one class; a group goes by its least class, its head. Only heads are posted.
     multi = cut(each.groupBy("g").agg(F.min("c").alias("head"), F.count("*").alias("members")).filter("members > 1"), "ngram-groups")
-    grouped = cut(each.join(hinted(multi), "g").select("head", "members", *bits.columns), "ngram-members")
+    grouped = cut(each.join(hinted(multi, multi), "g").select("head", "members", *bits.columns), "ngram-members")
     others = grouped.filter("c <> head")
-    postings = each.join(hinted(others.select("c")), "c", "left_anti").select("c", "n", F.posexplode("prefix").alias("pos", "h"))
+    postings = each.join(hinted(others.select("c"), grouped), "c", "left_anti").select("c", "n", F.posexplode("prefix").alias("pos", "h"))
     repeated = cut(postings.groupBy("h").count().filter("count > 1").select("h"), "ngram-repeated")
-    lists = cut(postings.join(hinted(repeated), "h").select("h", "c", "n", "pos"), "ngram-lists")
+    lists = cut(postings.join(hinted(repeated, repeated), "h").select("h", "c", "n", "pos"), "ngram-lists")
 
     # First round: a few groups of each list against the others; each group's head against its other classes.
     rank = F.row_number().over(W.partitionBy("h").orderBy(F.xxhash64("c"), "c"))
@@ -235,13 +235,13 @@ def _components(docs: DataFrame, k: int, percent: int, id_col: str, text_col: st
     roots = cut(components(links), "ngram-roots")
 
     # Second round: what is left between components, at group level first. A group of several components has root null.
-    own = grouped.join(hinted(roots.withColumnRenamed("node", "c")), "c", "left").withColumn("root", F.coalesce("root", "c"))
+    own = grouped.join(hinted(roots.withColumnRenamed("node", "c"), roots), "c", "left").withColumn("root", F.coalesce("root", "c"))
     mixed = cut(own.groupBy("head").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("head"), "ngram-mixed")
-    labelled = lists.join(hinted(roots.withColumnRenamed("node", "c")), "c", "left").join(hinted(mixed.withColumnRenamed("head", "m").withColumn("is_mixed", F.lit(True))), F.col("c") == F.col("m"), "left")
+    labelled = lists.join(hinted(roots.withColumnRenamed("node", "c"), roots), "c", "left").join(hinted(mixed.withColumnRenamed("head", "m").withColumn("is_mixed", F.lit(True)), mixed), F.col("c") == F.col("m"), "left")
     labelled = labelled.select("h", "c", "n", "pos", F.when(F.col("is_mixed").isNull(), F.coalesce("root", "c")).alias("root"))
     several = labelled.groupBy("h").agg(F.count_if(F.col("root").isNull()).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("m > 0 OR lo <> hi").select("h")
-    heads = multi.select(F.col("head").alias("c"), "members")
-    left = labelled.join(hinted(cut(several, "ngram-several")), "h").join(each.select("c", *[_folded(i) for i in range(FOLD)]), "c").join(hinted(heads), "c", "left")
+    heads, several = multi.select(F.col("head").alias("c"), "members"), cut(several, "ngram-several")
+    left = labelled.join(hinted(several, several), "h").join(each.select("c", *[_folded(i) for i in range(FOLD)]), "c").join(hinted(heads, multi), "c", "left")
     left = cut(left.withColumn("alone", F.col("members").isNull()).drop("members"), "ngram-open")
     a, b = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
     # Linked sizes are in the same or in neighbouring bands: a long list is met band by band, not as a whole.
@@ -277,16 +277,17 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_
     found = jaccard_components(docs.select(key.alias("__key"), F.col(text_col)), k, percent, "__key", text_col).filter("n_shingles > 0")
     found = cut(found.groupBy(F.col("doc_id").alias("__key"), "component_id").agg(F.count("*").alias("n")), "ngram-found")
     several = found.groupBy("component_id").agg(F.sum("n").alias("rows")).filter("rows > 1").select("component_id")
-    linked = cut(found.join(hinted(cut(several, "ngram-linked")), "component_id"), "ngram-rows")
-    ids = docs.select(key.alias("__key"), F.col(id_col).alias("i")).join(hinted(linked), "__key")
+    several = cut(several, "ngram-linked")
+    linked = cut(found.join(hinted(several, several), "component_id"), "ngram-rows")
+    ids = docs.select(key.alias("__key"), F.col(id_col).alias("i")).join(hinted(linked, linked), "__key")
     kept = ids.groupBy("component_id").agg(F.min(F.struct(F.col("i").isNull().alias("unnamed"), "i", "__key")).alias("m")).select(F.col("m.__key").alias("__key"), F.lit(True).alias("__kept"))
     gone = cut(linked.join(kept, "__key", "left").filter("__kept IS NULL OR n > 1").select(F.col("__key").alias("__gone"), F.col("__kept").isNotNull().alias("__kept")), "ngram-gone")
     same = key == F.col("__gone")
-    single = docs.join(hinted(gone.select("__gone")), same, "left_anti")
+    single = docs.join(hinted(gone.select("__gone"), gone), same, "left_anti")
     repeated = gone.filter("__kept").select("__gone")
     if not repeated.head(1):
         return single
-    return single.unionByName(docs.join(hinted(repeated), same, "inner").dropDuplicates(["__gone"]).drop("__gone"))
+    return single.unionByName(docs.join(hinted(repeated, gone), same, "inner").dropDuplicates(["__gone"]).drop("__gone"))
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

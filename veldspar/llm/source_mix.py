@@ -93,7 +93,7 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domain_col: str = "lang", id
     ids = labels.select(F.col(id_col).alias("__id")).filter("__id IS NOT NULL").distinct().orderBy(F.xxhash64("__id"), "__id").limit(sample)
     rows = docs.join(F.broadcast(ids), F.col(id_col) == F.col("__id"), "left_semi").filter(F.octet_length(text_col) <= LONGEST)
     one = rows.select(F.col(id_col).alias("i"), F.col(domain_col).cast("string").alias("d"), F.col(text_col).alias("t")).na.drop().groupBy("i").agg(F.min(F.struct("d", "t")).alias("m"))
-    got = one.select("i", "m.d", "m.t").orderBy("i").collect()  # one row for each of the ids
+    got = one.select("i", "m.d", "m.t").orderBy("i").toArrow().to_pylist()  # one row for each of the ids
     # A domain that the sample misses is trained on rows of its own, labelled or not; such domains are few and rare.
     occurring = [r["d"] for r in docs.filter(F.col(text_col).isNotNull()).select(F.col(domain_col).cast("string").alias("d")).distinct().na.drop().collect()]
     for d in sorted(set(occurring) - {r["d"] for r in got}):

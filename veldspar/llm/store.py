@@ -64,9 +64,20 @@ def size(df: DataFrame) -> int:
     return n * (24 + 8 * len(df.columns)) + sum(x or 0 for x in long)
 
 
-def hinted(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
-    """`df` with a broadcast hint if its measured size is small; else unhinted, so that the join shuffles."""
-    return F.broadcast(df) if size(df) <= most else df
+def rows(made: DataFrame) -> int:
+    """Rows of a cut table, from its files' footers; counted once."""
+    if getattr(made, "_cut_rows", None) is None:
+        made._cut_rows = made.count()
+    return made._cut_rows
+
+
+def hinted(df: DataFrame, most: int = BROADCAST_BYTES, of: DataFrame | None = None) -> DataFrame:
+    """`df` with a broadcast hint if its measured size is small; else unhinted, so that the join shuffles.
+
+    `of`: the cut table of which `df` has at most the rows, with columns of fixed width; then `df` itself isn't run for it.
+    """
+    taken = size(df) if of is None else rows(of) * (24 + 8 * len(df.columns))
+    return F.broadcast(df) if taken <= most else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -77,18 +77,23 @@ class Sample:
 
     def __init__(self, texts: list[bytes]):
         self.sizes = np.array([len(t) for t in texts], float)
-        self.rows = [self._counted(t) for t in texts]
-
-    @staticmethod
-    def _counted(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-        buckets, counts = np.unique(grams(np.frombuffer(text, np.uint8)), return_counts=True)
-        return buckets, counts.astype(np.uint32)
+        # All texts in two arrays: thousands of small ones would leave the driver's memory in pieces.
+        room = int(self.sizes.sum())
+        self.buckets, self.counts, self.ends = np.empty(room, np.uint32), np.empty(room, np.uint32), np.zeros(len(texts) + 1, np.int64)
+        for i, t in enumerate(texts):
+            buckets, counts = np.unique(grams(np.frombuffer(t, np.uint8)), return_counts=True)
+            at, end = self.ends[i], self.ends[i] + len(buckets)
+            self.buckets[at:end], self.counts[at:end], self.ends[i + 1] = buckets, counts, end
+
+    def row(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        at = slice(self.ends[i], self.ends[i + 1])
+        return self.buckets[at], self.counts[at]
 
     def choose(self, rows: np.ndarray, y: np.ndarray) -> np.ndarray:
         """The buckets whose presence speaks most for the category, by the G statistic."""
         held = np.zeros((2, 1 << BITS), np.int32)  # texts with the bucket, by class
         for i, label in zip(rows, y.astype(int)):
-            held[label, self.rows[i][0]] += 1
+            held[label, self.row(i)[0]] += 1
         buckets = np.flatnonzero(held.any(axis=0))
         neg, pos = held[:, buckets].astype(float)
         n, n1 = len(y), y.sum()
@@ -101,7 +106,7 @@ class Sample:
     def matrix(self, rows: np.ndarray, chosen: np.ndarray) -> np.ndarray:
         x = np.zeros((len(rows), len(chosen)))
         for k, i in enumerate(rows):
-            bucket, count = self.rows[i]
+            bucket, count = self.row(i)
             at = np.minimum(np.searchsorted(chosen, bucket), max(len(chosen) - 1, 0))
             hit = chosen[at] == bucket if len(chosen) else np.zeros(len(bucket), bool)
             x[k, at[hit]] = count[hit]
@@ -193,9 +198,10 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, stratif
     sample = F.broadcast(picked[0].unionByName(picked[1]))  # at most 2 * per_class rows
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).join(sample, "__id").filter(F.octet_length("__t") <= LONGEST)
     rows = rows.groupBy("__id", *names).agg(F.min("__t").alias("__t"))  # one row for each id
-    got = rows.withColumn("__f", F.pmod(F.xxhash64(F.lit("fold"), F.col("__id")), F.lit(FOLDS))).orderBy(order, "__id").collect()
-    ys = np.array([[r[n] for n in names] for r in got], int).reshape(len(got), len(names))
-    return Chain(names).fit(Sample([(r["__t"] or "").encode() for r in got]), ys, prior, np.array([r["__f"] for r in got], int))
+    got = rows.withColumn("__f", F.pmod(F.xxhash64(F.lit("fold"), F.col("__id")), F.lit(FOLDS))).orderBy(order, "__id").select("__t", "__f", *names).toArrow()
+    texts, folds = [(t or "").encode() for t in got.column("__t").to_pylist()], got.column("__f").to_numpy().astype(int)
+    ys = np.column_stack([got.column(n).to_numpy().astype(int) for n in names])
+    return Chain(names).fit(Sample(texts), ys, prior, folds)
 
 
 def _judge(spark: SparkSession, chain: Chain, threshold: float | None):
