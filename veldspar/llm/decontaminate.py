@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veldspar.llm.store import cut, hinted, table
-from veldspar.llm.text import row_key, shingles, words
+from veldspar.llm.text import let, row_key, shingles, words
 
 #: Minima by which a signature is longer than what may be missing.
 MARGIN = 2
@@ -51,16 +51,17 @@ def contaminated(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 8
     signed = cut(signatures(items, k, percent), "decon-signatures")
     lengths = (*_short(items, k), k)
     slots = signed.select("item_id", "least", "need", F.explode(F.slice("s", 1, F.col("m"))).alias("h"))
-    bound = signed.agg(F.max(F.element_at("s", F.col("m"))).alias("top"), F.min("least").alias("least")).first()
-    top, least = (bound["top"] or 0, bound["least"] or 1)
-    sets = docs.select(F.col(id_col).alias("doc_id"), shingles(F.col(text_col), *lengths).alias("s")).filter("doc_id IS NOT NULL")
-    probes = sets.filter(F.size("s") >= F.lit(least)).select("doc_id", F.size("s").alias("size"), F.explode(F.filter("s", lambda h: h <= F.lit(top))).alias("h"))
+    bound = signed.agg(F.max(F.element_at("s", F.col("m"))).alias("top")).first()
+    top = bound["top"] or 0
+    # One expression, exploded with its empty rows: a filter on the shingles, stated or inferred, would make them twice.
+    low = let(shingles(F.col(text_col), *lengths), lambda s: F.transform(F.filter(s, lambda h: h <= F.lit(top)), lambda h: F.struct(h.alias("h"), F.size(s).alias("size"))))
+    probes = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.explode_outer(low).alias("p")).select("doc_id", "p.h", "p.size")
     hits = probes.join(hinted(slots), "h").filter("size >= least")
     candidates = cut(hits.groupBy("doc_id", "item_id", "need").agg(F.count_distinct("h").alias("found")).filter("found >= need").select("doc_id", "item_id"), "decon-candidates")
 
     involved = cut(candidates.select("doc_id").distinct(), "decon-docs")
     whole = docs.join(hinted(involved.withColumnRenamed("doc_id", "__c"), of=involved), F.col(id_col) == F.col("__c"), "left_semi")
-    again = whole.select(F.col(id_col).alias("doc_id"), F.explode(shingles(F.col(text_col), *lengths)).alias("h"))
+    again = whole.select(F.col(id_col).alias("doc_id"), F.explode_outer(shingles(F.col(text_col), *lengths)).alias("h"))
     all_slots = signed.select("item_id", "n", F.explode("s").alias("h"))
     shared = again.join(hinted(all_slots), "h").join(hinted(candidates, of=candidates), ["doc_id", "item_id"], "left_semi")
     counted = shared.groupBy("doc_id", "item_id", "n").agg(F.count_distinct("h").alias("n_shared"))

@@ -155,7 +155,7 @@ def scan_secrets(docs: DataFrame, q: float = 0.01, alpha: float = 0.01, id_col:
     assign, access, hexes = base_spans(F.col("t"))
     based = text.withColumn("base", F.sort_array(F.concat(tag(assign, 0), tag(access, 1), tag(hexes, 2))))
     runs = based.withColumn("c", random_candidates(F.col("t"), F.col("base")))
-    level = cutoffs(cut(runs.select(F.explode("c.z").alias("z")), "secret-runs"), q, alpha)
+    level = cutoffs(cut(runs.select(F.explode_outer("c.z").alias("z")).filter("z IS NOT NULL"), "secret-runs"), q, alpha)
 
     def keep(x: Column) -> Column:
         limit = F.lit(9999)
