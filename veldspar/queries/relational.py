@@ -251,8 +251,9 @@ def comparison_key(spark, sf):
 ORACLES["comparison_key"] = ORACLES["comparison_key"].replace("lower(s_name) || ' & Co. (Holdings) LIMITED'", "lower(s_name || ' & Co. (Holdings) LIMITED')")
 
 
-@query()
+@query("SELECT c_custkey, 'firm ss ' || trim(regexp_replace(lower(c_name), '\\s+', ' ', 'g')) AS name FROM customer")
 def nfkc_casefold_names(spark, sf):
+    """Names behind a ligature and a capital sharp s; the SQL states what these fold to, the names themselves are ASCII."""
     c = t(spark, sf, "customer").select("c_custkey", F.concat(F.lit("  ﬁrm ẞ "), "c_name").alias("n"))
     return c.select("c_custkey", fold_name("n").alias("name"))
 
