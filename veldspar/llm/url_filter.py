@@ -89,8 +89,10 @@ def _judge(spark: SparkSession, rules):
     def judge(host: pa.Array, path: pa.Array) -> pa.Array:
         pairs = list(zip(host.to_pylist(), path.to_pylist()))
         found = {p: trie.value.match(*p) for p in set(pairs)}
-        kind = pa.struct([("labels", pa.int32()), ("chars", pa.int32()), ("verdict", pa.string()), ("rule", pa.string())])
-        return pa.array([(m := found[p]) and {"labels": m[2], "chars": m[3], "verdict": m[1], "rule": m[0]} for p in pairs], kind)
+        hits = [found[p] or (None,) * 4 for p in pairs]
+        rule, verdict, labels, chars = (list(x) for x in zip(*hits)) if hits else ([], [], [], [])
+        columns = [pa.array(labels, pa.int32()), pa.array(chars, pa.int32()), pa.array(verdict, pa.string()), pa.array(rule, pa.string())]
+        return pa.StructArray.from_arrays(columns, ["labels", "chars", "verdict", "rule"], mask=pa.array([r is None for r in rule], pa.bool_()))
 
     return judge
 
