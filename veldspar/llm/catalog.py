@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veldspar.llm import chat_format, decontaminate, exact_dedup, license_scan, ngram_join, pii, secret_scan, source_mix, toxicity, url_filter
+from veldspar.llm import chat_format, conversation_trie, decontaminate, exact_dedup, importance_resample, license_scan, ngram_join, pii, secret_scan, source_mix, topk_search, toxicity, url_filter
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_source_mix": source_mix.op8_source_mix,
     "op9_chat_format": chat_format.op9_chat_format,
     "op10_license_scan": license_scan.op10_license_scan,
+    "op11_topk_search": topk_search.op11_topk_search,
+    "op12_importance_resample": importance_resample.op12_importance_resample,
+    "op13_conversation_trie": conversation_trie.op13_conversation_trie,
 }
 ORACLES = {
     "op1_decontaminate": decontaminate.SQL,
@@ -23,4 +26,6 @@ ORACLES = {
     "op7_url_filter": url_filter.SQL,
     "op9_chat_format": chat_format.SQL,
     "op10_license_scan": license_scan.SQL,
+    "op11_topk_search": topk_search.SQL,
+    "op13_conversation_trie": conversation_trie.SQL,
 }

@@ -1,87 +1,15 @@
-"""Tables that cut lineage, and joins that broadcast only what was counted first."""
+"""The library's cut tables and measured broadcasts, and bounds on Arrow batches."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 
-#: Most bytes of a table that is broadcast, as `size` counts them.
-BROADCAST_BYTES = 48 << 20
+from veldspar.store import BROADCAST_BYTES, cut, discard, folder, hinted, passing, rows, size, table
 
-_made: list[tuple[SparkSession, str]] | None = None
-
-
-def folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names; our own only on a local master where none is set, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", "") or ""
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="veldspar-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def cut(df: DataFrame, name: str = "t", keep: bool = False) -> DataFrame:
-    """Write `df` to the shared folder and read it again: later stages restart from the files, whatever executor is lost.
-
-    `keep`: the table outlives the `passing` block it is made in.
-    """
-    path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if _made is not None and not keep:
-        _made.append((df.sparkSession, path))
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def discard(made: list[tuple[SparkSession, str]]) -> None:
-    for spark, path in made:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-@contextmanager
-def passing() -> Iterator[None]:
-    """Tables cut inside are deleted at the end. What leaves the block has to be cut with `keep`."""
-    global _made
-    outer, _made = _made, []
-    try:
-        yield
-    finally:
-        made, _made = _made, outer
-        discard(made)
-
-
-def size(df: DataFrame) -> int:
-    """About how many bytes the rows of `df` take on the heap; `df` should be a cut table, or cheap to read twice."""
-    texts = [c for c, kind in df.dtypes if kind in ("string", "binary")]
-    n, *long = df.agg(F.count(F.lit(1)), *[F.sum(F.octet_length(c)) for c in texts]).first()
-    return n * (24 + 8 * len(df.columns)) + sum(x or 0 for x in long)
-
-
-def rows(made: DataFrame) -> int:
-    """Rows of a cut table, from its files' footers; counted once."""
-    if getattr(made, "_cut_rows", None) is None:
-        made._cut_rows = made.count()
-    return made._cut_rows
-
-
-def hinted(df: DataFrame, most: int = BROADCAST_BYTES, of: DataFrame | None = None) -> DataFrame:
-    """`df` with a broadcast hint if its measured size is small; else unhinted, so that the join shuffles.
-
-    `of`: the cut table of which `df` has at most the rows, with columns of fixed width; then `df` itself isn't run for it.
-    """
-    taken = size(df) if of is None else rows(of) * (24 + 8 * len(df.columns))
-    return F.broadcast(df) if taken <= most else df
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["BROADCAST_BYTES", "cut", "discard", "folder", "hinted", "passing", "rows", "short_batches", "size", "table"]
 
 
 @contextmanager
