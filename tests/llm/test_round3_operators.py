@@ -223,7 +223,7 @@ def test_trie_query_is_brute_force(spark, sf):
     assert plain(got, *NODE) == brute_trie(brute_rebuilt(data)[1])
 
 
-@pytest.mark.parametrize("name", ["op11_topk_search", "op13_conversation_trie"])
+@pytest.mark.parametrize("name", ["op11_topk_search", "op12_importance_resample", "op13_conversation_trie"])
 def test_sql(spark, sf, name):
     from veldspar.llm import catalog
 

@@ -27,5 +27,6 @@ ORACLES = {
     "op9_chat_format": chat_format.SQL,
     "op10_license_scan": license_scan.SQL,
     "op11_topk_search": topk_search.SQL,
+    "op12_importance_resample": importance_resample.SQL,
     "op13_conversation_trie": conversation_trie.SQL,
 }

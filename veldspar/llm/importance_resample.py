@@ -254,3 +254,34 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = PERCENT, least_w
 def op12_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its weight and score towards the benchmark texts, and the rank of those drawn."""
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), r AS (
+  SELECT row, NULL AS target, unnest(w) AS f FROM d
+  UNION ALL SELECT row, NULL, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM d
+  UNION ALL SELECT row, NULL, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM d
+  UNION ALL SELECT NULL, 1, unnest(w) FROM b
+  UNION ALL SELECT NULL, 1, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM b
+  UNION ALL SELECT NULL, 1, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM b
+), n AS (SELECT f, row, target, count(*) AS n FROM r GROUP BY ALL),
+u AS (SELECT DISTINCT f, hex(encode(f)) AS h FROM n),
+c AS (
+  SELECT f, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(h), 2), lambda i: (instr('0123456789ABCDEF', h[i]) - 1) * 16 + instr('0123456789ABCDEF', h[i + 1]) - 1)),
+    lambda r, b: list_reduce([xor(r, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) % 10000 AS bucket
+  FROM u
+), m AS (SELECT n.row, n.target, c.bucket, n.n FROM n JOIN c USING (f)),
+s AS (SELECT bucket, coalesce(sum(n) FILTER (WHERE target IS NULL), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (WHERE target = 1), 0)::DOUBLE AS t FROM m GROUP BY bucket),
+g AS (SELECT bucket, CAST(floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM s) + 10000) / ((s + 1) * ((SELECT sum(t) FROM s) + 10000)))) AS BIGINT) AS gain FROM s),
+w AS (SELECT row, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS weight FROM m JOIN g USING (bucket) WHERE row IS NOT NULL GROUP BY row),
+x AS (
+  SELECT d.row, doc_id, len(d.w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), ''))[1:8] AS BIGINT) + 0.5) / 4294967296))) AS BIGINT) AS score
+  FROM d LEFT JOIN w USING (row)
+), k AS (SELECT row, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM x WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT count(*) FROM k) * 5 // 100 THEN rank END AS rank, n_words FROM x LEFT JOIN k USING (row)
+"""
