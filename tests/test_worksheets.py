@@ -5,13 +5,14 @@ from __future__ import annotations
 import itertools
 import json
 import random
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
 
 from veldspar.contracts import ContractError
-from veldspar.operators import extract, governance, identity, marts, worksheets as X
+from veldspar.operators import extract, governance, identity, marts, renames, worksheets as X
 
 COLUMNS = "reporting_period string, canonical_sheet string, normalised_column string, column string, column_position int, storage_dtype string, semantic_type string, number_format_class string"
 SHEETS = "reporting_period string, canonical_sheet string, sheet string, header_row int"
@@ -22,19 +23,96 @@ def _grid(spark, rows, workbook="b", sheet="s"):
     return spark.createDataFrame(cells, "workbook string, sheet string, row int, col int, kind string, value string")
 
 
-def test_rename_pairs_are_greedy_and_one_to_one():
+def _likeness(a, b):
+    return 0.7 * SequenceMatcher(None, a[0], b[0]).ratio() + 0.2 * (a[1] == b[1]) + 0.1 * (a[2] == b[2])
+
+
+def _greedy(removed, added):
+    """(old, new, confidence), the best pair first, each column once; ties by name, last first."""
+    left = {(_likeness(a, b), a[0], b[0]) for a, b in itertools.product(removed, added)}
+    out = []
+    while left and max(left)[0] >= 0.72:
+        best = max(left)
+        out.append((best[1], best[2], best[0]))
+        left = {p for p in left if p[1] != best[1] and p[2] != best[2]}
+    return out
+
+
+def _side(spark, sheets):
+    return spark.createDataFrame([(key, *c) for key, columns in sheets.items() for c in columns], "sheet string, name string, position int, kind string")
+
+
+def _pairs(spark, removed, added):
+    got = renames.paired(_side(spark, removed), _side(spark, added), ["sheet"]).collect()
+    return {key: sorted((r.old, r.new, r.confidence) for r in got if r.sheet == key) for key in removed}
+
+
+def test_rename_pairs_are_greedy_and_one_to_one(spark):
     removed = [("firm group", 2, "text"), ("total opened", 3, "numeric"), ("old thing", 9, "text")]
     added = [("group", 2, "text"), ("totals opened", 3, "numeric"), ("total opened count", 4, "numeric"), ("zz", 1, "date")]
-    got = X.rename_pairs(removed, added)
-    score = lambda a, b: 0.7 * SequenceMatcher(None, a[0], b[0]).ratio() + 0.2 * (a[1] == b[1]) + 0.1 * (a[2] == b[2])
-    left = {(i, j): score(a, b) for (i, a), (j, b) in itertools.product(enumerate(removed), enumerate(added))}
+    got = _pairs(spark, {"a": removed, "b": [], "c": removed}, {"a": added, "b": added, "c": []})
+    assert got == {"a": sorted(_greedy(removed, added)), "b": [], "c": []}
+    assert [p[:2] for p in got["a"]] == [("firm group", "group"), ("total opened", "totals opened")]
+
+
+def test_rename_pairs_of_random_columns_are_brute_force(spark):
+    """Names that are near each other in many ways, with ties, over several sheets at once."""
+    rng = random.Random(11)
+    words = ["opened", "closed", "upheld", "rate", "total", "pct", "aaaa", "aa", "b", "ab", "ba", "é", "x" * 230]
+
+    def name():
+        n = " ".join(rng.choice(words) for _ in range(rng.randrange(1, 4)))
+        at = rng.randrange(len(n) + 1)
+        return n[:at] + rng.choice(["", "", "s", "z", " ", "aa"]) + n[at + rng.choice([0, 0, 1]) :]
+
+    def side():
+        return [(n, rng.randrange(12), rng.choice(["text", "numeric", "date"])) for n in sorted({name() for _ in range(50)}) if n]
+
+    removed, added = {}, {}
+    for key in "abcdef":
+        removed[key] = side()
+        known = {n for n, _, _ in removed[key]}
+        added[key] = [c for c in side() if c[0] not in known]  # a name on both sides is a column that stayed
+    got = _pairs(spark, removed, added)
+    assert got == {key: sorted(_greedy(removed[key], added[key])) for key in removed}
+    assert sum(map(len, got.values())) > 30
+
+
+def test_like_names_share_bigrams():
+    """The bound that the join on bigrams rests on."""
+    rng = random.Random(2)
+    for _ in range(20_000):
+        a = "".join(rng.choice("abc ") for _ in range(rng.randrange(1, 30)))
+        b = list(a)
+        for _ in range(rng.randrange(1, 4)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randrange(2)] = rng.choice(["", "a", "c", "dd"])
+        b = "".join(b)
+        if SequenceMatcher(None, a, b).ratio() >= renames.ALIKE:
+            grams = lambda s: Counter(s[i : i + 2] for i in range(len(s) - 1))
+            assert (grams(a) & grams(b)).total() >= renames.SHARED * (len(a) + len(b)) - 1 - 1e-9
+
+
+def test_schema_renames_query_is_brute_force(spark, sf):
+    from veldspar.queries import worksheets as Q
+
+    schema = {}
+    for r in Q.moving_schema(spark, sf).collect():
+        schema.setdefault(r.reporting_period, {}).setdefault(r.canonical_sheet, {})[r.normalised_column] = (r.normalised_column, r.column_position, r.semantic_type)
     want = []
-    while left and max(left.values()) >= 0.72:
-        i, j = max(left, key=left.get)
-        want.append((left[i, j], i, j))
-        left = {p: s for p, s in left.items() if p[0] != i and p[1] != j}
-    assert got == want and {(i, j) for _, i, j in got} == {(0, 0), (1, 1)}
-    assert X.rename_pairs([], added) == X.rename_pairs(removed, []) == []
+    periods = sorted(schema)
+    for old, new in zip(periods, periods[1:]):
+        for sheet in schema[old].keys() & schema[new].keys():
+            a, b = schema[old][sheet], schema[new][sheet]
+            lost, gained = [a[n] for n in a if n not in b], [b[n] for n in b if n not in a]
+            pairs = _greedy(lost, gained)
+            title = lambda n: " ".join(w.capitalize() for w in n.split(" "))
+            want += [(old, new, sheet, "possible_column_renamed", title(x), title(y), round(c, 4)) for x, y, c in pairs]
+            want += [(old, new, sheet, "column_removed", title(n), None, None) for n, _, _ in lost if n not in {p[0] for p in pairs}]
+            want += [(old, new, sheet, "column_added", None, title(n), None) for n, _, _ in gained if n not in {p[1] for p in pairs}]
+    got = [(r.previous_period, r.current_period, r.canonical_sheet, r.change_type, r.previous_column, r.current_column, r.confidence) for r in Q.schema_renames(spark, sf).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert sum(w[3] == "possible_column_renamed" for w in want) >= 50
 
 
 def test_schema_changes(spark):

@@ -53,7 +53,7 @@ class Registry:
 
 def placed(cells: DataFrame, sheets: DataFrame) -> DataFrame:
     """Cells below their header row with their header: `sheets` (workbook, sheet, reporting_period, canonical_sheet, header_row)."""
-    at = cells.join(F.broadcast(sheets), SHEET)
+    at = cells.join(sheets, SHEET)
     heads = at.filter("row = header_row").select(*SHEET, "col", F.trim("value").alias("raw_header"))
     body = at.filter("row > header_row").join(heads, [*SHEET, "col"], "left")
     return body.withColumn("raw_header", F.when(blank(F.col("raw_header")), F.concat(F.lit("unnamed_"), F.col("col").cast("string"))).otherwise(F.col("raw_header")))

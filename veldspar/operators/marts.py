@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 
 from veldspar.contracts import ContractError, checked_join
 from veldspar.functions.semantics import period_end, period_start, safe_ratio
+from veldspar.plans import peers
 from veldspar.plans.rules import BANDS, OBS
+from veldspar.plans.scan import scan
+from veldspar.store import settled
 
 NOTICE = "Prioritisation only, no finding; pending business approval."
 
@@ -167,9 +170,10 @@ def coverage_gaps(queue: DataFrame) -> DataFrame:
 
 
 def priority_queue(product: DataFrame) -> DataFrame:
-    """Current priority observations, numbered by score and name; a queue that people work on, so it is small."""
-    order = W.orderBy(F.desc("warning_score"), F.col("display_firm_name").asc_nulls_last(), "product_group")
-    return product.filter("is_latest_reporting_period AND is_priority_review").withColumn("queue_position", F.row_number().over(order))
+    """Current priority observations, numbered by score and name: over ranges, no single task sees all."""
+    current = product.filter("is_latest_reporting_period AND is_priority_review")
+    order = [F.desc("warning_score"), F.col("display_firm_name").asc_nulls_last(), F.col("product_group"), F.col("firm_key")]
+    return scan(current, [], order, sums={"queue_position": F.lit(1)}, name="queue").withColumn("queue_position", F.col("queue_position").cast("int"))
 
 
 def monitoring_queue(product: DataFrame, indicators: DataFrame, product_group: str) -> DataFrame:
@@ -181,6 +185,10 @@ def monitoring_queue(product: DataFrame, indicators: DataFrame, product_group: s
 
 def product_period(panel: DataFrame, medians: list[str]) -> DataFrame:
     """Counts are summed, shares and rates are medians over firms; change against the product's previous period."""
-    g = panel.groupBy("reporting_period", "product_group").agg(F.count("*").alias("firm_observation_count"), F.count_distinct("firm_key").alias("distinct_firm_count"), F.coalesce(F.sum("complaints_opened_count"), F.lit(0.0)).alias("complaints_opened_total"), *[F.median(f).alias(f"{f}_median") for f in medians])
+    keys = ["reporting_period", "product_group"]
+    panel = settled(panel, "context-panel")
+    g = panel.groupBy(*keys).agg(F.count("*").alias("firm_observation_count"), F.count_distinct("firm_key").alias("distinct_firm_count"), F.coalesce(F.sum("complaints_opened_count"), F.lit(0.0)).alias("complaints_opened_total"))
+    middle = peers.quantiles(panel, keys, medians, {"median": 0.5})
+    g = checked_join(g, middle.drop(*[f"{f}_count" for f in medians]), keys)
     g = g.withColumn("previous_total", F.lag("complaints_opened_total").over(W.partitionBy("product_group").orderBy("reporting_period")))
     return g.withColumns({"change_total": F.col("complaints_opened_total") - F.col("previous_total"), "pct_change_total": safe_ratio(F.col("complaints_opened_total") - F.col("previous_total"), F.col("previous_total"))})

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veldspar.functions.semantics import normalise_text, stable_key, try_number
+from veldspar.plans.scan import scan
 
 #: Markers of absence in text cells.
 MISSING = ("-", "--", "—", "–", "missing", "null", "none")
@@ -75,16 +76,16 @@ def header_candidates(cells: DataFrame, group: list[str], terms: list[str], scan
 
 
 def fill_down(df: DataFrame, group: list[str], order: str, columns: list[str]) -> DataFrame:
-    """Blank cells inherit the last filled one above."""
-    w = W.partitionBy(*group).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return df.withColumns({f"inherited_{c}": F.last(F.when(F.trim(c) != "", F.col(c)), ignorenulls=True).over(w) for c in columns})
+    """Blank cells inherit the last filled one above; one sheet may lie in many tasks."""
+    return scan(df, group, [order], lasts={f"inherited_{c}": F.when(F.trim(c) != "", F.col(c)) for c in columns}, name="filled")
 
 
 def number_in_section(df: DataFrame, group: list[str], order: str, is_heading: Column) -> DataFrame:
-    """Section number, and the row's number inside its section."""
-    w = W.partitionBy(*group).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    s = df.withColumn("section_number", F.count_if(is_heading).over(w))
-    return s.withColumn("sequence", F.row_number().over(W.partitionBy(*group, "section_number").orderBy(order)))
+    """Section number, and the row's number inside its section: its distance to the section's heading in rows of the group."""
+    rows = df.withColumn("__heading", F.coalesce(is_heading, F.lit(False)))
+    at = scan(rows, group, [order], sums={"section_number": F.when(F.col("__heading"), 1).otherwise(0), "__at": F.lit(1)}, name="sections", dealt=True)
+    began = scan(at, group, [order], lasts={"__began": F.when(F.col("__heading"), F.col("__at"))})
+    return began.withColumn("sequence", (F.col("__at") - F.coalesce("__began", F.lit(1)) + 1).cast("int")).drop("__heading", "__at", "__began")
 
 
 def suffix_duplicates(df: DataFrame, group: list[str], name: str, order: str) -> DataFrame:

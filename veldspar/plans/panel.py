@@ -7,9 +7,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veldspar.contracts import ContractError
-from veldspar.functions.semantics import half_year, pct_rank_avg, period_end, period_start, safe_ratio, window_bounds
+from veldspar.functions.semantics import half_year, period_end, period_start, safe_ratio, window_bounds
+from veldspar.plans import peers
+from veldspar.store import named, table
 
 OBS = ["firm_key", "reporting_period", "source_reporting_period", "product_group"]
+PEER = ["reporting_period", "product_group"]
 #: Fixed values: (sheet role, metric, unit) to feature.
 FEATURES = {
     ("opened", "complaints_opened", "count"): "complaints_opened_count",
@@ -57,21 +60,34 @@ def add_trends(panel: DataFrame, features: list[str] = TREND) -> DataFrame:
 
 
 def add_percentiles(df: DataFrame, features: list[str] = TREND) -> DataFrame:
-    return df.withColumns({f"{f}_peer_percentile": pct_rank_avg(f, "reporting_period", "product_group") for f in features})
+    return peers.with_peers(df, PEER, features)
 
 
 def benchmarks(df: DataFrame, features: list[str] = TREND) -> DataFrame:
     """Median and exact quartiles for each period and product."""
-    aggs = []
-    for f in features:
-        q = F.percentile(f, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        aggs += [F.count(f).alias(f"{f}_count"), F.get(q, F.lit(0)).alias(f"{f}_q1"), F.get(q, F.lit(1)).alias(f"{f}_median"), F.get(q, F.lit(2)).alias(f"{f}_q3")]
-    return df.groupBy("reporting_period", "product_group").agg(*aggs)
+    return peers.quantiles(df, PEER, features, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+
+
+#: Tables that the panel of order lines is made of.
+ORDER_TABLES = ("lineitem", "orders", "part")
+
+
+def order_sources(sf_dir: str) -> list[str]:
+    return [f"{sf_dir}/{n}.parquet" for n in ORDER_TABLES]
 
 
 def order_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The panel that order lines host: supplier x part type x half-year of the order."""
-    t = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
+    """The panel that order lines host, supplier x part type x half-year of the order; a named table."""
+    return named(spark, "order-panel", order_sources(sf_dir), lambda: _order_panel(spark, sf_dir))
+
+
+def order_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel with trends; a named table."""
+    return named(spark, "order-features", order_sources(sf_dir), lambda: add_trends(order_panel(spark, sf_dir)))
+
+
+def _order_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = lambda n: table(spark, sf_dir, n)
     lines = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
     closed, back = F.col("l_linestatus") == "F", F.col("l_returnflag") == "R"
     share = lambda cond: F.count_if(cond) / F.count("*")
@@ -88,7 +104,3 @@ def order_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     period = F.col("reporting_period")
     window = F.concat(period_start(period).cast("string"), F.lit(" to "), period_end(period).cast("string"))
     return obs.withColumn("source_reporting_period", window)
-
-
-def order_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return add_trends(order_panel(spark, sf_dir))

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veldspar.plans import peers
 from veldspar.plans.methodology import OPERATORS, scenarios
 
 OBS = ["firm_key", "reporting_period", "source_reporting_period", "product_group"]
@@ -47,11 +48,13 @@ def prepare(features: DataFrame) -> DataFrame:
     late = "(1 - (closed_within_3_days_pct + closed_after_3_days_within_8_weeks_pct))"
     df = df.withColumn("closed_over_8_weeks_pct", F.expr(f"CASE WHEN {late} BETWEEN 0 AND 1 THEN {late} END"))
     held = [f for f in PEER_FEATURES if f in df.columns]
-    peers = f"PARTITION BY {', '.join(PEER)}"
-    rank = "CASE WHEN {f} IS NOT NULL THEN (rank() OVER ({o}) + (count({f}) OVER ({o} RANGE BETWEEN CURRENT ROW AND CURRENT ROW) - 1) / 2.0D) / count({f}) OVER ({p}) END"
-    counts = {f"{f}_peer_count": F.expr(f"count({f}) OVER ({peers})") for f in held}
-    ranks = {f"{f}_peer_percentile": F.expr(rank.format(f=f, o=f"{peers} ORDER BY {f} ASC NULLS LAST", p=peers)) for f in held if f"{f}_peer_percentile" not in features.columns}
-    return df.withColumns(counts | ranks)
+    return peers.with_peers(df, PEER, [f for f in held if f"{f}_peer_percentile" not in features.columns], held)
+
+
+def _ready(features: DataFrame) -> DataFrame:
+    """`features` as they are where `prepare` made them, a table that methodologies share; else prepared."""
+    made = {"closed_over_8_weeks_pct", *[f"{f}_peer_count" for f in PEER_FEATURES if f in features.columns]} <= set(features.columns)
+    return features if made else prepare(features)
 
 
 def eligible(rule: dict, m: dict) -> str:
@@ -149,14 +152,14 @@ def _verdict(m: dict, bits: Bits) -> dict[str, str]:
     }
 
 
-def summary(features: DataFrame, m: dict, carry: tuple[str, ...] = (), prepared: DataFrame | None = None) -> DataFrame:
+def summary(features: DataFrame, m: dict, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per observation: rule counts, scores, coverage and band; `carry` names feature columns to keep.
 
-    `prepared`: what `prepare` made of the features, where several methodologies share it.
+    Here and below, `features` may be what `prepare` made of them, which is how several methodologies share it.
     """
     bits = Bits()
     verdict = _verdict(m, bits)
-    df = bits.add(prepare(features) if prepared is None else prepared)
+    df = bits.add(_ready(features))
     fixed = [f"{_text(m[c])} AS {c}" for c in ("methodology_id", "methodology_status")]
     return df.selectExpr(*OBS, *carry, *[f"{e} AS {n}" for n, e in verdict.items()], *fixed)
 
@@ -175,7 +178,7 @@ def indicators(features: DataFrame, m: dict, carry: tuple[str, ...] = ()) -> Dat
         }
         return f"named_struct({', '.join(f'{_text(k)}, {v}' for k, v in fields.items())})"
 
-    rows = bits.add(prepare(features)).selectExpr(*OBS, *carry, f"explode(array({', '.join(row(r, p) for r, p in zip(m['rules'], places))})) AS r")
+    rows = bits.add(_ready(features)).selectExpr(*OBS, *carry, f"explode(array({', '.join(row(r, p) for r, p in zip(m['rules'], places))})) AS r")
     return rows.select(*OBS, *carry, "r.*")
 
 
@@ -206,7 +209,7 @@ def sensitivity(features: DataFrame, base: dict) -> DataFrame:
     caps = base.get("family_point_caps", {})
     total = _plus([f"least({_plus(t)}, {int(caps[f])})" if f in caps else _plus(t) for f, t in families.items()])
     words = [f"{x}{w}" for w in n for x in ("ok", "hit", "prior")]
-    rows = bits.add(prepare(features)).select(*OBS, *words).selectExpr("*", f"inline(array({', '.join(masks(name) for name, _ in runs)}))")
+    rows = bits.add(_ready(features)).select(*OBS, *words).selectExpr("*", f"inline(array({', '.join(masks(name) for name, _ in runs)}))")
     scored = rows.selectExpr(*OBS, "scenario_id", f"{count(_OK, 'every')} AS eligible_rules", f"{count(_HIT, 'every')} AS triggered_rule_count", f"{count(_KEPT, 'every')} AS persistent_rule_count", f"{total} AS points")
     settings: dict[tuple[str, str], list[str]] = {}
     for name, m in runs:

@@ -9,6 +9,7 @@ from veldspar.contracts import checked_join
 from veldspar.functions.semantics import period_end, period_start
 from veldspar.operators import marts, review
 from veldspar.plans import methodology, panel, rules
+from veldspar.store import named
 
 #: Support settings that this panel can reach; the smallest scale has 8 to 10 peers.
 REVISED = methodology.standard(True, closed=4, large=10, peers=20)
@@ -173,12 +174,18 @@ def unpivot_wide_to_long(spark, sf):
 # ---- rule engine -----------------------------------------------------------------------------------------------------
 
 
+def _prepared(spark, sf):
+    """Features with peer statistics, which every methodology reads; a named table."""
+    return named(spark, "order-prepared", panel.order_sources(sf), lambda: rules.prepare(panel.order_features(spark, sf)))
+
+
 def _summary(spark, sf, m=REVISED):
-    return rules.summary(panel.order_features(spark, sf), m)
+    """Observations judged by a methodology; a named table for each, which marts and queues read."""
+    return named(spark, "order-summary", panel.order_sources(sf), lambda: rules.summary(_prepared(spark, sf), m), methodology=m)
 
 
 def _indicators(spark, sf, m=REVISED):
-    return rules.indicators(panel.order_features(spark, sf), m)
+    return rules.indicators(_prepared(spark, sf), m)
 
 
 @query(f"WITH {RULE_SQL} SELECT {KEYS}, {SUMMARY} FROM summ")
@@ -231,7 +238,7 @@ _SENS_SQL = PREP_SQL + "".join(_rules_sql(m, f"_{i}") for i, (_, m) in enumerate
     + " FROM sens GROUP BY 1"
 )
 def sensitivity_scenarios(spark, sf):
-    s = rules.sensitivity(panel.order_features(spark, sf), REVISED)
+    s = rules.sensitivity(_prepared(spark, sf), REVISED)
     return s.groupBy("scenario_id").agg(
         F.count("*").alias("observation_count"), F.sum("triggered_rule_count").alias("triggered_rule_count"), F.sum("persistent_rule_count").alias("persistent_rule_count"), R6(F.avg("warning_score")).alias("mean_warning_score"), F.max("warning_score").alias("maximum_warning_score"),
         *[F.count_if(F.col("priority_band") == b).alias(f"band_{b}") for b in rules.BANDS],
@@ -241,7 +248,7 @@ def sensitivity_scenarios(spark, sf):
 @query(f"WITH {_SENS_SQL} SELECT s.scenario_id, b.priority_band AS baseline_priority_band, s.priority_band AS scenario_priority_band, count(*) AS observation_count FROM sens s JOIN sens b USING ({KEYS}) WHERE b.scenario_id = 'baseline' GROUP BY 1, 2, 3")
 def band_transitions(spark, sf):
     """One grouping instead of a self-join: the baseline band travels with the observation's scenarios."""
-    s = rules.sensitivity(panel.order_features(spark, sf), REVISED)
+    s = rules.sensitivity(_prepared(spark, sf), REVISED)
     base = F.max(F.when(F.col("scenario_id") == "baseline", F.col("priority_band"))).over(W.partitionBy(*panel.OBS))
     return s.withColumn("baseline_priority_band", base).groupBy("scenario_id", "baseline_priority_band", F.col("priority_band").alias("scenario_priority_band")).agg(F.count("*").alias("observation_count"))
 
@@ -253,7 +260,7 @@ count(*) AS scenario_count, round(count(*) FILTER (priority_band = bb) / count(*
 FROM (SELECT *, max(priority_band) FILTER (scenario_id = 'baseline') OVER (PARTITION BY {KEYS}) AS bb FROM sens) GROUP BY {KEYS}"""
 )
 def band_stability(spark, sf):
-    return _rounded(rules.stability(rules.sensitivity(panel.order_features(spark, sf), REVISED)))
+    return _rounded(rules.stability(rules.sensitivity(_prepared(spark, sf), REVISED)))
 
 
 @query(f"WITH {_SENS_SQL} SELECT scenario_id, {KEYS}, warning_score FROM sens WHERE scenario_id IN ('baseline', 'priority_upper') AND priority_band = 'priority_review'")

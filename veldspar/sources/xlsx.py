@@ -133,7 +133,7 @@ def wide_to_long(df: DataFrame, header: DataFrame, identifiers: list[str]) -> Da
     `header` (workbook, sheet, header_row). Rows without a name or named total, grand total or include are skipped.
     """
     at = ["workbook", "sheet"]
-    body = df.filter("error IS NULL").join(F.broadcast(header), at)
+    body = df.filter("error IS NULL").join(header, at)
     heads = body.filter("row = header_row").select(*at, "col", F.trim("value").alias("raw_header"))
     below = body.filter("row > header_row").join(heads, [*at, "col"])
     named = below.filter(F.lower("raw_header") == identifiers[0].lower()).select(*at, "row", F.trim("value").alias("firm_name"))

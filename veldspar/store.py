@@ -44,7 +44,14 @@ def cut(df: DataFrame, name: str = "t", keep: bool = False) -> DataFrame:
     df.write.parquet(path)
     if (made := _made.get()) is not None and not keep:
         made.append((df.sparkSession, path))
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut = True
+    return out
+
+
+def settled(df: DataFrame, name: str = "t") -> DataFrame:
+    """`df` if it is a cut or named table, which can be read many times; else cut."""
+    return df if getattr(df, "_cut", False) else cut(df, name)
 
 
 def _at(spark: SparkSession, path: str):
@@ -99,8 +106,9 @@ def named(spark: SparkSession, name: str, sources: list[str], build: Callable[[]
             if not fs.exists(pointer):
                 raise
             discard([(spark, path)])
-    at = spark.read.text(f"{base}.current").first()[0]
-    return spark.read.parquet(at)
+    out = spark.read.parquet(spark.read.text(f"{base}.current").first()[0])
+    out._cut = True
+    return out
 
 
 def size(df: DataFrame) -> int:
