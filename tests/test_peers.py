@@ -46,10 +46,11 @@ def test_hot_group_is_spread(spark):
     assert dealt.filter("g = -1").select(scan.RANGE).distinct().count() >= 3  # a range is what a task scans
 
 
-def test_quantiles_equal_percentile_and_brute_force(spark):
+@pytest.mark.parametrize("hot", [10**9, 100, 0])
+def test_quantiles_equal_percentile_and_brute_force(spark, hot):
     data, schema = _rows(2)
     df = spark.createDataFrame(data, schema)
-    got = peers.quantiles(df, ["period", "product"], ["a", "b"], {"q1": 0.25, "median": 0.5, "q3": 0.75}, parts=5)
+    got = peers.quantiles(df, ["period", "product"], ["a", "b"], {"q1": 0.25, "median": 0.5, "q3": 0.75}, hot=hot, parts=5)
     q = lambda f: F.percentile(f, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     want = {(r.period, r["product"]): r for r in df.groupBy("period", "product").agg(F.count("a").alias("na"), q("a").alias("a"), F.count("b").alias("nb"), q("b").alias("b")).collect()}
     assert got.count() == len(want)

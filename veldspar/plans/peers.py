@@ -3,8 +3,8 @@
 A group of ordinary size is ranked by a window: one exchange for all features. A group of more than HOT rows would be one task
 and one sort for each feature; such groups, of which there are fewer than rows / HOT, take a two-level rank instead: their
 distinct values are counted, these counts are summed along ranges of (group, feature, value), see `scan`, and joined back to the rows by
-value. Quantiles come from the same running counts for every group: the rows whose counts cover a rank are the order
-statistics, so that no buffer holds the values of a group.
+value. Quantiles of a group of more than BUFFERED rows come from the same running counts: the rows whose counts cover a rank are
+the order statistics, so that no buffer holds more than so many values. Both ways give the same rows.
 
 Null values take no part and have no rank; null group keys are a group like others.
 """
@@ -18,11 +18,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veldspar.functions.semantics import pct_rank_avg
-from veldspar.plans.scan import scan
-from veldspar.store import cut, hinted, settled
+from veldspar.plans.scan import ranged, scan
+from veldspar.store import cut, settled
 
-#: Rows from which a group is ranked in ranges. One task sorts a million rows of a few numbers in memory.
-HOT = 1_000_000
+#: Rows from which a group is ranked in ranges (one task sorts a million rows of a few numbers in memory), and from which its
+#: quantiles are, instead of a buffer of its values.
+HOT, BUFFERED = 1_000_000, 100_000
 
 
 def _met(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -38,10 +39,19 @@ def _values(df: DataFrame, group: list[str], features: list[str], *carry: str) -
     return df.select(*group, *carry, F.explode(each).alias("__x")).select(*group, *carry, "__x.feature", "__x.value").filter("value IS NOT NULL")
 
 
-def running_counts(df: DataFrame, group: list[str], features: list[str], parts: int | None = None) -> DataFrame:
-    """(*group, feature, value, n, upto) as a cut table: distinct values, how many rows have each, and how many have it or a lesser one."""
+def running_counts(df: DataFrame, group: list[str], features: list[str], parts: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(counts, totals): (*group, feature, value, n, upto), distinct values with how many rows have each, and how many have it or
+    a lesser one; (*group, feature, total)."""
     counted = _values(df, group, features).groupBy(*group, "feature", "value").agg(F.count(F.lit(1)).alias("n"))
-    return cut(scan(counted, [*group, "feature"], ["value"], sums={"upto": F.col("n")}, name="peer-values", parts=parts), "peer-counts")
+    keys = [*group, "feature"]
+    dealt = ranged(counted, keys, ["value"], "peer-values", parts)
+    return scan(dealt, keys, ["value"], sums={"upto": F.col("n")}), dealt.groupBy(*keys).agg(F.sum("n").alias("total"))
+
+
+def _hot(df: DataFrame, group: list[str], hot: int) -> DataFrame | None:
+    """The keys of groups of more than `hot` rows, fewer than there are rows by that factor; None where there are none."""
+    large = cut(df.groupBy(*group).count().filter(F.col("count") > hot).select(*group), "peer-groups")
+    return large if large.head(1) else None
 
 
 def _windowed(df: DataFrame, group: list[str], ranks: list[str], counts: list[str]) -> DataFrame:
@@ -52,8 +62,7 @@ def _ranged(df: DataFrame, group: list[str], ranks: list[str], counts: list[str]
     """The same columns for hot groups: `df` has no others, so totals are bounded by their number."""
     features = list(dict.fromkeys([*ranks, *counts]))
     rows = cut(df.withColumn("__row", F.monotonically_increasing_id()), "peer-hot")
-    found = running_counts(rows, group, features, parts)
-    total = found.groupBy(*group, "feature").agg(F.max("upto").alias("total"))
+    found, total = running_counts(rows, group, features, parts)
     rank = F.col("upto") - F.col("n") + 1
     share = _met(found, F.broadcast(total), [*group, "feature"]).select(*group, "feature", "value", ((rank + (F.col("n") - 1) / F.lit(2.0)) / F.col("total")).alias("share"))
     met = _met(_values(rows, group, ranks, "__row"), share, [*group, "feature", "value"])
@@ -66,22 +75,20 @@ def _ranged(df: DataFrame, group: list[str], ranks: list[str], counts: list[str]
 def with_peers(df: DataFrame, group: list[str], ranks: list[str], counts: list[str] = (), hot: int = HOT, parts: int | None = None) -> DataFrame:
     """`df` with <feature>_peer_percentile for `ranks` and <feature>_peer_count for `counts`, among the rows of the same `group`."""
     df = settled(df, "peer-rows")
-    large = cut(df.groupBy(*group).count().filter(F.col("count") > hot).select(*group), "peer-groups")
-    if not large.head(1):
+    large = _hot(df, group, hot)
+    if large is None:
         return _windowed(df, group, list(ranks), list(counts))
-    few = F.broadcast(large)  # fewer rows than there are in df, by the factor `hot`
+    few = F.broadcast(large)
     rest, many = _met(df, few, group, "left_anti"), _met(df, few, group, "left_semi")
     added = [*[f"{f}_peer_count" for f in counts], *[f"{f}_peer_percentile" for f in ranks]]
     columns = [*df.columns, *added]
     return _windowed(rest, group, list(ranks), list(counts)).select(columns).unionByName(_ranged(many, group, list(ranks), list(counts), parts).select(columns))
 
 
-def quantiles(df: DataFrame, group: list[str], features: list[str], at: dict[str, float], parts: int | None = None) -> DataFrame:
-    """(*group, <feature>_count, <feature>_<name> for each quantile of `at`): exact, interpolated between neighbouring ranks."""
-    df = settled(df, "peer-rows")
-    found = running_counts(df, group, features, parts)
-    total = cut(found.groupBy(*group, "feature").agg(F.max("upto").alias("total")), "peer-totals")
-    placed = _met(found, hinted(total), [*group, "feature"])
+def _order_statistics(df: DataFrame, group: list[str], features: list[str], at: dict[str, float], parts: int | None) -> DataFrame:
+    """Quantiles from running counts: the rows whose counts cover a rank are the values at it."""
+    found, total = running_counts(df, group, features, parts)
+    placed = _met(found, total, [*group, "feature"])
     holds = lambda rank: (F.col("upto") - F.col("n") <= rank) & (rank < F.col("upto"))
     position = {name: F.lit(q) * (F.col("total") - 1) for name, q in at.items()}
     picked = [F.max(F.when(holds(f(p)), F.col("value"))).alias(f"{side}_{name}") for name, p in position.items() for side, f in (("lo", F.floor), ("hi", F.ceil))]
@@ -96,3 +103,23 @@ def quantiles(df: DataFrame, group: list[str], features: list[str], at: dict[str
     wide = each.groupBy(*group).agg(*[x for i, f in enumerate(features) for x in (of(i, "total").alias(f"{f}_count"), *[of(i, name).alias(f"{f}_{name}") for name in at])])
     groups = df.select(*group).distinct()  # a group without any value has counts of zero
     return _met(groups, wide, group, "left").na.fill(0, [f"{f}_count" for f in features])
+
+
+def _held(df: DataFrame, group: list[str], features: list[str], at: dict[str, float]) -> DataFrame:
+    """Quantiles from all values of a group in one buffer."""
+    aggs = []
+    for f in features:
+        q = F.percentile(f, F.array(*[F.lit(x) for x in at.values()]))
+        aggs += [F.count(f).alias(f"{f}_count"), *[F.get(q, F.lit(i)).alias(f"{f}_{name}") for i, name in enumerate(at)]]
+    return df.groupBy(*group).agg(*aggs)
+
+
+def quantiles(df: DataFrame, group: list[str], features: list[str], at: dict[str, float], hot: int = BUFFERED, parts: int | None = None) -> DataFrame:
+    """(*group, <feature>_count, <feature>_<name> for each quantile of `at`): exact, interpolated between neighbouring ranks."""
+    df = settled(df, "peer-rows")
+    large = _hot(df, group, hot)
+    if large is None:
+        return _held(df, group, features, at)
+    few = F.broadcast(large)
+    rest, many = _held(_met(df, few, group, "left_anti"), group, features, at), _order_statistics(cut(_met(df, few, group, "left_semi"), "peer-hot"), group, features, at, parts)
+    return rest.unionByName(many.select(rest.columns))

@@ -9,16 +9,16 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
+from functools import cache
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Most bytes of a table that is broadcast, as `size` counts them.
 BROADCAST_BYTES = 48 << 20
-#: Part of the key of every named table: raise it when a build changes its rows.
-EDITION = 3
-
 _made: ContextVar[list[tuple[SparkSession, str]] | None] = ContextVar("made", default=None)
+_versions: ContextVar[dict | None] = ContextVar("versions", default=None)
 _own: dict[str, str] = {}
 
 
@@ -78,21 +78,44 @@ def passing() -> Iterator[None]:
         discard(made)
 
 
+@cache
+def _edition() -> str:
+    """Digest of this package's source: a table that other code made is not taken for one of this code."""
+    root = Path(__file__).parent
+    return hashlib.sha256(b"".join(p.read_bytes() for p in sorted(root.rglob("*.py")))).hexdigest()
+
+
 def _version(spark: SparkSession, sources: list[str]) -> list:
     """What tells one state of the source files from another: paths, lengths and times, listed by Spark, contents unread."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(sources)
-    return list(files.agg(F.count(F.lit(1)), F.sum("length"), F.bit_xor(F.xxhash64("path", "length", "modificationTime"))).first())
+    seen, key = _versions.get(), tuple(sorted(sources))
+    if seen is None or key not in seen:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(sources)
+        found = list(files.agg(F.count(F.lit(1)), F.sum("length"), F.bit_xor(F.xxhash64("path", "length", "modificationTime"))).first())
+        if seen is None:
+            return found
+        seen[key] = found
+    return seen[key]
 
 
 def named(spark: SparkSession, name: str, sources: list[str], build: Callable[[], DataFrame], **settings) -> DataFrame:
     """The table that `build` makes of the files `sources` under `settings`; built once, then read by every query and, where the
     folder lasts, by later applications.
 
-    The key holds the state of every source file, so that new input makes a new table. Rows are written to a folder of their own,
+    The key holds the state of every source file and of this package's code, so that new input or new code makes a new table. Rows are written to a folder of their own,
     and one small pointer file, created but never overwritten, makes them current: a build that fails leaves nothing that
     readers see, and of two builds at once the first to finish counts.
     """
-    told = json.dumps([EDITION, name, sorted(sources), _version(spark, sources), settings], sort_keys=True, default=str)
+    # Tables that this one is built of are made of the same state of the files: it is looked at once for all of them.
+    token = _versions.set({}) if _versions.get() is None else None
+    try:
+        return _named(spark, name, sources, build, settings)
+    finally:
+        if token is not None:
+            _versions.reset(token)
+
+
+def _named(spark: SparkSession, name: str, sources: list[str], build: Callable[[], DataFrame], settings: dict) -> DataFrame:
+    told = json.dumps([_edition(), name, sorted(sources), _version(spark, sources), settings], sort_keys=True, default=str)
     base = f"{folder(spark)}/named/{name}-{hashlib.sha256(told.encode()).hexdigest()[:24]}"
     fs, pointer = _at(spark, f"{base}.current")
     if not fs.exists(pointer):
