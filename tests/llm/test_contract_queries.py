@@ -97,14 +97,14 @@ def brute_components(texts, k, percent):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("local", [-1, 40, 1 << 20])
-def test_components_of_links(spark, local):
-    """Chains, stars, cycles, cliques and random graphs: by steps alone, by steps then one task, and in one task."""
+@pytest.mark.parametrize("piece", [2, 40, 1 << 22])
+def test_components_of_links(spark, piece):
+    """Chains, stars, cycles, cliques and random graphs, contracted in pieces of any length."""
     import random
 
     from veldspar.llm.components import components
 
-    r = random.Random(local)
+    r = random.Random(piece)
     links = [(i, i + 1) for i in range(60)] + [(1000, 1001 + i) for i in range(50)] + [(2000 + i, 2000 + (i + 1) % 17) for i in range(17)] + [(-5, -9), (7000, 7000)]
     links += [(3000 + r.randrange(80), 3000 + r.randrange(80)) for _ in range(50)] + [(4000 + i, 4000 + j) for i in range(6) for j in range(i)]
     r.shuffle(links)
@@ -119,9 +119,9 @@ def test_components_of_links(spark, local):
         if a != b:
             x, y = sorted((find(a), find(b)))
             root[y] = x
-    got = components(spark.createDataFrame(links, "u long, v long"), local=local).collect()
+    got = components(spark.createDataFrame(links, "u long, v long").repartition(5), piece=piece).collect()
     assert sorted((x.node, x.root) for x in got) == sorted((x, find(x)) for x in root)
-    assert components(spark.createDataFrame([], "u long, v long"), local=local).count() == 0
+    assert components(spark.createDataFrame([], "u long, v long"), piece=piece).count() == 0
 
 
 @pytest.mark.parametrize(("k", "percent"), [(3, 90), (5, 80), (2, 60)])

@@ -18,7 +18,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -77,6 +79,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _byte(digits: str) -> bool:
+    """Whether a number of any length is at most 255."""
+    value = digits.lstrip("0")
+    return len(value) <= 3 and int(value or 0) <= 255
+
+
 def _chained(text: str, first: re.Pattern, after: re.Pattern):
     """Leftmost non-overlapping matches: `after` right where the last match ended, else `first`, which looks behind."""
     at = 0
@@ -92,7 +100,7 @@ def base_matches(text: str) -> list[tuple[int, int, int, bool]]:
         out += [(m.start(), 0, m.end(), True) for m in _chained(text, _EMAIL_AT_EDGE, _EMAIL)]
     if _DIGIT.search(text):
         if "." in text:
-            out += [(m.start(), 1, m.end(), all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".") if len(p) < 4000) and max(map(len, m[0].split("."))) < 4000) for m in _chained(text, _IP, _IP_AFTER)]
+            out += [(m.start(), 1, m.end(), all(_byte(p) for p in m[0].split("."))) for m in _chained(text, _IP, _IP_AFTER)]
         for m in _CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")
             if len(digits) >= 12:
@@ -131,8 +139,10 @@ def iban_matches(text: str) -> list[tuple[int, int]]:
         if not out or s >= out[-1][1]:
             out += [(s, e) for e in ends if _mod97(text[s:e])][:1]
     valid, at = list(out), 0
+    begins = [s for s, _ in valid]
     for s, ends in found:
-        if ends and s >= at and not any(s < e2 and s2 < ends[0] for s2, e2 in valid):
+        before = bisect_left(begins, ends[0]) if ends else 0
+        if ends and s >= at and not (before and s < valid[before - 1][1]):  # valid ones lie apart, so the last one before it reaches farthest
             out.append((s, ends[0]))
             at = ends[0]
     return sorted(out)
@@ -266,9 +276,11 @@ def _listed(spans) -> str:
 def judge(found: list[tuple[int, int, int, str, bool]], accepted: dict[str, bool], w: np.ndarray) -> tuple[list, list]:
     """(base spans, added spans) of a document's candidates (start, kind, end, code, is_base), in order."""
     base = [(s, k, e) for s, k, e, _, is_base in found if is_base]
+    begins, reach = [s for s, _, _ in base], list(accumulate((e for _, _, e in base), max))  # reach: where the spans up to here end
     added: list[tuple[int, int, int]] = []
     for s, k, e, code, is_base in found:
-        if is_base or any(s < e2 and s2 < e for s2, _, e2 in base) or added and s < added[-1][2]:
+        before = bisect_left(begins, e)  # base spans that begin before this one ends
+        if is_base or before and s < reach[before - 1] or added and s < added[-1][2]:
             continue
         if code not in accepted:
             accepted[code] = bool(_features(tuple(map(int, code.split(",")))) @ w >= 0)
