@@ -1,5 +1,10 @@
-"""Connected components of a link table: alternating large-star and small-star steps (Kiveris et al., 2014) until the
-links that are left fit into one task of bounded size, which finishes them."""
+"""Connected components of a link table, by one path at every size: links are contracted where they lie, then alternating
+large-star and small-star steps (Kiveris et al., 2014) join what the parts found.
+
+Each task finds the components of its own links and gives back one link from every node to the least node of its component, which
+is no more than it read; the steps over these few links end after some rounds. All nodes stay in the table, so that any round is a
+forest over them.
+"""
 
 from __future__ import annotations
 
@@ -8,10 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veldspar.llm.store import cut, rows
+from veldspar.llm.store import cut
 
-#: Most links that one task finishes: 16 MB of ids. The steps keep all nodes, so that they can stop after any round.
-LOCAL = 1 << 20
+#: Links that a task contracts at a time, and so what it holds: 64 MB of ids. Longer partitions are contracted piece by piece.
+PIECE = 1 << 22
 
 
 def _stars(edges: DataFrame, larger: bool) -> DataFrame:
@@ -42,25 +47,38 @@ def labels(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             return nodes, nodes[root]
 
 
-def _finished(edges: DataFrame) -> DataFrame:
+def contracted(links: DataFrame, piece: int | None = None) -> DataFrame:
+    """(u, v): for each task's links, every node but the least of its component with that least node."""
+    most = piece or PIECE
+
+    def forest(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        nodes, roots = labels(*(np.concatenate(x) for x in zip(*parts)))
+        return nodes[nodes != roots], roots[nodes != roots]
+
     def batches(it):
-        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in it]
-        if parts:
-            nodes, roots = labels(*(np.concatenate(x) for x in zip(*parts)))
-            for i in range(0, len(nodes), 10_000):
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[i : i + 10_000]), pa.array(roots[i : i + 10_000])], ["node", "root"])
+        held, n = [], 0
+        for b in it:
+            held.append((b.column(0).to_numpy(), b.column(1).to_numpy()))
+            n += b.num_rows
+            if n >= most:  # what is found so far goes on as links; a forest is at most as long as its links
+                found = forest(held)
+                if len(found[0]) > most // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["u", "v"])
+                    found = tuple(x[:0] for x in found)
+                held, n = [found], len(found[0])
+        if n:
+            found = forest(held)
+            for i in range(0, len(found[0]), 10_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 10_000]) for x in found], ["u", "v"])
 
-    return edges.select("u", "v").coalesce(1).mapInArrow(batches, "node long, root long")
+    return links.select("u", "v").mapInArrow(batches, "u long, v long")
 
 
-def components(links: DataFrame, rounds: int = 60, local: int | None = None) -> DataFrame:
+def components(links: DataFrame, rounds: int = 60, piece: int | None = None) -> DataFrame:
     """(node, root) for every node of `links` (u, v longs); root is the least node of the component. No links, no rows."""
-    local = LOCAL if local is None else local
-    edges = cut(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
+    edges = cut(contracted(links.filter("u <> v"), piece).distinct(), "cc")
     state = None
     for _ in range(rounds):
-        if rows(edges) <= local:
-            return _finished(edges)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state or not now[0]:
             break

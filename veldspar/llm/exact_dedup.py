@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from veldspar.llm.store import cut, hinted, passing
 from veldspar.llm.text import lower_az
 
-SCHEMA = ("doc_id", "keep_id", "group_size", "kept", "text_sha256", "n_rows")
+SCHEMA = ("doc_id", "keep_id", "group_size", "kept", "text_sha256", "n_rows", "n_bytes")
 #: Bits of the table that marks surviving keys: 8 for each key, but no more than 2^LARGEST (32 MB, which is broadcast).
 SMALLEST, LARGEST = 20, 28
 #: Copies of a text from which its group meets its members by broadcast; such groups are few, one in HOT rows at most.
@@ -37,7 +37,7 @@ def _split(rows: DataFrame, bitmap: DataFrame, bits: int) -> DataFrame:
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = 64, hash_single: bool = False) -> DataFrame:
     """One row per document: doc_id, keep_id (largest id of its group), group_size, kept, text_sha256,
-    n_rows (rows that repeat this id and text).
+    n_rows (rows that repeat this id and text), n_bytes (of the text).
 
     Pass 1 reads lengths and the first `prefix` characters. Pass 2 hashes whole texts of the surviving (length, prefix
     hash) groups; the others are settled without. Which keys survive is told by a bitmap of bounded size: where keys
@@ -54,37 +54,41 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         bits = min(max(SMALLEST, (8 * heads.count()).bit_length()), LARGEST)
         bitmap = cut(_marked(heads, bits), "dedup-bitmap", keep=True)
         # A hot group is spread over (digest, id) first; its members meet only as one partial row per task.
-        survivors = _split(keyed, bitmap, bits).filter("alive").select("doc_id", digest)
-        members = cut(survivors.groupBy("text_sha256", "doc_id").agg(F.count("*").alias("n")), "dedup-members", keep=True)
+        survivors = _split(keyed, bitmap, bits).filter("alive").select("doc_id", "len", digest)
+        members = cut(survivors.groupBy("text_sha256", "doc_id").agg(F.count("*").alias("n"), F.min("len").alias("n_bytes")), "dedup-members", keep=True)
         groups = cut(members.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size")), "dedup-groups", keep=True)
 
     rest = _split(keyed if hash_single else sketch, bitmap, bits).filter("NOT alive")
     none = F.lit(None).cast("string").alias("text_sha256")
     one = F.lit(1).cast("long")
-    settled = rest.select("doc_id", F.col("doc_id").alias("keep_id"), one.alias("group_size"), F.lit(True).alias("kept"), digest if hash_single else none, one.alias("n_rows"))
+    settled = rest.select("doc_id", F.col("doc_id").alias("keep_id"), one.alias("group_size"), F.lit(True).alias("kept"), digest if hash_single else none, one.alias("n_rows"), F.col("len").alias("n_bytes"))
     hot = hinted(groups.filter(F.col("group_size") >= HOT).select("text_sha256"))
     met = [members.join(hot, "text_sha256", "left_anti").join(groups, "text_sha256"), members.join(hinted(groups.filter(F.col("group_size") >= HOT)), "text_sha256")]
     shown = F.col("text_sha256") if hash_single else F.when(F.col("group_size") > 1, F.col("text_sha256"))
-    hashed = met[0].unionByName(met[1]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), shown.alias("text_sha256"), F.col("n").alias("n_rows"))
+    hashed = met[0].unionByName(met[1]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), shown.alias("text_sha256"), F.col("n").alias("n_rows"), "n_bytes")
     return settled.unionByName(hashed).select(*SCHEMA)
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` without the copies: of equal texts the row with the largest id stays, with all its columns. Of rows that
-    repeat both id and text one stays; rows that share an id but not the text are told apart."""
-    found = cut(exact_dedup(docs, id_col, text_col).filter("NOT kept OR n_rows > 1").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), F.col("kept").alias("__kept")), "dedup-found")
-    sha = F.sha2(lower_az(F.coalesce(F.col(text_col), F.lit(""))), 256)
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (sha == F.col("__sha"))
+    repeat both id and text one stays; rows that share an id but not the text are told apart.
+
+    Rows meet what was found by id and length; a text is hashed only where these agree.
+    """
+    found = cut(exact_dedup(docs, id_col, text_col).filter("NOT kept OR n_rows > 1").select(F.col("doc_id").alias("__id"), F.col("n_bytes").alias("__n"), F.col("text_sha256").alias("__sha"), F.col("kept").alias("__kept")), "dedup-found")
+    sha, n = F.sha2(lower_az(F.coalesce(F.col(text_col), F.lit(""))), 256), F.coalesce(F.octet_length(text_col), F.lit(0))
+    # The last condition is an equality that can't become a key of the join, which would be computed for every row.
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (n == F.col("__n")) & (F.greatest(sha, F.col("__sha")) == F.least(sha, F.col("__sha")))
     single = docs.join(hinted(found), same, "left_anti")
     repeated = found.filter("__kept")
     if not repeated.head(1):
         return single
-    return single.unionByName(docs.join(hinted(repeated), same, "inner").dropDuplicates(["__id", "__sha"]).drop("__id", "__sha", "__kept"))
+    return single.unionByName(docs.join(hinted(repeated), same, "inner").dropDuplicates(["__id", "__sha"]).drop("__id", "__n", "__sha", "__kept"))
 
 
 def op3_exact_dedup(spark, sf_dir: str) -> DataFrame:
     """Every document with the id that stays, its group's size and its digest."""
-    return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), hash_single=True)
+    return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), hash_single=True).drop("n_bytes")
 
 
 SQL = """

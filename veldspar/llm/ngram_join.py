@@ -76,7 +76,7 @@ def _run(docs: DataFrame, columns: list[str], schema: str, each, k: int) -> Data
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], columns)
 
-    kinds = {"long": pa.int64(), "int": pa.int32(), "array<long>": pa.list_(pa.int64())}
+    kinds = {"long": pa.int64(), "binary": pa.binary(), "int": pa.int32(), "array<long>": pa.list_(pa.int64())}
     types = [kinds[f.strip().split(" ")[1]] for f in schema.split(",")]
     return docs.mapInArrow(batches, schema)
 
@@ -195,7 +195,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, bits: DataF
 
 
 def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of `docs`: doc_id, n_shingles, component_id (least id reachable by links), a cut table.
+    """One row per row of `docs`: doc_id, n_shingles, component_id (least id reachable by links), a cut table. Ids are longs, or binary.
 
     The tables that the steps cut are deleted at the end, and the caller's settings are as they were.
     """
@@ -205,8 +205,9 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
 
 def _components(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    sketch = cut(_run(rows, ["doc_id", "n", "c"], "doc_id long, n int, c long", lambda i, s: (i, len(s), _class_id(s)), k), "ngram-sketch")
+    kind = "binary" if dict(docs.dtypes)[id_col] == "binary" else "long"
+    rows = docs.select(F.col(id_col).cast(kind).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    sketch = cut(_run(rows, ["doc_id", "n", "c"], f"doc_id {kind}, n int, c long", lambda i, s: (i, len(s), _class_id(s)), k), "ngram-sketch")
     named = rows.filter("doc_id IS NOT NULL")
     classes = cut(sketch.filter("doc_id IS NOT NULL AND n > 0").groupBy("c").agg(F.min("doc_id").alias("rep")), "ngram-classes")
 

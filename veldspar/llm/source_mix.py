@@ -37,6 +37,8 @@ from veldspar.llm.store import cut, passing, short_batches, table
 TARGETS = {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}
 TOTAL = 1.0
 SAMPLE, LONGEST, BUCKETS = 2000, 1 << 20, 1024
+#: Most domains: K squared sums are made at a time.
+DOMAINS = 64
 STEPS, CLOSE = 60, 1e-6
 
 
@@ -95,7 +97,9 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domain_col: str = "lang", id
     one = rows.select(F.col(id_col).alias("i"), F.col(domain_col).cast("string").alias("d"), F.col(text_col).alias("t")).na.drop().groupBy("i").agg(F.min(F.struct("d", "t")).alias("m"))
     got = one.select("i", "m.d", "m.t").orderBy("i").toArrow().to_pylist()  # one row for each of the ids
     # A domain that the sample misses is trained on rows of its own, labelled or not; such domains are few and rare.
-    occurring = [r["d"] for r in docs.filter(F.col(text_col).isNotNull()).select(F.col(domain_col).cast("string").alias("d")).distinct().na.drop().collect()]
+    occurring = [r["d"] for r in docs.filter(F.col(text_col).isNotNull()).select(F.col(domain_col).cast("string").alias("d")).distinct().na.drop().limit(DOMAINS + 1).collect()]
+    if len(occurring) > DOMAINS:
+        raise ValueError(f"column {domain_col!r} has more than {DOMAINS} values: it names no domains")
     for d in sorted(set(occurring) - {r["d"] for r in got}):
         own = docs.filter(F.col(domain_col).cast("string") == d).select(F.col(id_col).alias("i"), F.lit(d).alias("d"), F.col(text_col).alias("t"))
         more = own.filter(F.octet_length("t") <= LONGEST).orderBy(F.xxhash64("t"), "t").limit(max(1, sample // len(occurring))).collect()

@@ -16,8 +16,9 @@ def lower_az(text: Column) -> Column:
 
 
 def row_key(row_id: Column, text: Column) -> Column:
-    """64-bit key of a row for stages that judge each row: rows with the same key repeat both id (which may be null) and text."""
-    return F.xxhash64(row_id.isNull(), row_id, F.coalesce(text, F.lit("")))
+    """128-bit key of a row, 16 bytes, for stages that judge each row: rows with the same key repeat both id (which may be null) and text."""
+    parts = [F.xxhash64(F.lit(seed), row_id.isNull(), row_id, F.coalesce(text, F.lit(""))) for seed in (1, 2)]
+    return F.to_binary(F.concat(*[F.lpad(F.hex(p), 16, "0") for p in parts]), F.lit("hex"))
 
 
 def words(text: Column) -> Column:

@@ -7,7 +7,8 @@ other ASCII than letters as blanks), chosen by their association with the catego
 text; each model is a ridge logistic regression fitted by Newton steps.
 
 The training sample is bounded: PER_CLASS labelled ids of each class of the category named in STRATIFY, chosen by a hash of
-the id, with texts up to LONGEST bytes; of rows that share an id the least text is used. Scoring covers every text, whole.
+the id, with texts up to LONGEST bytes, and BYTES bytes of each class altogether; of rows that share an id the least text is used, and of
+labels that share an id the largest value of each category. Scoring covers every text, whole.
 
 Edge cases: null text counts as empty; ids may be null or repeat, each row is scored by its text alone; rows of `labels` with
 null, or without a document, are not used; with no labelled row, or one class only, a category gets its base rate as
@@ -19,6 +20,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,6 +31,8 @@ from veldspar.llm.store import table
 CATEGORIES = [("low_quality", "quality = 0"), ("toxic", "toxic = 1"), ("toxic_low_quality", "toxic = 1 AND quality = 0")]
 REJECT, STRATIFY = "toxic", "toxic"
 PER_CLASS, LONGEST, FOLDS, FEATURES = 1500, 1 << 20, 5, 250
+#: Most bytes of text of each class; training takes some nine bytes for each.
+BYTES = 24 << 20
 GRAM, BITS = 5, 22
 
 _NORM = np.full(256, 32, np.uint8)
@@ -192,10 +196,13 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, stratif
     rates = flags.agg(*[F.avg(n).alias(n) for n in names]).first()
     prior = {n: float(rates[n] or 0.0) for n in names}
     order = F.xxhash64("__id")
-    sizes = docs.select(F.col(id_col).alias("__id"), F.octet_length(text_col).alias("__n"))
-    usable = flags.join(sizes.filter(f"__n <= {LONGEST}").select("__id"), "__id", "left_semi").dropDuplicates(["__id"])
+    labelled = flags.groupBy("__id").agg(*[F.max(n).alias(n) for n in names])  # of labels that disagree the larger one holds
+    sizes = docs.select(F.col(id_col).alias("__id"), F.octet_length(text_col).cast("long").alias("__n")).filter(f"__n <= {LONGEST}")
+    usable = labelled.join(sizes.groupBy("__id").agg(F.max("__n").alias("__n")), "__id")
     picked = [usable.filter(F.col(stratify) == v).orderBy(order, "__id").limit(per_class) for v in (0, 1)]
-    sample = F.broadcast(picked[0].unionByName(picked[1]))  # at most 2 * per_class rows
+    few = picked[0].unionByName(picked[1])  # at most 2 * per_class rows
+    bytes_so_far = F.sum("__n").over(W.partitionBy(stratify).orderBy(order, "__id").rowsBetween(W.unboundedPreceding, W.currentRow))
+    sample = F.broadcast(few.withColumn("__b", bytes_so_far).filter(F.col("__b") <= BYTES).drop("__n", "__b"))
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).join(sample, "__id").filter(F.octet_length("__t") <= LONGEST)
     rows = rows.groupBy("__id", *names).agg(F.min("__t").alias("__t"))  # one row for each id
     got = rows.withColumn("__f", F.pmod(F.xxhash64(F.lit("fold"), F.col("__id")), F.lit(FOLDS))).orderBy(order, "__id").select("__t", "__f", *names).toArrow()
