@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldspar.contracts import ContractError
+from veldspar.sources import releases
 
 
 def read_csv(spark: SparkSession, path: str, schema: str, keep_empty: bool = False) -> DataFrame:
@@ -31,13 +29,9 @@ def write_template(df: DataFrame, path: str) -> None:
     df.write.mode("ignore").option("header", True).csv(path)
 
 
-def publish(tables: dict[str, DataFrame], issues: DataFrame, folder: str) -> None:
-    """Write all tables and the issues first, then fail if there are issues: evidence survives the failure."""
-    for name, df in tables.items():
-        write_table(df, f"{folder}/{name}")
-    write_table(issues, f"{folder}/validation_issues", "json")
-    if bad := issues.limit(5).collect():
-        raise ContractError(json.dumps([r.asDict() for r in bad]))
+def publish(tables: dict[str, DataFrame], issues: DataFrame, folder: str) -> releases.Release:
+    """Write all tables, then release them, or fail if there are issues: evidence survives the failure, and so does the last release."""
+    return releases.publish(issues.sparkSession, folder, tables, known_issues=issues)
 
 
 def markdown(df: DataFrame, limit: int | None = None) -> str:

@@ -60,6 +60,27 @@ def _at(spark: SparkSession, path: str):
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
+def created(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small text file that isn't there yet; False where it is. It is never overwritten."""
+    fs, at = _at(spark, path)
+    if fs.exists(at):
+        return False
+    try:
+        out = fs.create(at, False)
+        out.write(bytearray(text.encode()))
+        out.close()
+    except Exception:
+        if not fs.exists(at):
+            raise
+        return False
+    return True
+
+
+def text_of(spark: SparkSession, path: str) -> str:
+    """A small text file of one line."""
+    return spark.read.text(path).first()[0]
+
+
 def discard(made: list[tuple[SparkSession, str]]) -> None:
     for spark, path in made:
         fs, at = _at(spark, path)
@@ -121,15 +142,9 @@ def _named(spark: SparkSession, name: str, sources: list[str], build: Callable[[
     if not fs.exists(pointer):
         path = f"{base}-{uuid.uuid4().hex}"
         build().write.parquet(path)
-        try:
-            out = fs.create(pointer, False)
-            out.write(bytearray(path.encode()))
-            out.close()
-        except Exception:
-            if not fs.exists(pointer):
-                raise
+        if not created(spark, f"{base}.current", path):
             discard([(spark, path)])
-    out = spark.read.parquet(spark.read.text(f"{base}.current").first()[0])
+    out = spark.read.parquet(text_of(spark, f"{base}.current"))
     out._cut = True
     return out
 
