@@ -58,10 +58,17 @@ def semantic_type(p: DataFrame, identifiers: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
-def header_candidates(cells: DataFrame, group: list[str], terms: list[str], scan_rows: int = 40) -> DataFrame:
-    """Rank of early rows as header, from cells (*group, row, col, kind, value): density, keywords, uniqueness, text, neighbours."""
+def header_candidates(cells: DataFrame, group: list[str], terms: list[str] | dict[str, tuple[str, ...]], scan_rows: int = 40) -> DataFrame:
+    """Rank of early rows as header, from cells (*group, row, col, kind, value): density, keywords, uniqueness, text, neighbours.
+
+    `terms` may differ by a sheet's type; cells then carry sheet_type, and a type without terms has those of the first.
+    """
     filled = cells.filter("trim(coalesce(value, '')) <> ''").withColumn("norm", normalise_text(F.col("value")))
-    hit = reduce(lambda a, b: a | b, [F.col("norm").contains(t) for t in terms])
+    holds = lambda some: reduce(lambda a, b: a | b, [F.col("norm").contains(t) for t in some])
+    if isinstance(terms, dict):
+        hit = reduce(lambda chain, kind: chain.when(F.col("sheet_type") == kind, holds(terms[kind])), list(terms)[1:], F.when(F.lit(False), False)).otherwise(holds(next(iter(terms.values()))))
+    else:
+        hit = holds(terms)
     per = filled.groupBy(*group, "row").agg(F.count("*").alias("n"), F.count_if(hit).alias("keywords"), F.count_distinct("norm").alias("distinct"), F.count_if(F.col("kind") == "text").alias("texts"), F.count_if(F.col("kind") == "numeric").alias("numbers"))
     by_row = W.partitionBy(*group).orderBy("row")
     following = F.when(F.lead("row").over(by_row) == F.col("row") + 1, F.lead("n").over(by_row)).otherwise(0)
