@@ -9,7 +9,6 @@ release of the tables at the end.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veldspar.contracts import ContractError
@@ -80,9 +79,7 @@ def profile_cells(found: DataFrame) -> dict[str, DataFrame]:
     # One pass for values by column and for number formats.
     body = placed.filter("row > header_row")
     levels = cut(X.value_shapes(body), "folder-shapes")
-    formats = levels.filter("NOT by_column AND n_cells > 0").groupBy(*SHEET, "col", "number_format").agg(F.sum("n_cells").alias("formatted_cell_count"))
-    total = F.sum("formatted_cell_count").over(W.partitionBy(*SHEET, "col"))
-    formats = cut(formats.withColumn("formatted_cell_percent", F.round(F.col("formatted_cell_count") / total * 100, 4)), "folder-formats")
+    formats = cut(X.format_counts(levels), "folder-formats")
     of_column = formats.groupBy(*SHEET, "col").agg(F.array_sort(F.collect_set("number_format")).alias("number_formats"), F.max_by("number_format", F.struct("formatted_cell_count", "number_format")).alias("dominant_number_format"))
     known = named.join(of_column, [*SHEET, "col"], "left").withColumns({"number_formats": F.coalesce("number_formats", F.array(F.lit("General"))), "dominant_number_format": F.coalesce("dominant_number_format", F.lit("General"))})
     known = cut(known.withColumn("number_format_class", X.format_class(F.array_join("number_formats", " "))), "folder-known")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veldspar.functions.semantics import half_year
-from veldspar.operators import extract, governance, review, worksheets as X
+from veldspar.operators import extract, governance, ledger, packs, review, worksheets as X
+from veldspar.sources import files
+from veldspar.store import cut, folder, rows
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -167,6 +171,59 @@ def special_rows(spark, sf):
     return X.special_rows(cells).select("row", "sheet", "row_type", "label")
 
 
+@query(
+    """WITH c AS (SELECT o_orderpriority AS sheet, 1 AS col, ['General', '0%', '#,##0.00'][o_orderkey % 3 + 1] AS number_format FROM orders
+UNION ALL SELECT o_orderpriority, 2, CASE WHEN o_custkey % 10 = 0 THEN '@' ELSE 'General' END FROM orders WHERE o_orderstatus <> 'F')
+SELECT sheet, col, number_format, count(*) AS formatted_cell_count, round(count(*) * 100 / sum(count(*)) OVER (PARTITION BY sheet, col), 4) AS formatted_cell_percent FROM c GROUP BY sheet, col, number_format"""
+)
+def number_format_distribution(spark, sf):
+    """Number formats of each column, from the grouping sets that profile values too."""
+    o = t(spark, sf, "orders")
+    first = o.select(F.col("o_orderpriority").alias("sheet"), F.lit(1).alias("col"), "o_orderkey", F.col("o_totalprice").cast("string").alias("value"), F.lit("numeric").alias("kind"), F.element_at(F.array(*map(F.lit, ("General", "0%", "#,##0.00"))), (F.col("o_orderkey") % 3 + 1).cast("int")).alias("number_format"))
+    second = o.select(F.col("o_orderpriority").alias("sheet"), F.lit(2).alias("col"), "o_orderkey", F.when(F.col("o_orderstatus") != "F", F.col("o_orderstatus")).alias("value"), F.lit("text").alias("kind"), F.when(F.col("o_custkey") % 10 == 0, "@").otherwise("General").alias("number_format"))
+    cells = first.unionByName(second).withColumn("workbook", F.lit("book")).withColumnRenamed("o_orderkey", "row")
+    return X.format_counts(X.value_shapes(cells)).drop("workbook")
+
+
+@query(
+    """WITH c AS (SELECT 'error' AS severity, 'line_unique' AS rule, (SELECT count(*) FROM (SELECT count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS n FROM lineitem) WHERE n > 1) AS count
+UNION ALL SELECT 'error', 'order_known', (SELECT count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P'))
+UNION ALL SELECT 'error', 'part_known', (SELECT count(*) FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part))
+UNION ALL SELECT 'warning', 'discount_small', (SELECT count(*) FROM lineitem WHERE NOT l_discount <= 0.05::DOUBLE)
+UNION ALL SELECT 'error', 'as_many_as_orders', abs((SELECT count(*) FROM lineitem) - (SELECT count(*) FROM orders))) SELECT severity, rule, count::BIGINT AS count FROM c WHERE count > 0"""
+)
+def rule_pack_counts(spark, sf):
+    """Broken rules of a pack over order lines, counted by the one write that makes the table."""
+    pack = (
+        packs.Unique("line_unique", ("l_orderkey", "l_linenumber")), packs.Refers("order_known", "l_orderkey", "orders", "o_orderkey"), packs.Refers("part_known", "l_partkey", "part", "p_partkey"),
+        packs.Row("discount_small", "l_discount <= 0.05D", "warning"), packs.Size("not_empty", 1), packs.AsMany("as_many_as_orders", "all_orders"),
+    )
+    orders = t(spark, sf, "orders")
+    seen = packs.observed(t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_discount"), pack, {"orders": orders.filter("o_orderstatus <> 'P'"), "part": t(spark, sf, "part")})
+    written = rows(cut(seen.rows, "pack-lines"))
+    return packs.table_of(spark, [*seen.issues(written), *packs.across({"lines": written, "all_orders": orders.count()}, {"lines": pack})])
+
+
+@query(
+    """WITH d AS (SELECT cast(o_orderkey AS VARCHAR) AS review_item_id, CASE WHEN o_orderstatus = 'F' THEN 'approved' ELSE 'rejected' END AS decision, 1 AS update FROM orders
+UNION ALL SELECT cast(o_orderkey AS VARCHAR), 'approved_with_conditions', 2 FROM orders WHERE o_orderpriority = '1-URGENT')
+SELECT review_item_id, arg_max(decision, update) AS decision, max(update)::BIGINT AS update FROM d GROUP BY 1"""
+)
+def ledger_latest(spark, sf):
+    """The decision that holds for each key after two updates of a ledger."""
+    said = lambda df, d: df.select(F.col("o_orderkey").cast("string").alias("review_item_id"), d.alias("decision"), F.lit("me").alias("reviewer"), F.lit("2025-01-01").alias("reviewed_at"), F.lit("").alias("reviewer_comment"))
+    orders, book = t(spark, sf, "orders"), ledger.Ledger(spark, f"{folder(spark)}/ledger-{uuid.uuid4().hex}", ledger.PROFILING)
+    book.append(said(orders, F.when(F.col("o_orderstatus") == "F", "approved").otherwise("rejected")))
+    book.append(said(orders.filter("o_orderpriority = '1-URGENT'"), F.lit("approved_with_conditions")))
+    return book.latest().select("review_item_id", "decision", "update")
+
+
+@query("SELECT 'orders' AS source, (SELECT count(*) FROM orders) AS rows, 6 AS columns UNION ALL SELECT 'lineitem', (SELECT count(*) FROM lineitem), (SELECT count(*)::INT FROM (DESCRIBE lineitem)) UNION ALL SELECT 'part', (SELECT count(*) FROM part), 6")
+def source_inventory(spark, sf):
+    """Rows and columns of each source."""
+    return files.inventory({n: t(spark, sf, n) for n in ("orders", "lineitem", "part")})
+
+
 # ---- schema changes --------------------------------------------------------------------------------------------------
 
 def _schema(spark, sf):
