@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veldspar.functions.semantics import half_year
-from veldspar.operators import extract, governance, ledger, packs, review, worksheets as X
+from veldspar.operators import context, extract, governance, ledger, packs, review, worksheets as X
 from veldspar.sources import files
 from veldspar.store import cut, folder, rows
 
@@ -283,6 +283,20 @@ def taxonomy_changes(spark, sf):
     return X.keyed_changes(d, ["product"], "grp", ("product_service_added", "product_service_removed", "product_group_reassigned"))
 
 
+_SECTORS = ["Home finance", "Hire purchase", "Annuities", "Funds & bonds", "Funeral plans", "Current accounts", "Other"]
+
+
+@query(
+    f"""WITH x AS (SELECT DISTINCT {_list(_SECTORS)}[p_size % {len(_SECTORS)} + 1] AS sector, p_name AS product_type FROM part), k AS (SELECT *, lower(sector || ' ' || product_type) AS w FROM x)
+SELECT 'TAX-' || upper(left(sha1(sector || '|' || product_type), 10)) AS mapping_id, sector, product_type, CASE WHEN w LIKE '%home finance%' THEN 'home_finance' WHEN w LIKE '%hire purchase%' THEN 'consumer_credit' WHEN w LIKE '%annuit%' THEN 'decumulation_and_pensions' WHEN w LIKE '%fund%' OR w LIKE '%bond%' THEN 'investments'
+  WHEN w LIKE '%funeral plan%' THEN 'insurance_and_pure_protection' WHEN w LIKE '%current account%' THEN 'banking_and_credit_cards' ELSE '' END AS suggested_group, CASE WHEN w LIKE '%home finance%' THEN 'mortgage_or_home_finance_keyword' WHEN w LIKE '%hire purchase%' THEN 'consumer_credit_keyword' WHEN w LIKE '%annuit%' THEN 'pension_or_annuity_keyword' WHEN w LIKE '%fund%' OR w LIKE '%bond%' THEN 'investment_keyword'
+  WHEN w LIKE '%funeral plan%' THEN 'insurance_or_protection_keyword' WHEN w LIKE '%current account%' THEN 'banking_or_payment_keyword' ELSE 'no_safe_suggestion' END AS suggestion_basis, 'pending_review' AS review_decision FROM k"""
+)
+def taxonomy_mapping_template(spark, sf):
+    """Distinct taxonomy rows with a suggestion by keyword that waits for review."""
+    return context.mapping_template(t(spark, sf, "part").select(_pick(_SECTORS, "p_size").alias("sector"), F.col("p_name").alias("product_type")), ["sector", "product_type"])
+
+
 # ---- notes, taxonomy, extraction -------------------------------------------------------------------------------------
 
 
