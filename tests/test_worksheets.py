@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veldspar.contracts import ContractError
-from veldspar.operators import extract, governance, identity, marts, renames, worksheets as X
+from veldspar.operators import extract, governance, identity, marts, renames, shortlist, worksheets as X
 
 COLUMNS = "reporting_period string, canonical_sheet string, normalised_column string, column string, column_position int, storage_dtype string, semantic_type string, number_format_class string"
 SHEETS = "reporting_period string, canonical_sheet string, sheet string, header_row int"
@@ -236,6 +236,30 @@ def test_suggestions_are_those_of_all_candidates(spark):
     assert {(x.unmatched_firm_name, x.suggestion_rank, x.candidate_name, x.candidate_frn) for x in got} == want
 
 
+@pytest.mark.parametrize(("seed", "most", "common"), [(1, 5, 6), (2, 12, 3), (3, 3, 0), (4, 4, 10**6)])
+def test_shortlist_is_that_of_all_candidates(spark, seed, most, common):
+    """Words that many candidates hold, copies, ties, lengths: what is left out is never among the best."""
+    r = random.Random(seed)
+    words = ["ltd"] * 6 + ["group"] * 3 + ["bank", "of", "alpha", "beta", "gamma", "delta", "zz", "longerword", "é"]
+    name = lambda: " ".join(r.choice(words) for _ in range(r.randrange(1, 5)))
+    cand = [(i, name(), f"n{r.randrange(40)}") for i in range(250)] + [(900, "", "n"), (901, "q" * 60, "n")]
+    names = sorted({name() for _ in range(40)} | {"", "nothing alike", "y"})
+    score = lambda a, b: 0.8 * (len(set(a.split(" ")) & set(b.split(" "))) / len(set(a.split(" ")) | set(b.split(" ")))) + 0.2 * (min(len(a), len(b)) / max(len(a), len(b), 1))
+    got = shortlist.candidates_for(spark.createDataFrame([(n, n) for n in names], "name string, key string"), spark.createDataFrame(cand, "cid long, key string, label string"), ["label", "cid"], most, common).collect()
+    found = {(x.name, x.cid) for x in got}
+    assert len(found) == len(got)
+    for n in names:
+        best = sorted(cand, key=lambda c: (-score(n, c[1]), c[2], c[0]))[:most]  # noqa: B023
+        assert {(n, c[0]) for c in best} <= found
+
+
+def test_shortlist_of_a_common_word_makes_few_pairs(spark):
+    """Every candidate and every name holds one word: not all are paired."""
+    cand = spark.createDataFrame([(i, f"firm{i} ltd", f"{i:05d}") for i in range(3000)], "cid long, key string, label string")
+    names = spark.createDataFrame([(f"other{i} ltd", f"other{i} ltd") for i in range(300)], "name string, key string")
+    assert shortlist.candidates_for(names, cand, ["label"], 10, 100).count() <= 300 * 10 * 8 < 300 * 3000 / 30
+
+
 def test_register_reports(spark):
     rows = [("A1", "First", "completed", "approved", "me", "2025-01-01", "2025-01-01", "o", "doc"), ("A2", "Second", "in_progress", "pending_business_review", "", "", "", "", "lost")]
     register = spark.createDataFrame(rows, "action_id string, action_title string, status string, approval_status string, approved_by string, approved_at string, completed_at string, owner string, evidence_reference string")

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from veldspar.contracts import ContractError, assert_unique, require_columns
 from veldspar.functions.names import name_similarity
 from veldspar.functions.semantics import comparison_key, stable_key
+from veldspar.operators import shortlist as shortlist_
+from veldspar.store import cut
 
 
 def crosswalk(observed: DataFrame, reference: DataFrame, normal) -> DataFrame:
@@ -39,40 +41,22 @@ def candidates(aliases: DataFrame) -> DataFrame:
     return both.groupBy("candidate_name", "candidate_legal_name", "candidate_name_type", "frn").agg(F.array_join(F.array_sort(F.collect_set("reporting_period")), "|").alias("evidence_periods"), F.count("*").alias("evidence_rows"))
 
 
-def _nearest_lengths(names: DataFrame, cand: DataFrame, most: int) -> DataFrame:
-    """For each length that a key has, the `most` candidates of the nearest length: (length, candidate).
-
-    Only the first `most` of each candidate length can be among them, so what is compared is lengths, a few hundred at
-    most, with so many times `most` candidates, whatever the number of names.
-    """
-    tie = ["candidate_name", "frn", "candidate_name_type"]
-    of = cand.withColumn("clen", F.length("ckey"))
-    few = of.withColumn("r", F.row_number().over(W.partitionBy("clen").orderBy(*tie))).filter(F.col("r") <= most).drop("r")
-    lengths = names.select(F.length("key").alias("klen")).distinct()
-    near = F.desc(F.least("klen", "clen") / F.greatest("klen", "clen", F.lit(1)))
-    ranked = few.join(F.broadcast(lengths)).withColumn("r", F.row_number().over(W.partitionBy("klen").orderBy(near, *tie)))
-    return ranked.filter(F.col("r") <= most).drop("r", "clen")
-
-
 def suggest(unmatched: DataFrame, aliases: DataFrame, normal, per_firm: int = 3, shortlist: int = 250) -> DataFrame:
     """Up to `per_firm` candidates of distinct identifiers for each unmatched name.
 
-    Names are compared once, not for each period. The shortlist is the best by word overlap and length among all
-    candidates: those that share a word meet by an equi join on words; of those that share none, only the nearest by
-    length can be in it, and these are the same for all names of a length. The costly similarity sees the shortlist only.
+    Names are compared once, not for each period. The shortlist is the best by word overlap and length among all candidates, see
+    `shortlist`; the costly similarity sees the shortlist only.
     """
-    names = unmatched.select("firm_name").distinct().withColumn("key", comparison_key(normal(F.col("firm_name"))))
+    tie = ["candidate_name", "frn", "candidate_name_type"]
+    names = cut(unmatched.select("firm_name").distinct().withColumn("key", comparison_key(normal(F.col("firm_name")))), "suggest-names")
     cand = candidates(aliases).withColumn("ckey", comparison_key(normal(F.col("candidate_name"))))
-    words = lambda c: F.array_distinct(F.split(c, " "))
-    left, right = names.withColumn("word", F.explode(words(F.col("key")))), cand.withColumn("word", F.explode(words(F.col("ckey"))))
-    sharing = left.join(right, "word").drop("word")
-    others = names.join(_nearest_lengths(names, cand, shortlist), F.length("key") == F.col("klen")).drop("klen")
-    pairs = sharing.unionByName(others).distinct()
-    overlap = F.size(F.array_intersect(words(F.col("key")), words(F.col("ckey")))) / F.size(F.array_union(words(F.col("key")), words(F.col("ckey"))))
-    length = F.least(F.length("key"), F.length("ckey")) / F.greatest(F.length("key"), F.length("ckey"), F.lit(1))
-    # Weights of word overlap and length.
-    rough = W.partitionBy("firm_name").orderBy(F.desc(0.8 * overlap + 0.2 * length), "candidate_name", "frn", "candidate_name_type")
-    top = pairs.withColumn("r", F.row_number().over(rough)).filter(F.col("r") <= shortlist).withColumn("s", name_similarity("key", "ckey"))
+    cand = cut(cand.withColumn("cid", F.monotonically_increasing_id()), "suggest-candidates")
+    found = shortlist_.candidates_for(names.withColumnRenamed("firm_name", "name"), cand.select("cid", F.col("ckey").alias("key"), *tie), tie, shortlist)
+    pairs = found.join(names.withColumnRenamed("firm_name", "name"), "name").withColumnRenamed("name", "firm_name").join(cand, "cid").drop("cid")
+    own, other = shortlist_.words(F.col("key")), shortlist_.words(F.col("ckey"))
+    score = shortlist_.rough(F.size(F.array_intersect(own, other)), F.size(own), F.size(other), F.length("key"), F.length("ckey"))
+    best_rough = W.partitionBy("firm_name").orderBy(F.desc(score), *tie)
+    top = pairs.withColumn("r", F.row_number().over(best_rough)).filter(F.col("r") <= shortlist).withColumn("s", name_similarity("key", "ckey"))
     best = [F.desc("s.combined"), F.desc("s.character"), F.col("candidate_name"), F.col("frn"), F.col("candidate_name_type")]
     once = top.withColumn("r", F.row_number().over(W.partitionBy("firm_name", "frn").orderBy(*best))).filter("r = 1")
     ranked = once.withColumn("suggestion_rank", F.row_number().over(W.partitionBy("firm_name").orderBy(*best))).filter(F.col("suggestion_rank") <= per_firm)
