@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import zipfile
 from datetime import date
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from veldspar import contracts
 from veldspar.functions import semantics as S
-from veldspar.functions.names import fold_name
+from veldspar.functions.names import fold_name, folded
 from veldspar.operators import context, governance, identity, profile, reconcile, review
 from veldspar.plans import methodology, panel, rules
 from veldspar.sources import files, xlsx
@@ -37,6 +38,25 @@ def test_numbers_and_dates(spark):
     assert n == "firm ss a"
 
 
+def test_names_fold_alike_on_both_paths(spark):
+    rng = random.Random(6)
+    letters = "aAzZ09 \t\n\x0b\x0c\x1c\x1f\x85\u00a0\u2003éÉßẞﬁÅÅİıΣς①½"
+    odd = ["".join(rng.choice(letters[: rng.choice([9, 14, len(letters)])]) for _ in range(rng.randrange(12))) for _ in range(400)] + [None, ""]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(odd)], "i long, n string")
+    want = {r.i: r.f for r in df.select("i", fold_name("n").alias("f")).collect()}
+    got = {r.i: r.f for r in folded(df, "n", "f").collect()}
+    assert got == want
+
+
+def test_guarded_reader(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "t"))
+    assert files.read_table(spark, str(tmp_path / "t"), ["id"]).count() == 3
+    with pytest.raises(contracts.ContractError, match="input is missing"):
+        files.read_table(spark, str(tmp_path / "none"))
+    with pytest.raises(contracts.ContractError, match="no columns"):
+        files.read_table(spark, str(tmp_path / "t"), ["id", "x"])
+
+
 def test_cell_values(spark):
     cases = {" ": (None, "missing"), None: (None, "missing"), "#N/A": (None, "invalid"), "1,234": (1234.0, "valid"), "12%": (0.12, "valid"), "n/a": (None, "missing_marker"), "true": (None, "invalid"), "abc": (None, "invalid")}
     got = spark.createDataFrame([(k,) for k in cases], "t string").select("t", S.metric_value(F.col("t")).alias("m")).collect()

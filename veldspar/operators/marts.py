@@ -44,7 +44,7 @@ def firm_product(summary: DataFrame, periods: DataFrame, products: DataFrame, re
     if "review_disposition" not in df.columns:
         df = df.withColumn("review_disposition", F.lit(None).cast("string"))
     df = checked_join(df, F.broadcast(periods), ["reporting_period"], "inner", "m:1")
-    df = checked_join(df, F.broadcast(products), ["product_group"], "inner", "m:1")
+    df = checked_join(df, products, ["product_group"], "inner", "m:1")
     last = F.broadcast(periods.agg(F.max_by("reporting_period", "period_end").alias("__last")))
     order = F.create_map(*[x for i, b in enumerate(BANDS, 1) for x in (F.lit(b), F.lit(i))])
     priority, anomaly = F.col("priority_band") == "priority_review", F.coalesce(F.col("review_disposition") == "source_anomaly_requires_business_review", F.lit(False))
@@ -79,7 +79,7 @@ def rule_detail(indicators: DataFrame, product: DataFrame) -> DataFrame:
 def metric_detail(fact: DataFrame, products: DataFrame) -> DataFrame:
     """Source cells with their address."""
     cell = F.concat("source_sheet", F.lit("!R"), F.col("source_row").cast("string"), F.lit("C"), F.col("source_column").cast("string"))
-    return checked_join(fact, F.broadcast(products.select("product_group", "product_group_label")), ["product_group"], "left", "m:1").withColumns({"metric_display_value": F.col("metric_value"), "source_cell": cell})
+    return checked_join(fact, products.select("product_group", "product_group_label"), ["product_group"], "left", "m:1").withColumns({"metric_display_value": F.col("metric_value"), "source_cell": cell})
 
 
 def kpis(product: DataFrame) -> DataFrame:

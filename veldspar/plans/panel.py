@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from veldspar.contracts import ContractError
 from veldspar.functions.semantics import half_year, period_end, period_start, safe_ratio, window_bounds
 from veldspar.plans import peers
-from veldspar.store import named, table
+from veldspar.store import cut, named, table
 
 OBS = ["firm_key", "reporting_period", "source_reporting_period", "product_group"]
 PEER = ["reporting_period", "product_group"]
@@ -33,15 +33,17 @@ TREND = ["complaints_opened_count", "context_provision_rate", "context_intermedi
 
 
 def pivot_facts(fact: DataFrame) -> DataFrame:
-    """Analysis-ready product-level facts to one row per observation; unknown triples and collisions are errors."""
+    """Analysis-ready product-level facts to one row per observation; unknown triples and collisions are errors.
+
+    Facts are read once: cells are cut, and both the checks and the pivot read the cut.
+    """
     spark = fact.sparkSession
     known = F.broadcast(spark.createDataFrame([(*k, v) for k, v in FEATURES.items()], "canonical_sheet string, metric_name string, measurement_unit string, feature string"))
     ready = fact.filter("is_analysis_ready_value AND is_product_level").join(known, ["canonical_sheet", "metric_name", "measurement_unit"], "left")
-    if unknown := ready.filter("feature IS NULL").limit(1).collect():
-        raise ContractError(f"no feature for {unknown[0].asDict()}")
-    cells = ready.groupBy(*OBS, "feature").agg(F.count("*").alias("n"), F.first("metric_value").alias("metric_value"))
-    if twice := cells.filter("n > 1").limit(1).collect():
-        raise ContractError(f"two values for one feature: {twice[0].asDict()}")
+    triple = F.concat_ws(" / ", "canonical_sheet", "metric_name", "measurement_unit")
+    cells = cut(ready.groupBy(*OBS, "feature").agg(F.count("*").alias("n"), F.min(triple).alias("triple"), F.first("metric_value").alias("metric_value")), "panel-cells")
+    if bad := cells.filter("feature IS NULL OR n > 1").limit(1).collect():
+        raise ContractError(f"{'no feature' if bad[0]['feature'] is None else 'two values for one feature'}: {bad[0].asDict()}")
     return cells.groupBy(*OBS).pivot("feature", BASE).agg(F.first("metric_value"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veldspar.contracts import checked_join
 from veldspar.functions import semantics as S
-from veldspar.functions.names import fold_name, name_similarity
+from veldspar.functions.names import fold_name, folded, name_similarity
 from veldspar.operators import context, identity, profile, reconcile, review, star
 
 QUERIES: dict = {}
@@ -251,11 +251,12 @@ def comparison_key(spark, sf):
 ORACLES["comparison_key"] = ORACLES["comparison_key"].replace("lower(s_name) || ' & Co. (Holdings) LIMITED'", "lower(s_name || ' & Co. (Holdings) LIMITED')")
 
 
-@query("SELECT c_custkey, 'firm ss ' || trim(regexp_replace(lower(c_name), '\\s+', ' ', 'g')) AS name FROM customer")
+@query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN '' ELSE 'firm ss ' END || trim(regexp_replace(lower(c_name), '\\s+', ' ', 'g')) || ' co' AS name FROM customer")
 def nfkc_casefold_names(spark, sf):
-    """Names behind a ligature and a capital sharp s; the SQL states what these fold to, the names themselves are ASCII."""
-    c = t(spark, sf, "customer").select("c_custkey", F.concat(F.lit("  ﬁrm ẞ "), "c_name").alias("n"))
-    return c.select("c_custkey", fold_name("n").alias("name"))
+    """Names, every second behind a ligature and a capital sharp s; the SQL states what these fold to, the names themselves are ASCII."""
+    odd = F.when(F.col("c_custkey") % 2 == 0, "").otherwise("  ﬁrm ẞ ")
+    c = t(spark, sf, "customer").select("c_custkey", F.concat(odd, "c_name", F.lit(" \t Co\n")).alias("n"))
+    return folded(c, "n", "name").select("c_custkey", "name")
 
 
 _UPD = "up AS (SELECT s_suppkey, 'REVIEWED-' || s_suppkey AS new FROM supplier WHERE s_suppkey % 4 = 0)"

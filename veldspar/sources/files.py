@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veldspar.contracts import ContractError
 from veldspar.sources import releases
 
 
@@ -14,6 +15,17 @@ def read_csv(spark: SparkSession, path: str, schema: str, keep_empty: bool = Fal
     return df.na.fill("", [c for c, t in df.dtypes if t == "string"]) if keep_empty else df
 
 
+def read_table(spark: SparkSession, path: str, columns: list[str] = (), fmt: str = "parquet") -> DataFrame:
+    """A table that has to be there, with all of `columns`; the error names the path, and what is missing of it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        raise ContractError(f"input is missing: {path}")
+    df = spark.read.format(fmt).option("header", True).load(path)
+    if missing := sorted(set(columns) - set(df.columns)):
+        raise ContractError(f"{path} has no columns {missing}")
+    return df
+
+
 def fingerprints(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """Name, size and SHA-256 of every file below a folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
