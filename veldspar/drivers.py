@@ -127,7 +127,7 @@ def validate(spark: SparkSession, featured: str, warned: str, out: str, methodol
     m = _methodology(spark, methodology)
     runs = cut(rules.sensitivity(read(spark, warned, "prepared_features"), m), "sensitivity")
     scenario = runs.groupBy("scenario_id", "priority_band").agg(F.count("*").alias("observation_count"), F.avg("warning_score").alias("mean_warning_score"))
-    return publish(spark, out, {"scenario_bands": scenario, "band_stability": rules.stability(runs), "review_sample": review.select_sample(_named(spark, warned))})
+    return publish(spark, out, {"scenario_bands": scenario, "band_stability": rules.band_stability(read(spark, warned, "prepared_features"), m), "review_sample": review.select_sample(_named(spark, warned))})
 
 
 def _named(spark: SparkSession, warned: str, firms: DataFrame | None = None) -> DataFrame:

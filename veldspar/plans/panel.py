@@ -27,7 +27,6 @@ FEATURES = {
     ("context_provision", "complaints_in_context", "context_rate"): "context_provision_rate",
     ("context_intermediation", "complaints_in_context", "context_rate"): "context_intermediation_rate",
 }
-BASE = list(dict.fromkeys(FEATURES.values()))
 #: Features that have trends and peer statistics.
 TREND = ["complaints_opened_count", "context_provision_rate", "context_intermediation_rate", "complaints_upheld_pct", "closed_within_3_days_pct", "closed_after_3_days_within_8_weeks_pct"]
 
@@ -44,7 +43,7 @@ def pivot_facts(fact: DataFrame) -> DataFrame:
     cells = cut(ready.groupBy(*OBS, "feature").agg(F.count("*").alias("n"), F.min(triple).alias("triple"), F.first("metric_value").alias("metric_value")), "panel-cells")
     if bad := cells.filter("feature IS NULL OR n > 1").limit(1).collect():
         raise ContractError(f"{'no feature' if bad[0]['feature'] is None else 'two values for one feature'}: {bad[0].asDict()}")
-    return cells.groupBy(*OBS).pivot("feature", BASE).agg(F.first("metric_value"))
+    return cells.groupBy(*OBS).pivot("feature", sorted(set(FEATURES.values()))).agg(F.first("metric_value"))
 
 
 def add_trends(panel: DataFrame, features: list[str] = TREND) -> DataFrame:

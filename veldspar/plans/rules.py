@@ -220,15 +220,30 @@ def sensitivity(features: DataFrame, base: dict) -> DataFrame:
     return scored.selectExpr(*OBS, "scenario_id", "triggered_rule_count", "persistent_rule_count", f"{pick(0)} AS warning_score", f"{pick(1)} AS priority_band")
 
 
-def stability(results: DataFrame) -> DataFrame:
-    """How each observation's band moves over the scenarios."""
-    base = F.col("scenario_id") == "baseline"
-    same = results.groupBy(*OBS).agg(
-        F.max(F.when(base, F.col("priority_band"))).alias("baseline_priority_band"), F.max(F.when(base, F.col("warning_score"))).alias("baseline_warning_score"), F.min("warning_score").alias("minimum_scenario_score"), F.max("warning_score").alias("maximum_scenario_score"),
-        F.array_sort(F.collect_set("priority_band")).alias("bands"), F.collect_list("priority_band").alias("all"), F.count("*").alias("scenario_count"),
+def scenario_bands(features: DataFrame, base: dict) -> DataFrame:
+    """Per observation an array `runs` of (scenario_id, warning_score, priority_band), side by side: no rows are made and none is shuffled."""
+    runs = scenarios(base)
+    bits = Bits()
+    verdicts = [_verdict(m, bits) for _, m in runs]
+    # Scores and counts stand in columns of their own first, each made once; scenarios that agree share them.
+    made: dict[str, str] = {}
+    column = lambda e: made.setdefault(e, f"v{len(made)}")
+    scores, eligible_rules = [column(v["warning_score"]) for v in verdicts], [column(v["eligible_rule_count"]) for v in verdicts]
+    rows = bits.add(_ready(features)).selectExpr(*OBS, *[f"{e} AS {name}" for e, name in made.items()])
+    label = lambda m, s, n: f"CASE WHEN {n} < {int(m['minimum_eligible_rules_for_classification'])} THEN 'insufficient_data' ELSE {band(s, m)} END"
+    each = [f"named_struct('scenario_id', {_text(name)}, 'warning_score', {s}, 'priority_band', {label(m, s, n)})" for (name, m), s, n in zip(runs, scores, eligible_rules)]
+    return rows.selectExpr(*OBS, f"array({', '.join(each)}) AS runs")
+
+
+def band_stability(features: DataFrame, base: dict) -> DataFrame:
+    """How each observation's band moves over the scenarios, aggregated in place on its array."""
+    base_run = "filter(runs, x -> x.scenario_id = 'baseline')[0]"
+    rows = scenario_bands(features, base).selectExpr("*", f"{base_run} AS b", "array_sort(array_distinct(runs.priority_band)) AS bands")
+    same = "size(filter(runs, x -> x.priority_band = b.priority_band))"
+    return rows.selectExpr(
+        *OBS, "b.priority_band AS baseline_priority_band", "b.warning_score AS baseline_warning_score", "array_min(runs.warning_score) AS minimum_scenario_score", "array_max(runs.warning_score) AS maximum_scenario_score", "size(bands) AS distinct_scenario_bands",
+        "array_join(bands, '|') AS scenario_bands", f"{same} AS scenarios_same_as_baseline", "cast(size(runs) AS bigint) AS scenario_count", f"{same} / size(runs) AS band_stability_rate",
     )
-    agree = F.size(F.filter("all", lambda b: b == F.col("baseline_priority_band")))
-    return same.select(*OBS, "baseline_priority_band", "baseline_warning_score", "minimum_scenario_score", "maximum_scenario_score", F.size("bands").alias("distinct_scenario_bands"), F.array_join("bands", "|").alias("scenario_bands"), agree.alias("scenarios_same_as_baseline"), "scenario_count", (agree / F.col("scenario_count")).alias("band_stability_rate"))
 
 
 def firm_rollup(product_summary: DataFrame) -> DataFrame:

@@ -260,7 +260,7 @@ count(*) AS scenario_count, round(count(*) FILTER (priority_band = bb) / count(*
 FROM (SELECT *, max(priority_band) FILTER (scenario_id = 'baseline') OVER (PARTITION BY {KEYS}) AS bb FROM sens) GROUP BY {KEYS}"""
 )
 def band_stability(spark, sf):
-    return _rounded(rules.stability(rules.sensitivity(_prepared(spark, sf), REVISED)))
+    return _rounded(rules.band_stability(_prepared(spark, sf), REVISED))
 
 
 @query(f"WITH {_SENS_SQL} SELECT scenario_id, {KEYS}, warning_score FROM sens WHERE scenario_id IN ('baseline', 'priority_upper') AND priority_band = 'priority_review'")
