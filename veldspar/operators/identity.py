@@ -56,7 +56,8 @@ def suggest(unmatched: DataFrame, aliases: DataFrame, normal, per_firm: int = 3,
     own, other = shortlist_.words(F.col("key")), shortlist_.words(F.col("ckey"))
     score = shortlist_.rough(F.size(F.array_intersect(own, other)), F.size(own), F.size(other), F.length("key"), F.length("ckey"))
     best_rough = W.partitionBy("firm_name").orderBy(F.desc(score), *tie)
-    top = pairs.withColumn("r", F.row_number().over(best_rough)).filter(F.col("r") <= shortlist).withColumn("s", name_similarity("key", "ckey"))
+    short = pairs.withColumn("r", F.row_number().over(best_rough)).filter(F.col("r") <= shortlist)
+    top = cut(short.withColumn("s", name_similarity("key", "ckey")), "suggest-scored")
     best = [F.desc("s.combined"), F.desc("s.character"), F.col("candidate_name"), F.col("frn"), F.col("candidate_name_type")]
     once = top.withColumn("r", F.row_number().over(W.partitionBy("firm_name", "frn").orderBy(*best))).filter("r = 1")
     ranked = once.withColumn("suggestion_rank", F.row_number().over(W.partitionBy("firm_name").orderBy(*best))).filter(F.col("suggestion_rank") <= per_firm)
