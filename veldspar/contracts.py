@@ -35,15 +35,19 @@ def _unique(df: DataFrame, keys: list[str], side: str) -> DataFrame:
     return df.withColumn("__n", n).filter(F.assert_true(F.col("__n") == 1, F.lit(f"{side} side is not unique by {keys}")).isNull()).drop("__n")
 
 
-def checked_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", validate: str = "1:1") -> DataFrame:
-    """Equi-join that fails at run time if the declared cardinality (1:1, m:1, 1:m) does not hold."""
+def checked_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", validate: str = "1:1", large: bool = False) -> DataFrame:
+    """Equi-join that fails at run time if the declared cardinality (1:1, m:1, 1:m) does not hold.
+
+    `large`: neither side is broadcast unless hinted. Spark takes a Parquet table for as large as its compressed files, and rows that are
+    exploded for no more, so that it would send millions of rows through the driver.
+    """
     if validate not in ("1:1", "m:1", "1:m"):
         raise ValueError(validate)
     if validate[0] == "1":
         left = _unique(left, on, "left")
     if validate[2] == "1":
         right = _unique(right, on, "right")
-    return left.join(right, on, how)
+    return left.join(right.hint("merge") if large else right, on, how)
 
 
 def issues(df: DataFrame, checks: dict[str, Column], severity: str = "error") -> DataFrame:

@@ -73,7 +73,7 @@ def firm_period(product: DataFrame) -> DataFrame:
 def rule_detail(indicators: DataFrame, product: DataFrame) -> DataFrame:
     context = product.select(*OBS, *[c for c in ("product_group_label", "priority_band", "priority_band_sort_order", "warning_score", "coverage_status", "review_disposition", "is_latest_reporting_period") if c in product.columns])
     status = F.when(F.col("persistent_trigger"), "triggered_persistent").when(F.col("triggered"), "triggered").when(~F.col("eligible"), "ineligible").otherwise("not_triggered")
-    return checked_join(indicators, context, OBS, "inner", "m:1").withColumn("rule_status", status)
+    return checked_join(indicators, context, OBS, "inner", "m:1", large=True).withColumn("rule_status", status)
 
 
 def metric_detail(fact: DataFrame, products: DataFrame) -> DataFrame:
@@ -159,7 +159,7 @@ def insufficient_queue(summary: DataFrame, indicators: DataFrame) -> DataFrame:
     gaps = indicators.join(_latest(indicators), "reporting_period", "left_semi").filter("NOT eligible").groupBy(*OBS).agg(
         F.count_if(F.col("eligibility_reason") == "missing_required_feature").alias("missing_required_feature"), F.count_if(F.col("eligibility_reason") == "peer_group_below_minimum").alias("peer_group_below_minimum"), _joined(F.col("score_family")).alias("ineligible_signal_families")
     )
-    df = checked_join(poor, gaps, OBS, "left", "1:1").na.fill(0, ["missing_required_feature", "peer_group_below_minimum"])
+    df = checked_join(poor, gaps, OBS, "left", "1:1", large=True).na.fill(0, ["missing_required_feature", "peer_group_below_minimum"])
     return df.withColumn("recommended_treatment", F.when(F.col("peer_group_below_minimum") > 0, "review_peer_group_minimum_and_do_not_classify").otherwise("restore_or_source_missing_features"))
 
 
@@ -180,7 +180,7 @@ def monitoring_queue(product: DataFrame, indicators: DataFrame, product_group: s
     """Current monitor and review observations of one product with the ids of the rules that fired."""
     watched = product.filter(F.col("is_latest_reporting_period") & (F.col("product_group") == product_group) & F.col("priority_band").isin("monitor", "review"))
     fired = indicators.filter(F.col("triggered") & (F.col("product_group") == product_group)).groupBy(*OBS).agg(_joined(F.col("rule_id")).alias("triggered_rule_ids_rebuilt"))
-    return checked_join(watched, fired, OBS, "left", "1:1")
+    return checked_join(watched, fired, OBS, "left", "1:1", large=True)
 
 
 def product_period(panel: DataFrame, medians: list[str]) -> DataFrame:

@@ -29,7 +29,7 @@ def select_sample(summary: DataFrame, per_band: int = 5) -> DataFrame:
 def compare(first: DataFrame, second: DataFrame) -> DataFrame:
     """Bands and scores of two methodologies side by side."""
     side = lambda df, s: df.select(*OBS, *[F.col(c).alias(f"{c}_{s}") for c in ("warning_score", "priority_band", "triggered_rule_ids")])
-    both = checked_join(side(first, "v1"), side(second, "v2"), OBS, "inner", "1:1")
+    both = checked_join(side(first, "v1"), side(second, "v2"), OBS, "inner", "1:1", large=True)
     return both.withColumns({"band_changed": F.col("priority_band_v1") != F.col("priority_band_v2"), "score_change": F.col("warning_score_v2") - F.col("warning_score_v1")})
 
 
@@ -64,7 +64,7 @@ def priority_reviews(summary: DataFrame, indicators: DataFrame, features: DataFr
         F.count_distinct("score_family").alias("independent_signal_family_count"), sorted_set(F.col("score_family")).alias("triggered_signal_families"), sorted_set(F.when(F.col("persistent_trigger"), F.col("rule_id"))).alias("persistent_trigger_ids")
     )
     wanted = features.select(*OBS, "complaints_closed_count", "closed_within_8_weeks_pct", "context_provision_rate", "context_intermediation_rate", "identity_match_status")
-    df = checked_join(checked_join(summary.filter("priority_band = 'priority_review'"), families, OBS), wanted, OBS)
+    df = checked_join(checked_join(summary.filter("priority_band = 'priority_review'"), families, OBS, large=True), wanted, OBS, large=True)
     df = df.withColumn("review_flags", review_flags())
     strong = (F.col("independent_signal_family_count") >= 3) | (F.col("warning_score") >= 9)
     df = df.withColumn("review_disposition", F.when(F.col("review_flags") != "", "source_check_required_before_reliance").when(strong, "retain_priority_review").otherwise("retain_priority_review_borderline"))

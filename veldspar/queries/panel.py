@@ -460,7 +460,7 @@ def work_queue_monitoring(spark, sf):
     """Current monitor and review observations of one product, with the rules that fired."""
     product = spark.read.parquet(f"{sf}/part.parquet").agg(F.min("p_type")).first()[0]
     numbers = panel.order_features(spark, sf).select(*panel.OBS, "complaints_opened_count", "previous_complaints_opened_count", "pct_change_complaints_opened_count")
-    return _rounded(marts.monitoring_queue(checked_join(_mart(spark, sf, EARLY), numbers, panel.OBS), _indicators(spark, sf, EARLY), product)).select(*panel.OBS, "display_firm_name", "priority_band", "complaints_opened_count", "previous_complaints_opened_count", "pct_change_complaints_opened_count", "warning_score", "coverage_status", "triggered_rule_ids_rebuilt")
+    return _rounded(marts.monitoring_queue(checked_join(_mart(spark, sf, EARLY), numbers, panel.OBS, large=True), _indicators(spark, sf, EARLY), product)).select(*panel.OBS, "display_firm_name", "priority_band", "complaints_opened_count", "previous_complaints_opened_count", "pct_change_complaints_opened_count", "warning_score", "coverage_status", "triggered_rule_ids_rebuilt")
 
 
 @query(
