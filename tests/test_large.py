@@ -14,7 +14,7 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["dashboard_rule_detail"])
+@pytest.mark.parametrize("name", ["dashboard_rule_detail", "sample_drilldown"])
 def test_indicators_are_not_broadcast(spark, sf, name):
     joins = [line for line in _plan(catalog.QUERIES[name](spark, sf)).splitlines() if "Join" in line and "source_reporting_period" in line]
     assert joins and all("SortMergeJoin" in j or "LeftSemi, BuildRight" in j for j in joins)

@@ -9,7 +9,7 @@ from veldspar.contracts import checked_join
 from veldspar.functions.semantics import period_end, period_start
 from veldspar.operators import marts, review
 from veldspar.plans import methodology, panel, rules
-from veldspar.store import named
+from veldspar.store import cut, named
 
 #: Support settings that this panel can reach; the smallest scale has 8 to 10 peers.
 REVISED = methodology.standard(True, closed=4, large=10, peers=20)
@@ -296,8 +296,9 @@ def stratified_sample(spark, sf):
 
 @query(f"WITH {_SAMPLE_SQL} SELECT {KEYS}, rule_id, eligible, triggered FROM sample JOIN ind USING ({KEYS})")
 def sample_drilldown(spark, sf):
-    sample = review.select_sample(_named(spark, sf), 5).select(*panel.OBS)
-    return checked_join(sample, _indicators(spark, sf), panel.OBS, "left", "1:m").select(*panel.OBS, "rule_id", "eligible", "triggered")
+    sample = cut(review.select_sample(_named(spark, sf), 5).select(*panel.OBS), "drilldown-sample")
+    found = _indicators(spark, sf).join(F.broadcast(sample), panel.OBS, "left_semi")  # five rows for each band
+    return checked_join(sample, found, panel.OBS, "left", "1:m", large=True).select(*panel.OBS, "rule_id", "eligible", "triggered")
 
 
 _V12 = PREP_SQL + _rules_sql(FIRST, "_v1") + _rules_sql(REVISED, "_v2")
