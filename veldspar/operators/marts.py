@@ -44,7 +44,7 @@ def firm_product(summary: DataFrame, periods: DataFrame, products: DataFrame, re
     if "review_disposition" not in df.columns:
         df = df.withColumn("review_disposition", F.lit(None).cast("string"))
     df = checked_join(df, F.broadcast(periods), ["reporting_period"], "inner", "m:1")
-    df = checked_join(df, products, ["product_group"], "inner", "m:1")
+    df = checked_join(df, F.broadcast(products), ["product_group"], "inner", "m:1")  # a row for each product: shuffled by it, a task would get all rows of some
     last = F.broadcast(periods.agg(F.max_by("reporting_period", "period_end").alias("__last")))
     order = F.create_map(*[x for i, b in enumerate(BANDS, 1) for x in (F.lit(b), F.lit(i))])
     priority, anomaly = F.col("priority_band") == "priority_review", F.coalesce(F.col("review_disposition") == "source_anomaly_requires_business_review", F.lit(False))
