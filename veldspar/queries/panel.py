@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veldspar.contracts import checked_join
@@ -247,10 +246,9 @@ def sensitivity_scenarios(spark, sf):
 
 @query(f"WITH {_SENS_SQL} SELECT s.scenario_id, b.priority_band AS baseline_priority_band, s.priority_band AS scenario_priority_band, count(*) AS observation_count FROM sens s JOIN sens b USING ({KEYS}) WHERE b.scenario_id = 'baseline' GROUP BY 1, 2, 3")
 def band_transitions(spark, sf):
-    """One grouping instead of a self-join: the baseline band travels with the observation's scenarios."""
-    s = rules.sensitivity(_prepared(spark, sf), REVISED)
-    base = F.max(F.when(F.col("scenario_id") == "baseline", F.col("priority_band"))).over(W.partitionBy(*panel.OBS))
-    return s.withColumn("baseline_priority_band", base).groupBy("scenario_id", "baseline_priority_band", F.col("priority_band").alias("scenario_priority_band")).agg(F.count("*").alias("observation_count"))
+    """The baseline band stands beside the observation's scenarios in one row, so that only counts are shuffled."""
+    s = rules.scenario_bands(_prepared(spark, sf), REVISED).selectExpr("filter(runs, x -> x.scenario_id = 'baseline')[0].priority_band AS baseline_priority_band", "inline(runs)")
+    return s.groupBy("scenario_id", "baseline_priority_band", F.col("priority_band").alias("scenario_priority_band")).agg(F.count("*").alias("observation_count"))
 
 
 @query(
