@@ -34,16 +34,22 @@ TREND = ["complaints_opened_count", "context_provision_rate", "context_intermedi
 def pivot_facts(fact: DataFrame) -> DataFrame:
     """Analysis-ready product-level facts to one row per observation; unknown triples and collisions are errors.
 
-    Facts are read once: cells are cut, and both the checks and the pivot read the cut.
+    Facts are read and shuffled once, as one row for each observation: it holds whether a feature met twice. Only an error looks at them again.
     """
     spark = fact.sparkSession
     known = F.broadcast(spark.createDataFrame([(*k, v) for k, v in FEATURES.items()], "canonical_sheet string, metric_name string, measurement_unit string, feature string"))
     ready = fact.filter("is_analysis_ready_value AND is_product_level").join(known, ["canonical_sheet", "metric_name", "measurement_unit"], "left")
-    triple = F.concat_ws(" / ", "canonical_sheet", "metric_name", "measurement_unit")
-    cells = cut(ready.groupBy(*OBS, "feature").agg(F.count("*").alias("n"), F.min(triple).alias("triple"), F.first("metric_value").alias("metric_value")), "panel-cells")
-    if bad := cells.filter("feature IS NULL OR n > 1").limit(1).collect():
-        raise ContractError(f"{'no feature' if bad[0]['feature'] is None else 'two values for one feature'}: {bad[0].asDict()}")
-    return cells.groupBy(*OBS).pivot("feature", sorted(set(FEATURES.values()))).agg(F.first("metric_value"))
+    features = sorted(set(FEATURES.values()))
+    is_it = [F.col("feature") == f for f in features]
+    values = [F.max(F.when(c, F.col("metric_value"))).alias(f) for f, c in zip(features, is_it)]  # of one value
+    wrong = F.greatest(F.count_if(F.col("feature").isNull()) > 0, *[F.count_if(c) > 1 for c in is_it])
+    wide = cut(ready.groupBy(*OBS).agg(*values, wrong.alias("__wrong")), "panel-wide")
+    if wide.filter("__wrong").head(1):
+        triple = F.concat_ws(" / ", "canonical_sheet", "metric_name", "measurement_unit")
+        cells = ready.groupBy(*OBS, "feature").agg(F.count("*").alias("n"), F.min(triple).alias("triple"), F.first("metric_value").alias("metric_value"))
+        bad = cells.filter("feature IS NULL OR n > 1").first()
+        raise ContractError(f"{'no feature' if bad['feature'] is None else 'two values for one feature'}: {bad.asDict()}")
+    return wide.drop("__wrong")
 
 
 def add_trends(panel: DataFrame, features: list[str] = TREND) -> DataFrame:
