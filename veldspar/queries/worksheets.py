@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veldspar.functions.semantics import half_year
 from veldspar.operators import context, extract, governance, ledger, packs, review, worksheets as X
+from veldspar.plans.scan import scan
 from veldspar.sources import files
 from veldspar.store import cut, folder, rows
 
@@ -30,6 +30,11 @@ def t(spark, sf, name):
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _numbered(df, keys, order):
+    """`df` with the number of each row within its key; a key may hold any share of the rows."""
+    return scan(df, keys, order, sums={"row": F.lit(1)}, name="numbered").withColumn("row", F.col("row").cast("int"))
+
+
 # ---- names, formats, headers -----------------------------------------------------------------------------------------
 
 _NAMES = ["Opened", "Closed %", "% closed within 3 days", "Closed >3 days & within 8 weeks", "% Upheld", "Context – provision", "Context - Intermediation", "Consumer  credit", "Joint reporters (consumer credit)", "Joint reporters", "Trading names", "Notes", "Other: Extra!"]
@@ -105,7 +110,7 @@ _COLUMNS = [
 def _grid(spark, sf):
     """Row numbers of orders in their workbook and sheet; row 1 is the header."""
     o = t(spark, sf, "orders").withColumn("workbook", half_year(F.to_date("o_orderdate")))
-    return o.withColumn("row", F.row_number().over(W.partitionBy("workbook", "o_orderpriority").orderBy("o_orderkey")) + 1)
+    return _numbered(o, ["workbook", "o_orderpriority"], ["o_orderkey"]).withColumn("row", F.col("row") + 1)
 
 
 def _cells(spark, sf):
@@ -164,7 +169,8 @@ WHERE (role = 'opened' AND lower(trim(v)) IN ('grand total', 'total', 'subtotal'
 def special_rows(spark, sf):
     """Total rows of metric sheets and note rows of notes sheets; the label may stand behind blank cells."""
     values = ["Grand Total", " total ", "Firm", "Note: text", "notes", "Total cost", "Source", ""]
-    g = t(spark, sf, "lineitem").withColumn("row", F.row_number().over(W.partitionBy("l_returnflag").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")))
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+    g = _numbered(t(spark, sf, "lineitem").select("l_returnflag", *order), ["l_returnflag"], order)
     v = F.element_at(F.array(*map(F.lit, values)), ((F.col("l_orderkey") + F.col("l_linenumber")) % 8 + 1).cast("int"))
     one = lambda col, value: F.struct(F.lit(col).alias("col"), value.alias("value"))
     cells = g.select(F.lit("book").alias("workbook"), F.col("l_returnflag").alias("sheet"), F.when(F.col("l_returnflag") == "N", "notes").otherwise("opened").alias("canonical_sheet"), "row", F.explode(F.array(one(1, F.lit(" ")), one(2, v), one(3, F.when(v != "", F.lit("5"))))).alias("x")).select("workbook", "sheet", "canonical_sheet", "row", "x.*")
@@ -308,7 +314,7 @@ SELECT lang, row::INT AS source_row, CASE WHEN heading THEN section ELSE section
 )
 def notes_definitions(spark, sf):
     """Headings and numbered narratives: documents of a language are the rows of its notes sheet."""
-    r = t(spark, sf, "documents").withColumn("row", F.row_number().over(W.partitionBy("lang").orderBy("doc_id")))
+    r = _numbered(t(spark, sf, "documents").select("lang", "doc_id", "text"), ["lang"], ["doc_id"])
     cells = r.select(F.lit("book").alias("workbook"), F.col("lang").alias("sheet"), "row", F.lit(1).alias("col"), F.col("text").alias("value"))
     header = cells.groupBy("workbook", "sheet").agg((F.max("row") + 1).alias("header_row"))
     return X.definitions(cells, header).select(F.col("sheet").alias("lang"), "source_row", "definition_key", "definition_type", "definition_text_hash")
@@ -322,7 +328,7 @@ SELECT sheet, version AS taxonomy_version, sector, product_group, typ AS product
 )
 def taxonomy_layouts(spark, sf):
     """One layout, or an old and a new one side by side, as tagged rows."""
-    r = t(spark, sf, "orders").withColumn("row", F.row_number().over(W.partitionBy("o_orderpriority").orderBy("o_orderkey")) + 2)
+    r = _numbered(t(spark, sf, "orders").select("o_orderpriority", "o_orderkey", "o_custkey", "o_orderstatus"), ["o_orderpriority"], ["o_orderkey"]).withColumn("row", F.col("row") + 2)
     r = r.withColumns({"sec": F.expr("CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus END"), "grp": F.expr("CASE WHEN o_orderkey % 2 = 0 THEN 'G' || (o_custkey % 5) END"), "typ": F.expr("'T' || (o_orderkey % 7)")})
     narrow = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")
     one = lambda col, c: F.struct(F.lit(col).alias("col"), F.col(c).alias("value"))
