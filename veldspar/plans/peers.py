@@ -19,11 +19,13 @@ from pyspark.sql import functions as F
 
 from veldspar.functions.semantics import pct_rank_avg
 from veldspar.plans.scan import ranged, scan
-from veldspar.store import cut, settled
+from veldspar.store import BROADCAST_BYTES, cut, settled, size
 
-#: Rows from which a group is ranked in ranges (one task sorts a million rows of a few numbers in memory), and from which its
-#: quantiles are, instead of a buffer of its values.
-HOT, BUFFERED = 1_000_000, 100_000
+#: Rows from which a group is ranked by its distinct values (a window sorts whole rows once for each feature, and a task holds several
+#: groups and sorts at a time), and from which its quantiles are, instead of a buffer of its values.
+HOT, BUFFERED = 20_000, 100_000
+#: Most bytes of all ranks by value that are broadcast, as `size` counts them.
+SHARES = BROADCAST_BYTES
 
 
 def _met(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -59,17 +61,28 @@ def _windowed(df: DataFrame, group: list[str], ranks: list[str], counts: list[st
 
 
 def _ranged(df: DataFrame, group: list[str], ranks: list[str], counts: list[str], parts: int | None) -> DataFrame:
-    """The same columns for hot groups: `df` has no others, so totals are bounded by their number."""
+    """The same columns for hot groups: `df` has no others, so totals are bounded by their number.
+
+    Ranks go back to the rows by value. Where the table of distinct values is small, as measured, rows aren't shuffled for it.
+    """
     features = list(dict.fromkeys([*ranks, *counts]))
-    rows = cut(df.withColumn("__row", F.monotonically_increasing_id()), "peer-hot")
-    found, total = running_counts(rows, group, features, parts)
+    found, total = running_counts(df, group, features, parts)
+    total = cut(total, "peer-totals")
     rank = F.col("upto") - F.col("n") + 1
     share = _met(found, F.broadcast(total), [*group, "feature"]).select(*group, "feature", "value", ((rank + (F.col("n") - 1) / F.lit(2.0)) / F.col("total")).alias("share"))
-    met = _met(_values(rows, group, ranks, "__row"), share, [*group, "feature", "value"])
-    wide = met.groupBy("__row").agg(*[F.max(F.when(F.col("feature") == features.index(f), F.col("share"))).alias(f"{f}_peer_percentile") for f in ranks])
+    share = cut(share, "peer-shares")
+    if size(share) <= SHARES:
+        out = df
+        for f in ranks:
+            of = share.filter(F.col("feature") == features.index(f)).select(*group, F.col("value").alias("__value"), F.col("share").alias(f"{f}_peer_percentile"))
+            out = _met(out.withColumn("__value", F.col(f).cast("double")), F.broadcast(of), [*group, "__value"], "left").drop("__value")
+    else:
+        rows = cut(df.withColumn("__row", F.monotonically_increasing_id()), "peer-hot")
+        met = _met(_values(rows, group, ranks, "__row"), share.hint("merge"), [*group, "feature", "value"])
+        wide = met.groupBy("__row").agg(*[F.max(F.when(F.col("feature") == features.index(f), F.col("share"))).alias(f"{f}_peer_percentile") for f in ranks])
+        out = rows.join(wide.hint("merge"), "__row", "left").drop("__row")
     each = total.groupBy(*group).agg(*[F.coalesce(F.max(F.when(F.col("feature") == features.index(f), F.col("total"))), F.lit(0)).alias(f"{f}_peer_count") for f in counts])
-    out = _met(rows.join(wide, "__row", "left").drop("__row"), F.broadcast(each), group, "left")
-    return out.na.fill(0, [f"{f}_peer_count" for f in counts])
+    return _met(out, F.broadcast(each), group, "left").na.fill(0, [f"{f}_peer_count" for f in counts])
 
 
 def with_peers(df: DataFrame, group: list[str], ranks: list[str], counts: list[str] = (), hot: int = HOT, parts: int | None = None) -> DataFrame:
@@ -78,11 +91,11 @@ def with_peers(df: DataFrame, group: list[str], ranks: list[str], counts: list[s
     large = _hot(df, group, hot)
     if large is None:
         return _windowed(df, group, list(ranks), list(counts))
-    few = F.broadcast(large)
-    rest, many = _met(df, few, group, "left_anti"), _met(df, few, group, "left_semi")
+    rest = _met(df, F.broadcast(large), group, "left_anti")
+    many = _met(df, F.broadcast(cut(large.withColumn("__group", F.monotonically_increasing_id()), "peer-numbers")), group)  # a number is shorter than a key
     added = [*[f"{f}_peer_count" for f in counts], *[f"{f}_peer_percentile" for f in ranks]]
     columns = [*df.columns, *added]
-    return _windowed(rest, group, list(ranks), list(counts)).select(columns).unionByName(_ranged(many, group, list(ranks), list(counts), parts).select(columns))
+    return _windowed(rest, group, list(ranks), list(counts)).select(columns).unionByName(_ranged(many, ["__group"], list(ranks), list(counts), parts).select(columns))
 
 
 def _order_statistics(df: DataFrame, group: list[str], features: list[str], at: dict[str, float], parts: int | None) -> DataFrame:
