@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from veldspar import catalog
 from veldspar.contracts import ContractError
+from veldspar.operators import shortlist
 from veldspar.plans import panel, peers
+from veldspar.store import cut
 
 
 def _plan(df) -> str:
@@ -76,3 +78,11 @@ def test_pivot_shuffles_facts_once(spark):
             panel.pivot_facts(spark.createDataFrame(twice, schema))
     with pytest.raises(ContractError, match="no feature"):
         panel.pivot_facts(spark.createDataFrame([row("a", 1.0, "odd")], schema))
+
+
+def test_names_of_one_cell_are_dealt(spark):
+    names = spark.range(600).select(F.format_string("firm %05d ltd", "id").alias("name"))
+    cand = names.select(F.col("name").alias("key"), F.col("name").alias("candidate_name"), F.monotonically_increasing_id().alias("cid"))
+    names, cand = cut(names.withColumn("key", F.col("name")).coalesce(1)), cut(cand)
+    plan = _plan(shortlist.candidates_for(names, cand, ["candidate_name"], 20, common=50))
+    assert not re.search(r"SortMergeJoin \[(a|b|len|own)#", plan) and plan.count("REPARTITION_BY_NUM") >= 2

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veldspar.store import cut
+from veldspar.store import BROADCAST_BYTES, cut, hinted
 
 #: Weights of word overlap and of length.
 OVERLAP, LENGTH = 0.8, 0.2
@@ -46,6 +46,18 @@ def _first(df: DataFrame, cell: list[str], tie: list[str], most: int) -> DataFra
     return df.withColumn("__r", F.row_number().over(W.partitionBy(*cell).orderBy(*tie))).filter(F.col("__r") <= most).drop("__r")
 
 
+def _small(df: DataFrame, cell: list[str], cells: tuple[str, ...]) -> DataFrame:
+    """`df` to be broadcast if its rows with all words of their cells are few bytes."""
+    words_in = sum((F.size(f"{c}.sig") for c in cells), F.lit(0))
+    n, held = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(words_in), F.lit(0))).first()
+    return F.broadcast(df) if n * (24 + 8 * (len(df.columns) + len(cell) * len(cells))) + held * 32 <= BROADCAST_BYTES else df
+
+
+def _dealt(names: DataFrame) -> DataFrame:
+    """Names over all partitions, which a small table, or one that was grouped by cell, is not: each name makes as many pairs as are wanted."""
+    return names.repartition(int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")), "name")
+
+
 def _by_common_words(names: DataFrame, cand: DataFrame, hot: DataFrame, tie: list[str], most: int) -> DataFrame:
     """(name, cid) by cells of common words."""
     cell = ["sig", "n", "len"]
@@ -58,9 +70,11 @@ def _by_common_words(names: DataFrame, cand: DataFrame, hot: DataFrame, tie: lis
     score = rough(F.size(F.array_intersect("a.sig", "b.sig")), F.col("a.n"), F.col("b.n"), F.col("a.len"), F.col("b.len"))
     down = W.partitionBy("a").orderBy(F.desc("score"))
     better = F.sum("size").over(down.rangeBetween(W.unboundedPreceding, W.currentRow)) - F.sum("size").over(down.rangeBetween(0, 0))
-    kept = met.withColumn("score", score).withColumn("better", better).filter(F.col("better") < most).select("a", "b")
-    there = own.select("name", F.struct(*cell).alias("a")).join(kept, "a")
-    return there.join(members.select("cid", F.struct(*cell).alias("b")), "b").select("name", "cid")
+    kept = cut(met.withColumn("score", score).withColumn("better", better).filter(F.col("better") < most).select("a", "b"), "shortlist-cells")
+    # Names of one cell, who may be all of them, are no key to shuffle by: cells and their first members go to the names while they are small.
+    cells, first = (_small(x, cell, cells_of) for x, cells_of in ((kept, ("a", "b")), (members.select("cid", F.struct(*cell).alias("b")), ("b",))))
+    there = _dealt(own).select("name", F.struct(*cell).alias("a")).join(cells, "a")
+    return there.join(first, "b").select("name", "cid")
 
 
 def _by_length(names: DataFrame, cand: DataFrame, tie: list[str], most: int) -> DataFrame:
@@ -79,7 +93,7 @@ def _by_length(names: DataFrame, cand: DataFrame, tie: list[str], most: int) ->
             taken.append((own, n))
             tied += sizes[n]
     wanted = names.sparkSession.createDataFrame(taken, "own int, len int")
-    return names.select("name", F.length("key").alias("own")).join(wanted, "own").join(members, "len").select("name", "cid")
+    return _dealt(names).select("name", F.length("key").alias("own")).join(F.broadcast(wanted), "own").join(hinted(members), "len").select("name", "cid")
 
 
 def candidates_for(names: DataFrame, cand: DataFrame, tie: list[str], most: int, common: int = COMMON) -> DataFrame:
