@@ -101,3 +101,34 @@ def test_domains_are_few(spark):
         assert "more than 64" in str(e)
     else:
         raise AssertionError("80 domains were taken")
+
+
+def test_long_lists_hold_pairs_against_whole_bitmaps(spark, monkeypatch):
+    """A family of variants that share frequent shingles and mostly don't link: pairs of its lists don't grow with their square."""
+    rng = random.Random(4)
+    texts = {}
+    for i in range(120):
+        words = [f"w{j}" for j in range(400)]
+        for at in range(10, 400, 20):
+            words[at] += rng.choice("abc")
+        texts[i] = " ".join(words)
+    for i in range(0, 120, 10):  # one that links
+        texts[1000 + i] = texts[i] + " end"
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in texts.items())}
+    linked = [(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    least = {i: i for i in sets}
+    for _ in range(len(sets)):
+        for i, j in linked:
+            least[i] = least[j] = min(least[i], least[j])
+
+    made, cut = {}, ngram_join.cut
+
+    def kept(df, name="t", keep=False):
+        made[name] = cut(df, name, True)
+        return made[name]
+
+    monkeypatch.setattr(ngram_join, "cut", kept)
+    docs = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(docs, 5, 80).collect()}
+    assert got == least and len(linked) >= 12
+    assert made["ngram-grouppairs"].count() <= 4 * len(texts)

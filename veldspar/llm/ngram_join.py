@@ -11,7 +11,8 @@ Documents become sets of distinct k-word shingle hashes and link when 100 * |x n
    links, all but a hundredth then is one component.
 5. Second round: all remaining group pairs of each list, of different components, that pass the size filter, the
    position filter and a parity-bitmap bound on the symmetric difference (of groups: on the bits in which all members of
-   one differ from all of the other), are expanded to members and verified. Pairs
+   one differ from all of the other), are expanded to members and verified. Long lists, whose pairs grow with the square of their
+   length, hold them against whole bitmaps while they are joined, short lists against folded ones. Pairs
    within a component need no check, so components are exact although not every link of a large family is visited.
 
 Edge cases: null, empty and blank text has an empty set, linked with nothing; with fewer than k words the whole
@@ -46,6 +47,8 @@ HELD = 250_000
 SHARED = 4 << 20
 #: Groups of each posting list that the first round pairs with all others of the list.
 PIVOTS = 16
+#: Postings of a list from which on they carry whole bitmaps in the second round. A shorter list makes fewer rows than this for each posting.
+LONG = 32
 
 
 def hinted(df: DataFrame, of: DataFrame | None = None) -> DataFrame:
@@ -130,11 +133,15 @@ def _positions_fit(a, b, percent: int) -> Column:
     return F.least(a("n") - a("pos"), b("n") - b("pos")) * (100 + percent) >= (a("n") + b("n")) * percent
 
 
+def _room(total: Column, percent: int) -> Column:
+    """Largest symmetric difference of two linked sets that have `total` shingles together."""
+    return total - 2 * F.ceil(total * percent / (100 + percent) - 1e-9)
+
+
 def _bits_fit(a, b, percent: int, words: int) -> Column:
     """Bits in which parity bitmaps differ never exceed the symmetric difference; a linked pair's is bounded."""
     differ = reduce(lambda x, y: x + y, [F.bit_count(a(f"b{i}").bitwiseXOR(b(f"b{i}"))) for i in range(words)])
-    total = a("n") + b("n")
-    return differ <= total - 2 * F.ceil(total * percent / (100 + percent) - 1e-9)
+    return differ <= _room(a("n") + b("n"), percent)
 
 
 def _group_bits(bits: DataFrame, grouped: DataFrame) -> DataFrame:
@@ -151,7 +158,27 @@ def _may_link(low, high, total: Column, percent: int) -> Column:
     """
     only = lambda s, i: low(s, i).bitwiseAND(F.bitwise_not(high(1 - s, i)))
     differ = reduce(lambda p, q: p + q, [F.bit_count(only(0, i).bitwiseOR(only(1, i))) for i in range(WORDS)])
-    return differ <= total - 2 * F.ceil(total * percent / (100 + percent) - 1e-9)
+    return differ <= _room(total, percent)
+
+
+def _met(left: DataFrame, percent: int, whole: bool) -> DataFrame:
+    """Pairs (ga, gb) of groups that meet in a list of the postings `left`, once for each list, and of which some members may link.
+
+    Linked sizes are in the same or in neighbouring bands: a list is met band by band, not as a whole. `whole`: postings carry the
+    words of `_group_bits` beside the folded bitmaps, as arrays `low` and `high` (a condition on so many columns would be too long for
+    the JVM's compiler), and the join makes only pairs that these leave too.
+    """
+    a, b = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
+    x = left.withColumn("band", _band(F.col("n"), percent)).alias("x")
+    y = left.withColumn("band", F.explode(F.array(_band(F.col("n"), percent), _band(F.col("n"), percent) - 1))).alias("y")
+    smaller = (a("n") < b("n")) | (a("n") == b("n")) & (a("c") < b("c"))
+    apart = ~F.coalesce(a("root") == b("root"), F.lit(False))
+    fits = smaller & apart & _sizes_fit(a("n"), b("n"), percent) & _positions_fit(a, b, percent) & (~(a("alone") & b("alone")) | _bits_fit(a, b, percent, FOLD))
+    if whole:
+        only = lambda p, q: F.zip_with(p("low"), q("high"), lambda low, high: low.bitwiseAND(F.bitwise_not(high)))
+        differ = F.aggregate(F.zip_with(only(a, b), only(b, a), lambda p, q: F.bit_count(p.bitwiseOR(q))), F.lit(0), lambda s, n: s + n)
+        fits &= differ <= _room(a("n") + b("n"), percent)
+    return x.join(y, (a("h") == b("h")) & (a("band") == b("band")) & fits).select(a("c").alias("ga"), b("c").alias("gb"))
 
 
 def _groups_fit(pairs: DataFrame, spans: DataFrame, percent: int) -> DataFrame:
@@ -240,21 +267,18 @@ def _components(docs: DataFrame, k: int, percent: int, id_col: str, text_col: st
     mixed = cut(own.groupBy("head").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("head"), "ngram-mixed")
     labelled = lists.join(hinted(roots.withColumnRenamed("node", "c"), roots), "c", "left").join(hinted(mixed.withColumnRenamed("head", "m").withColumn("is_mixed", F.lit(True)), mixed), F.col("c") == F.col("m"), "left")
     labelled = labelled.select("h", "c", "n", "pos", F.when(F.col("is_mixed").isNull(), F.coalesce("root", "c")).alias("root"))
-    several = labelled.groupBy("h").agg(F.count_if(F.col("root").isNull()).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("m > 0 OR lo <> hi").select("h")
-    heads, several = multi.select(F.col("head").alias("c"), "members"), cut(several, "ngram-several")
+    several = labelled.groupBy("h").agg(F.count_if(F.col("root").isNull()).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi"), (F.count("*") >= LONG).alias("long"))
+    heads, several = multi.select(F.col("head").alias("c"), "members"), cut(several.filter("m > 0 OR lo <> hi").select("h", "long"), "ngram-several")
     left = labelled.join(hinted(several, several), "h").join(each.select("c", *[_folded(i) for i in range(FOLD)]), "c").join(hinted(heads, multi), "c", "left")
     left = cut(left.withColumn("alone", F.col("members").isNull()).drop("members"), "ngram-open")
-    a, b = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
-    # Linked sizes are in the same or in neighbouring bands: a long list is met band by band, not as a whole.
-    x = left.withColumn("band", _band(F.col("n"), percent)).alias("x")
-    y = left.withColumn("band", F.explode(F.array(_band(F.col("n"), percent), _band(F.col("n"), percent) - 1))).alias("y")
-    smaller = (a("n") < b("n")) | (a("n") == b("n")) & (a("c") < b("c"))
-    apart = ~F.coalesce(a("root") == b("root"), F.lit(False))
-    fits = smaller & apart & _sizes_fit(a("n"), b("n"), percent) & _positions_fit(a, b, percent) & (~(a("alone") & b("alone")) | _bits_fit(a, b, percent, FOLD))
-    group_pairs = x.join(y, (a("h") == b("h")) & (a("band") == b("band")) & fits).select(a("c").alias("ga"), b("c").alias("gb")).distinct()
+    short, long, spans = left.filter("NOT long").drop("long"), left.filter("long").drop("long"), _group_bits(bits, grouped)
+    words = [F.array(*[f"{y}{i}" for i in range(WORDS)]).alias(x) for y, x in (("l", "low"), ("h", "high"))]
+    posted = spans.select(F.col("head").alias("c"), *words).join(hinted(long.select("c").distinct()), "c", "left_semi")
+    long = cut(long.join(posted, "c"), "ngram-long")
+    group_pairs = _met(short, percent, False).unionByName(_met(long, percent, True)).distinct()
     inside = mixed.select(F.col("head").alias("ga"), F.col("head").alias("gb"))
     candidates = cut(group_pairs.unionByName(inside), "ngram-grouppairs")
-    members = cut(_groups_fit(candidates, _group_bits(bits, grouped), percent), "ngram-groupsfit")
+    members = cut(_groups_fit(candidates, spans, percent), "ngram-groupsfit")
     more = _verified(_expanded(members, bits, grouped, roots, percent), named, classes, bits, k, percent)
     final = cut(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)), "ngram-final")
 
