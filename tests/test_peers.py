@@ -39,6 +39,18 @@ def test_ranks_do_not_depend_on_how_groups_are_dealt(spark, hot):
         assert (r.a_peer_percentile, r.b_peer_percentile, r.b_peer_count) == (pytest.approx(a[r.id][0], abs=1e-15) if a[r.id][0] else a[r.id][0], pytest.approx(b[r.id][0], abs=1e-15) if b[r.id][0] else b[r.id][0], b[r.id][1])
 
 
+@pytest.mark.parametrize("shares", [None, 0])
+def test_ranks_of_hot_groups_without_counts(spark, monkeypatch, shares):
+    """Ranks alone are asked for: by broadcast, and by a join of rows and values."""
+    if shares is not None:
+        monkeypatch.setattr(peers, "SHARES", shares)
+    data, schema = _rows(3)
+    got = peers.with_peers(spark.createDataFrame(data, schema), ["period", "product"], ["a", "b"], hot=100, parts=6)
+    assert got.columns == ["period", "product", "id", "a", "b", "a_peer_percentile", "b_peer_percentile"]
+    a, b = _brute_rank(data, 3), _brute_rank(data, 4)
+    assert {r.id: (r.a_peer_percentile, r.b_peer_percentile) for r in got.collect()} == {i: (pytest.approx(a[i][0], abs=1e-15), pytest.approx(b[i][0], abs=1e-15)) for i in a}
+
+
 def test_hot_group_is_spread(spark):
     df = spark.range(6000).select(F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id") % 50).alias("g"), F.rand(5).alias("v"))
     counted = peers._values(df, ["g"], ["v"]).groupBy("g", "feature", "value").count()

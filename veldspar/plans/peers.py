@@ -81,6 +81,8 @@ def _ranged(df: DataFrame, group: list[str], ranks: list[str], counts: list[str]
         met = _met(_values(rows, group, ranks, "__row"), share.hint("merge"), [*group, "feature", "value"])
         wide = met.groupBy("__row").agg(*[F.max(F.when(F.col("feature") == features.index(f), F.col("share"))).alias(f"{f}_peer_percentile") for f in ranks])
         out = rows.join(wide.hint("merge"), "__row", "left").drop("__row")
+    if not counts:
+        return out
     each = total.groupBy(*group).agg(*[F.coalesce(F.max(F.when(F.col("feature") == features.index(f), F.col("total"))), F.lit(0)).alias(f"{f}_peer_count") for f in counts])
     return _met(out, F.broadcast(each), group, "left").na.fill(0, [f"{f}_peer_count" for f in counts])
 
