@@ -33,13 +33,19 @@ def folded(df: DataFrame, column: str, out: str) -> DataFrame:
     return df.filter(plain).withColumn(out, normalise_text(c)).unionByName(df.filter(~plain).join(odd, column).select(*[f"`{x}`" for x in df.columns], out))
 
 
-@F.pandas_udf(_SCORES)
-def name_similarity(left: pd.Series, right: pd.Series) -> pd.DataFrame:
+def by_words(key: str) -> str:
+    """The key with its words in order."""
+    return " ".join(sorted(key.split()))
+
+
+def similarity(a: str, b: str) -> tuple[float, float, float]:
     """Ratcliff-Obershelp ratio of two comparison keys, as they are and with sorted words, and 0.65 : 0.35 of both."""
+    c = SequenceMatcher(None, a, b).ratio()
+    t = SequenceMatcher(None, by_words(a), by_words(b)).ratio()
+    return round(c, 6), round(t, 6), round(0.65 * c + 0.35 * t, 6)
 
-    def one(a, b):
-        c = SequenceMatcher(None, a or "", b or "").ratio()
-        t = SequenceMatcher(None, " ".join(sorted((a or "").split())), " ".join(sorted((b or "").split()))).ratio()
-        return round(c, 6), round(t, 6), round(0.65 * c + 0.35 * t, 6)
 
-    return pd.DataFrame([one(a, b) for a, b in zip(left, right)], columns=["character", "token", "combined"])
+@F.pandas_udf(_SCORES)
+def name_similarity(left: pd.Series, right: pd.Series) -> pd.DataFrame:
+    """`similarity` of each pair; null counts as empty."""
+    return pd.DataFrame([similarity(a or "", b or "") for a, b in zip(left, right)], columns=["character", "token", "combined"])

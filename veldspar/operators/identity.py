@@ -10,6 +10,7 @@ from veldspar.contracts import ContractError, assert_unique, require_columns
 from veldspar.functions.names import name_similarity
 from veldspar.functions.semantics import comparison_key, stable_key
 from veldspar.operators import shortlist as shortlist_
+from veldspar.operators.closest import closest
 from veldspar.store import cut
 
 
@@ -41,26 +42,33 @@ def candidates(aliases: DataFrame) -> DataFrame:
     return both.groupBy("candidate_name", "candidate_legal_name", "candidate_name_type", "frn").agg(F.array_join(F.array_sort(F.collect_set("reporting_period")), "|").alias("evidence_periods"), F.count("*").alias("evidence_rows"))
 
 
-def suggest(unmatched: DataFrame, aliases: DataFrame, normal, per_firm: int = 3, shortlist: int = 250) -> DataFrame:
-    """Up to `per_firm` candidates of distinct identifiers for each unmatched name.
+def _shortlisted(names: DataFrame, cand: DataFrame, tie: list[str], most: int) -> DataFrame:
+    """(key, cid, s): the `most` best of each key by word overlap and length, with their similarity."""
+    keys = cut(names.filter("key IS NOT NULL").select(F.col("key").alias("name"), "key").distinct(), "suggest-keys")
+    found = shortlist_.candidates_for(keys, cand.select("cid", F.col("ckey").alias("key"), *tie), tie, most)
+    pairs = found.withColumnRenamed("name", "key").join(cand.select("cid", "ckey", *tie), "cid")
+    own, other = shortlist_.words(F.col("key")), shortlist_.words(F.col("ckey"))
+    score = shortlist_.rough(F.size(F.array_intersect(own, other)), F.size(own), F.size(other), F.length("key"), F.length("ckey"))
+    short = pairs.withColumn("r", F.row_number().over(W.partitionBy("key").orderBy(F.desc(score), *tie))).filter(F.col("r") <= most)
+    return cut(short.select("key", "cid", name_similarity("key", "ckey").alias("s")), "suggest-scored")
+
 
-    Names are compared once, not for each period. The shortlist is the best by word overlap and length among all candidates, see
-    `shortlist`; the costly similarity sees the shortlist only.
+def suggest(unmatched: DataFrame, aliases: DataFrame, normal, per_firm: int = 3, shortlist: int | None = None) -> DataFrame:
+    """Up to `per_firm` candidates of distinct identifiers for each unmatched name, the most similar of all candidates, see `closest`.
+
+    Comparison keys are compared once, not for each name and period. With a `shortlist`, similarity sees only so many candidates of each name,
+    the best by word overlap and length, see `shortlist`; it may leave out candidates that are more similar.
     """
-    tie = ["candidate_name", "frn", "candidate_name_type"]
+    tie = ["candidate_name", "frn", "candidate_name_type", "candidate_legal_name"]
     names = cut(unmatched.select("firm_name").distinct().withColumn("key", comparison_key(normal(F.col("firm_name")))), "suggest-names")
     cand = candidates(aliases).withColumn("ckey", comparison_key(normal(F.col("candidate_name"))))
     cand = cut(cand.withColumn("cid", F.monotonically_increasing_id()), "suggest-candidates")
-    found = shortlist_.candidates_for(names.withColumnRenamed("firm_name", "name"), cand.select("cid", F.col("ckey").alias("key"), *tie), tie, shortlist)
-    pairs = found.join(names.withColumnRenamed("firm_name", "name"), "name").withColumnRenamed("name", "firm_name").join(cand, "cid").drop("cid")
-    own, other = shortlist_.words(F.col("key")), shortlist_.words(F.col("ckey"))
-    score = shortlist_.rough(F.size(F.array_intersect(own, other)), F.size(own), F.size(other), F.length("key"), F.length("ckey"))
-    best_rough = W.partitionBy("firm_name").orderBy(F.desc(score), *tie)
-    short = pairs.withColumn("r", F.row_number().over(best_rough)).filter(F.col("r") <= shortlist)
-    top = cut(short.withColumn("s", name_similarity("key", "ckey")), "suggest-scored")
-    best = [F.desc("s.combined"), F.desc("s.character"), F.col("candidate_name"), F.col("frn"), F.col("candidate_name_type")]
-    once = top.withColumn("r", F.row_number().over(W.partitionBy("firm_name", "frn").orderBy(*best))).filter("r = 1")
-    ranked = once.withColumn("suggestion_rank", F.row_number().over(W.partitionBy("firm_name").orderBy(*best))).filter(F.col("suggestion_rank") <= per_firm)
+    scored = closest(names, cand, tie, per_firm) if shortlist is None else _shortlisted(names, cand, tie, shortlist)
+    top = scored.join(cand, "cid").drop("cid")
+    best = [F.desc("s.combined"), F.desc("s.character"), *[F.col(c) for c in tie]]
+    once = top.withColumn("r", F.row_number().over(W.partitionBy("key", "frn").orderBy(*best))).filter("r = 1")
+    ranked = once.withColumn("suggestion_rank", F.row_number().over(W.partitionBy("key").orderBy(*best))).filter(F.col("suggestion_rank") <= per_firm)
+    ranked = names.join(ranked, "key")
     out = unmatched.select("reporting_period", "firm_name").distinct().join(ranked, "firm_name")
     # Limits of similarity, and words of status.
     quality = F.when(F.col("s.combined") >= 0.9, "high_similarity").when(F.col("s.combined") >= 0.75, "medium_similarity").otherwise("low_similarity")
